@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing
+from . import bpe, exact_dedup, lang_id, mixing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,9 +20,24 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.code(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = lang_id.fit(docs.where(lang_id.remainder(3) != 1))
+    judged = lang_id.predict(docs, model)
+    return judged.select("doc_id", (lang_id.remainder(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_bpe": op8_bpe,
+    "op9_language_id": op9_language_id,
 }
 
 SQL = {
