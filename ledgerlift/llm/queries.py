@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, lang_id, mixing
+from . import bpe, exact_dedup, lang_id, minhash, mixing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,11 +33,16 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", (lang_id.remainder(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.link(table(spark, sf_dir, "documents"), percent=85)
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_bpe": op8_bpe,
     "op9_language_id": op9_language_id,
+    "op10_minhash": op10_minhash,
 }
 
 SQL = {
