@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 from .components import components
-from .shingles import M1, mix, shingle_set
+from .shingles import M1, lists, mix, shingle_set
 from .sketching import sketch
 
 WIDTH = 5
@@ -48,13 +48,6 @@ def bands(sets: list[np.ndarray]) -> np.ndarray:
     return mix(out * M1 + np.arange(BANDS, dtype=np.uint64))
 
 
-def lists(rows: list[np.ndarray]) -> pa.ListArray:
-    """Rows of 64-bit numbers as a column of lists."""
-    ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-    flat = np.concatenate([*rows, np.zeros(0, dtype=np.uint64)]).view(np.int64)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-
-
 def features(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n (shingles), class (a digest of the set; null if empty) and bands; stored."""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, lang_id, minhash, mixing, sharding, topk_search, url_filter
+from . import bpe, exact_dedup, lang_id, lm_scoring, minhash, mixing, sharding, topk_search, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = lm_scoring.score(docs, docs.where(lang_id.remainder(10) != 0))
+    return scored.select("doc_id", (lang_id.remainder(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
@@ -52,6 +58,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_sharding": op4_sharding,
     "op5_url_filter": op5_url_filter,
     "op6_exact_dedup": op6_exact_dedup,
