@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, lang_id, lm_scoring, minhash, mixing, sharding, topk_search, url_filter
+from . import bpe, exact_dedup, lang_id, line_dedup, lm_scoring, minhash, mixing, sharding, topk_search, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.decide(table(spark, sf_dir, "documents"))
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = lm_scoring.score(docs, docs.where(lang_id.remainder(10) != 0))
@@ -58,6 +62,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_line_dedup": op2_line_dedup,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_sharding": op4_sharding,
     "op5_url_filter": op5_url_filter,

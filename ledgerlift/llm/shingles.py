@@ -36,11 +36,14 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    found = words(text)
+def hash_words(found: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, found), dtype=np.uint64, count=len(found))
 
 
+def word_hashes(text: str | None) -> np.ndarray:
+    return hash_words(words(text))
+
+
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles; of fewer words, the whole sequence as one; of none, nothing."""
     h = word_hashes(text)
