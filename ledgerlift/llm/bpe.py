@@ -19,28 +19,43 @@ import heapq
 import json
 import mmap
 import os
+import re
 import tempfile
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Words in the automaton, and the longest of them in bytes: they bound what is broadcast.
-LEXICON = 50_000
+LEXICON = 100_000
 LONGEST = 64
 #: Words that a worker remembers; the memo is emptied beyond.
-MEMO = 300_000
-#: Distinct words that one batch counts before it hands them on.
-COUNTED = 200_000
+MEMO = 500_000
+#: Distinct words that a task counts before it hands them on.
+COUNTED = 300_000
+#: Classes of counts per power of two, by which the frequent words are chosen.
+SCALE = 16
 
 # The pre-token pattern of byte-level BPE, with white space spelt out.
 SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
+# The same pattern for texts below U+0250, where its classes are short lists and the plain engine is faster.
+LETTERS, NUMBERS, PLAIN_SPACE = "A-Za-z\xAA\xB5\xBA\xC0-\xD6\xD8-\xF6\xF8-\u024F", "0-9\xB2\xB3\xB9\xBC-\xBE", r"\t-\r \x85\xA0"
+PLAIN_TOKEN = rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{PLAIN_SPACE}{LETTERS}{NUMBERS}]+|[{PLAIN_SPACE}]+(?![^{PLAIN_SPACE}])|[{PLAIN_SPACE}]+"
+_wide, _full, _plain = re.compile("[^\0-\u024F]"), regex.compile(PRE_TOKEN), re.compile(PLAIN_TOKEN)
+
+
+def pre_tokens(text: str) -> list[str]:
+    return (_full if _wide.search(text) else _plain).findall(text)
+
 
 def byte_alphabet() -> dict[str, int]:
     """The printable character that stands for each byte in a byte-level vocabulary: printable Latin-1 for itself, the others from U+0100 on."""
@@ -66,7 +81,26 @@ class Vocabulary:
         self.first_byte = [self.id_of[bytes([b])] for b in range(256)]
 
     def merge(self, word: bytes) -> list[int]:
-        """The ids of one pre-token: merges of lowest rank first, of equal ones the leftmost. O(n log n) for long words."""
+        """The ids of one pre-token: merges of lowest rank first, of equal ones the leftmost."""
+        if len(word) > LONGEST:
+            return self.merge_long(word)
+        ids, get, none = [self.first_byte[b] for b in word], self.rank.get, (1 << 60, 0)
+        found = [get(pair, none) for pair in zip(ids, ids[1:], strict=False)]
+        while found:
+            best = min(found)
+            if best is none:
+                break
+            i = found.index(best)
+            ids[i : i + 2] = [best[1]]
+            del found[i]
+            if i < len(found):
+                found[i] = get((ids[i], ids[i + 1]), none)
+            if i:
+                found[i - 1] = get((ids[i - 1], ids[i]), none)
+        return ids
+
+    def merge_long(self, word: bytes) -> list[int]:
+        """The same with a heap: O(n log n), for words of any length."""
         ids = [self.first_byte[b] for b in word]
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -131,7 +165,7 @@ def compile_lexicon(words: list[bytes], ids: list[list[int]]) -> bytes:
         finals[number[state]] = final
     offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])])
     flat = np.array([i for own in ids for i in own])
-    return b"".join(np.array([len(a)], "<i8").tobytes() + a.astype("<i8").tobytes() for a in (keys, targets, outputs, finals, offsets, flat))
+    return b"".join(np.array([len(a)], "<i4").tobytes() + a.astype("<i4").tobytes() for a in (keys, targets, outputs, finals, offsets, flat))
 
 
 class Lexicon:
@@ -144,9 +178,9 @@ class Lexicon:
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         at, arrays = 0, []
         while at < len(image):
-            n = int(np.frombuffer(self.map, "<i8", 1, at)[0])
-            arrays.append(np.frombuffer(self.map, "<i8", n, at + 8))
-            at += 8 + 8 * n
+            n = int(np.frombuffer(self.map, "<i4", 1, at)[0])
+            arrays.append(np.frombuffer(self.map, "<i4", n, at + 4))
+            at += 4 + 4 * n
         self.keys, self.targets, self.outputs, self.finals, self.offsets, self.ids = arrays
 
     def ranks(self, words: list[bytes]) -> np.ndarray:
@@ -172,12 +206,13 @@ class Lexicon:
 
 
 class Coder:
-    """Encodes and decodes texts with a vocabulary and, for speed, a lexicon."""
+    """Encodes and decodes texts with a vocabulary and, for speed, a lexicon. Ids travel as decimal text, joined by commas."""
 
     def __init__(self, vocabulary: Vocabulary, image: bytes = b""):
-        self.words, self.vocabulary = regex.compile(PRE_TOKEN), vocabulary
-        self.lexicon = Lexicon(image) if image else None
-        self.memo: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.vocabulary, self.lexicon = vocabulary, Lexicon(image) if image else None
+        self.piece = {str(i): b for i, b in vocabulary.bytes_of.items()}
+        self.special = {w: str(i) for w, i in vocabulary.special.items()}
+        self.memo: dict[str, str] = {}
 
     def learn(self, fresh: list[str]) -> None:
         """Put words that the memo lacks into it: from the automaton, or by merging."""
@@ -185,34 +220,34 @@ class Coder:
         ranks = self.lexicon.ranks(spelt) if self.lexicon else np.full(len(fresh), -1)
         for word, b, rank in zip(fresh, spelt, ranks.tolist(), strict=True):
             ids = self.lexicon.ids[self.lexicon.offsets[rank] : self.lexicon.offsets[rank + 1]].tolist() if rank >= 0 else self.vocabulary.merge(b)
-            self.memo[word] = (",".join(map(str, ids)), tuple(ids))
+            self.memo[word] = ",".join(map(str, ids))
 
     def parts(self, text: str) -> list[str]:
         """Pre-tokens, and special tokens as they are."""
         at = self.vocabulary.special_at
         if not at or not at.search(text):
-            return self.words.findall(text)
+            return pre_tokens(text)
         found = []
         for i, piece in enumerate(at.split(text)):
-            found += [piece] if i % 2 else self.words.findall(piece)
+            found += [piece] if i % 2 else pre_tokens(piece)
         return found
 
-    def encoded(self, texts: list[str]) -> list[list[tuple[str, tuple[int, ...]]]]:
-        """For each text, what the memo holds of each part: the ids as decimal text, and the ids."""
+    def encoded(self, texts: list[str]) -> list[str]:
+        """The ids of each text."""
         parts = [self.parts(t) for t in texts]
-        special = {w: (str(i), (i,)) for w, i in self.vocabulary.special.items()}
-        fresh = set().union(*parts) - special.keys()
+        fresh = set().union(*parts) - self.special.keys()
         if len(self.memo) + len(fresh) > MEMO:
             self.memo.clear()
         self.learn([w for w in fresh if w not in self.memo])
-        self.memo.update(special)
-        return [list(map(self.memo.__getitem__, p)) for p in parts]
+        self.memo.update(self.special)
+        return [",".join(map(self.memo.__getitem__, p)) for p in parts]
 
     def ids(self, text: str | None) -> list[int]:
-        return [i for _, own in self.encoded([text or ""])[0] for i in own]
+        found = self.encoded([text or ""])[0]
+        return [int(i) for i in found.split(",")] if found else []
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: str) -> str:
+        return b"".join(map(self.piece.__getitem__, ids.split(","))).decode("utf-8", "replace") if ids else ""
 
 
 _coders: dict[int, Coder] = {}
@@ -228,27 +263,37 @@ def coder_of(source: str, image: bytes) -> Coder:
 
 
 def frequent_words(docs: DataFrame, size: int = LEXICON) -> list[str]:
-    """The `size` most frequent pre-tokens of all texts; ties by code point. Counts are exact."""
+    """At most `size` of the most frequent pre-tokens of all texts, of equal counts all or none. Counts are exact.
+
+    Counts are sorted into SCALE classes per power of two; the classes' sizes tell which of them fit, and only their
+    words come to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = regex.compile(PRE_TOKEN), Counter()
+        counts = Counter()
 
         def out() -> pa.RecordBatch:
-            # Words over LONGEST bytes never enter the lexicon, so their counts are of no use.
-            short = [(w, n) for w, n in counts.items() if len(w) <= LONGEST]
+            words, n = pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())
             counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in short], pa.string()), pa.array([n for _, n in short], pa.int64())], ["word", "n"])
+            short = pc.less_equal(pc.binary_length(words), LONGEST)  # longer words never enter the lexicon
+            return pa.RecordBatch.from_arrays([words.filter(short), n.filter(short)], ["word", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                counts.update(words.findall(text or ""))
+                counts.update(pre_tokens(text or ""))
                 if len(counts) > COUNTED:
                     yield out()
         yield out()
 
     counted = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.col("n").desc(), "word").limit(size)
-    return [r["word"] for r in top.collect()]
+    level = F.floor(F.log2("n") * SCALE).cast("int")
+    counted = stored(counted.where("n > 1").withColumn("level", level), "word-counts")
+    least, held = None, 0
+    for row in counted.groupBy("level").count().orderBy(F.col("level").desc()).collect():  # at most 64 * SCALE rows
+        held += row["count"]
+        if held > size:
+            break
+        least = row["level"]
+    return [] if least is None else [r["word"] for r in counted.where(F.col("level") >= least).select("word").collect()]
 
 
 def build(docs: DataFrame, tokenizer: str, size: int = LEXICON) -> tuple[str, bytes]:
@@ -278,17 +323,15 @@ def run(docs: DataFrame, tokenizer: str, size: int, digests: bool) -> DataFrame:
         import hashlib
 
         coder = coder_of(*shared.value)
-        piece = coder.vocabulary.bytes_of.__getitem__
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 count, first, second = [], [], []
-                for found in coder.encoded(texts):
-                    ids = [i for _, own in found for i in own]
-                    plain = b"".join(map(piece, ids)).decode("utf-8", "replace")
-                    count.append(len(ids))
-                    first.append(hashlib.sha256(",".join([s for s, _ in found]).encode()).hexdigest() if digests else ids)
+                for ids in coder.encoded(texts):
+                    plain = coder.decode(ids)
+                    count.append(ids.count(",") + 1 if ids else 0)
+                    first.append(hashlib.sha256(ids.encode()).hexdigest() if digests else [int(i) for i in ids.split(",")] if ids else [])
                     second.append(hashlib.sha256(plain.encode()).hexdigest() if digests else plain)
                 kind = pa.string() if digests else pa.list_(pa.int32())
                 columns = [part.column(0), pa.array(count, pa.int64()), pa.array(first, kind), pa.array(second, pa.string())]
