@@ -34,7 +34,7 @@ from .sketching import sketch
 WIDTH = 5
 COORDINATES, BANDS, ROWS = 128, 25, 5
 #: Documents sketched together.
-TOGETHER = 512
+TOGETHER = 128
 #: Most bits of the filter that tells which documents' sets are needed: 16 MB.
 FILTER_BITS = 1 << 27
 

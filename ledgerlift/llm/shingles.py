@@ -7,7 +7,7 @@ import pyarrow as pa
 import xxhash
 
 #: Distinct words that a worker remembers the hashes of; emptied beyond.
-MEMO = 400_000
+MEMO = 250_000
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

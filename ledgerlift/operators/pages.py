@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import has_text, strip, token
+from ..functions.text import bind, has_text, strip, token
 
 SLACK_LEAST, SLACK_MOST = 12, 60
 
@@ -90,17 +90,23 @@ def band_text(words: Column) -> Column:
 
 def bands_of(pages: DataFrame) -> DataFrame:
     """Pages with `bands`, by left edge: box, text, words (by top and left) and, for words with one, tokens."""
-    slotted = pages.withColumn("_words", words_in(F.col("lines"))).withColumn("_slots", band_slots(F.col("_words")))
-    marked = F.transform(F.arrays_zip("_words", "_slots"), lambda z, i: F.struct(z["_slots"].alias("slot"), z["_words"]["top"].alias("top"), z["_words"]["left"].alias("left"), i.alias("at"), z["_words"].alias("word")))
 
-    def band(slot: Column) -> Column:
-        own = F.transform(F.filter("_marked", lambda m: m["slot"] == slot), lambda m: m["word"])
-        by_place = F.transform(F.array_sort(F.filter("_marked", lambda m: m["slot"] == slot)), lambda m: m["word"])
-        tokens = F.filter(F.transform(by_place, lambda w: F.struct(token(w["text"]).alias("token"), w.alias("word"))), lambda t: t["token"] != "")
-        return F.struct(*box(own)[:1], slot.alias("slot"), *box(own)[1:], strip(band_text(own)).alias("text"), by_place.alias("words"), tokens.alias("tokens"))
+    def band(marked: Column, slot: Column) -> Column:
+        return bind(F.array_sort(F.filter(marked, lambda m: m["slot"] == slot)), lambda held: made(F.transform(held, lambda m: m["word"]), slot))
 
-    slots = F.array_distinct("_slots")
-    return slotted.withColumn("_marked", marked).withColumn("bands", F.array_sort(F.transform(slots, band))).drop("_words", "_slots", "_marked")
+    def made(own: Column, slot: Column) -> Column:
+        tokens = F.filter(F.transform(own, lambda w: F.struct(token(w["text"]).alias("token"), w.alias("word"))), lambda t: t["token"] != "")
+        left, *rest = box(own)
+        return F.struct(left, slot.alias("slot"), *rest, strip(band_text(own)).alias("text"), own.alias("words"), tokens.alias("tokens"))
+
+    def marked(words: Column, slots: Column) -> Column:
+        return F.zip_with(words, slots, lambda w, s: F.struct(s.alias("slot"), w["top"].alias("top"), w["left"].alias("left"), w["row"].alias("row"), w["id"].alias("id"), w.alias("word")))
+
+    def all_bands(words: Column) -> Column:
+        both = bind(band_slots(words), lambda slots: F.struct(F.array_distinct(slots).alias("slots"), marked(words, slots).alias("marked")))
+        return bind(both, lambda b: F.array_sort(F.transform(b["slots"], lambda slot: band(b["marked"], slot))))
+
+    return pages.withColumn("bands", bind(words_in(F.col("lines")), all_bands))
 
 
 def first_lines(pages: DataFrame, n: int = 5) -> DataFrame:
