@@ -125,7 +125,7 @@ SQL = {
     "extract_revenue": f"WITH {ORDERS} SELECT key, signed AS value, raw AS raw_text, 'current' AS column_label, 0::BIGINT AS n_errors FROM s",
     "extract_assets": f"WITH {ORDERS} SELECT key, 2 * amount AS value, (2 * amount)::VARCHAR AS raw_text, 'current' AS column_label, 0::BIGINT AS n_errors FROM s",
     "extract_capital_loss": f"WITH {ORDERS} SELECT key, CASE WHEN capital < 0 THEN -capital ELSE 0 END AS value, 1::BIGINT AS n_warnings, 'capital_formula' AS source FROM s",
-    "fallback_column": f"WITH {ORDERS} SELECT key, amount AS value, amount::VARCHAR AS raw_text, 'previous' AS column_label, 0::BIGINT AS n_errors, 'column_fallback_used' AS warning FROM s",
+    "fallback_column": f"WITH {ORDERS} SELECT key, amount AS value, amount::VARCHAR AS raw_text, CASE WHEN amount BETWEEN 2000 AND 9999 THEN 'current' ELSE 'previous' END AS column_label, 0::BIGINT AS n_errors, CASE WHEN amount BETWEEN 2000 AND 9999 THEN NULL ELSE 'column_fallback_used' END AS warning FROM s",  # an amount of four digits is taken for the year, and its own word for that year's header
     "aop_fallback": f"WITH {ORDERS} SELECT key, amount AS value, amount::VARCHAR AS raw_text, 'current' AS column_label, 0::BIGINT AS n_errors FROM s",
     "multiline_anchor": f"WITH {ORDERS} SELECT key, amount AS value, amount::VARCHAR AS raw_text, 'current' AS column_label, 0::BIGINT AS n_errors FROM s",
     "upsert_results": RUN + " SELECT row_index, mb, coalesce(revenue, new_revenue) AS revenue, new_assets AS assets, new_loss AS capital_loss FROM x",
