@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: Distinct words that a worker remembers the hashes of; emptied beyond.
@@ -64,3 +67,12 @@ def lists(rows: list[np.ndarray]) -> pa.ListArray:
     ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
     flat = np.concatenate([*rows, np.zeros(0, dtype=np.uint64)]).view(np.int64)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+
+def portions(batch: pa.RecordBatch, text: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices whose texts (column `text`) have about `size` bytes together; a longer text is one slice."""
+    length = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    portion = (np.cumsum(length + 64) - length) // size
+    starts = np.flatnonzero(np.diff(portion, prepend=-1))
+    for start, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+        yield batch.slice(int(start), int(end - start))
