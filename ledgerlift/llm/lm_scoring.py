@@ -2,12 +2,14 @@
 
 1. One pass over the training documents counts unigrams and bigrams by 64-bit hashes (pre-aggregated in numpy, then
    map-side, then by shuffle). A count c has the level 1 + floor(log2 c).
-2. The Bloom filter holds an n-gram once for each level from the lowest kept one up to its own. It is cut into segments
-   by hash; each segment is filled by one task and has SEGMENT_BITS bits. The lowest level is the smallest for which
-   the whole filter stays within FILTER_BITS: that bounds what is broadcast at any corpus size.
+2. The Bloom filter holds an n-gram once for each level up to its own. It is cut into segments by hash, of SEGMENT_BITS
+   bits each; their number grows with the corpus, and SHARD of them are filled by one task.
 3. A second pass scores all documents. A count is read back by probing level after level until a probe fails; the bits
    of a probe lie in one 64-bit word, and each distinct bigram of a batch is looked up once. The
    probability of a word after a word is smoothed with a Dirichlet prior on the unigram probability.
+   A filter of at most FILTER_BITS is broadcast. A larger one stays in its shards: documents are stored in chunks, the
+   distinct n-grams of a chunk are sent to their shards, probed there, and the levels come back to the chunk. Both ways
+   probe the same filter, so that the scores are equal.
 4. The exact base score needs exact counts: those of the most frequent words (at most HEAD) are broadcast as two
    sorted arrays, and the tokens that are not among them are joined with the other counts by an ordinary shuffle.
 
@@ -28,11 +30,13 @@ from pyspark.sql import functions as F
 from .common import stored
 from .shingles import M1, hash_words, lists, mix, portions, word_hashes, words
 
-#: Bits of a filter segment, and of the whole filter at most: 32 MB.
+#: Bits of a filter segment, and of the largest filter that is broadcast: 32 MB.
 SEGMENT_BITS = 1 << 20
 SEGMENT_WORDS = SEGMENT_BITS // 64
 FILTER_BITS = 1 << 28
 BITS_EACH, HASHES = 10, 4
+#: Segments that one task fills and probes: 8 MB.
+SHARD = 64
 LEVELS = 62
 #: Words whose exact counts are broadcast, at 16 bytes each.
 HEAD = 1_000_000
@@ -41,6 +45,8 @@ PRIOR, ADD = 100.0, 0.1
 END = np.uint64(0x5851F42D4C957F2D)
 #: Tokens counted together in a task; bytes of text scored together (a longer text goes alone); distinct words that a worker remembers.
 TOGETHER, PORTION, MEMO = 2_000_000, 1_500_000, 200_000
+#: Bytes of text in a chunk, where the filter is not broadcast.
+CHUNK = 4_000_000
 
 
 def pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -78,18 +84,39 @@ def level_of(n):
     return (F.floor(F.log2(n.cast("double"))) + 1).cast("int")
 
 
+def pack(keys: np.ndarray) -> bytes:
+    """Sorted keys as compressed differences, byte by byte."""
+    return pa.compress(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(packed: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, decompressed_size=8 * n, codec="zstd"), dtype=np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, n).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 class Filter:
-    """The log-frequency Bloom filter: 64-bit words in segments, and the lowest level that it holds."""
+    """The log-frequency Bloom filter: 64-bit words of the segments from `first` on, out of `segments` in all."""
 
-    def __init__(self, words_: np.ndarray, lowest: int):
-        self.words, self.lowest = words_, lowest
-        self.segments = len(words_) // SEGMENT_WORDS
+    def __init__(self, words_: np.ndarray, segments: int, first: int = 0):
+        self.words, self.segments, self.first = words_, segments, first
+
+    def starts(self, keys: np.ndarray) -> np.ndarray:
+        return (segment_of(keys, self.segments).astype(np.int64) - self.first) * SEGMENT_WORDS
+
+    def add(self, keys: np.ndarray, level: int) -> None:
+        """Add keys of one level to all levels up to it."""
+        start = self.starts(keys)
+        for j in range(1, level + 1):
+            place, mask = probes(keys, j)
+            np.bitwise_or.at(self.words, start + place, mask)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The highest level up to which all probes of a key succeed; 0 if none does."""
         level = np.zeros(len(keys), dtype=np.int64)
-        at, start = np.arange(len(keys)), segment_of(keys, self.segments).astype(np.int64) * SEGMENT_WORDS
-        for j in range(self.lowest, LEVELS if self.segments else 0):
+        if not self.segments:
+            return level
+        at, start = np.arange(len(keys)), self.starts(keys)
+        for j in range(1, LEVELS):
             place, mask = probes(keys, j)
             hit = np.flatnonzero((self.words[start + place] & mask) == mask)
             if len(hit) < len(at):
@@ -101,13 +128,34 @@ class Filter:
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """The middle of each key's class of counts; 0 for keys that the filter lacks."""
-        level = self.levels(keys)
-        return np.where(level > 1, 1.5 * 2.0 ** (level - 1) - 0.5, level)
+        return middle_of(self.levels(keys))
+
+
+class Looked:
+    """Levels of a chunk's n-grams as its shards gave them: sorted keys and their levels."""
+
+    def __init__(self, keys: np.ndarray, levels: np.ndarray):
+        self.keys, self.found = keys, levels
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        return middle_of(self.found[np.searchsorted(self.keys, keys)])
+
+
+def middle_of(level: np.ndarray) -> np.ndarray:
+    return np.where(level > 1, 1.5 * 2.0 ** (level - 1) - 0.5, level)
 
 
 def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
-    """The segment of each key, from its top 16 bits; segments is a power of two up to 2 ** 16."""
-    return (keys >> np.uint64(48)) * np.uint64(segments) >> np.uint64(16)
+    """The segment of each key, from its top 32 bits; segments is a power of two up to 2 ** 32."""
+    return (keys >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)
+
+
+def parts(keys: np.ndarray, segments: int, shard: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Sorted keys by shard, which rises with them."""
+    of = segment_of(keys, segments).astype(np.int64) // shard
+    starts = np.flatnonzero(np.diff(of, prepend=-1))
+    for start, end in zip(starts, [*starts[1:], len(keys)], strict=True):
+        yield int(of[start]), keys[start:end]
 
 
 def probes(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,30 +167,116 @@ def probes(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint64(64 - SEGMENT_WORDS.bit_length() + 1)).astype(np.int64), mask
 
 
-def build_filter(counts: DataFrame, bits: int = FILTER_BITS) -> Filter:
-    """The filter of stored (order, key, n). Only the sizes of the levels and the filter itself come to the driver."""
-    levelled = counts.select("key", level_of(F.col("n")).alias("level"))
-    sizes = {r["level"]: r["count"] for r in levelled.groupBy("level").count().collect()}  # at most 64 rows
-    entries = lambda low: sum(n * (level - low + 1) for level, n in sizes.items() if level >= low)
-    lowest = next(low for low in range(1, LEVELS + 2) if entries(low) * BITS_EACH <= bits)
-    if not entries(lowest):
-        return Filter(np.zeros(0, dtype=np.uint64), lowest)
-    segments = 1 << max(0, math.ceil(math.log2(entries(lowest) * BITS_EACH / SEGMENT_BITS)))
+PACKED = "shard int, chunk long, level int, n long, keys binary"
+
+
+def packed(rows: list[tuple]) -> pa.RecordBatch:
+    """(shard, chunk, level, sorted keys) as PACKED."""
+    shard, chunk, level, keys = zip(*rows, strict=True)
+    columns = [pa.array(shard, pa.int32()), pa.array(chunk, pa.int64()), pa.array(level, pa.int32()), pa.array(map(len, keys), pa.int64()), pa.array(map(pack, keys), pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["shard", "chunk", "level", "n", "keys"])
+
+
+def segments_for(counts: DataFrame) -> int:
+    """Segments for all of stored (order, key, n), a power of two; 0 without rows. At most 64 rows come to the driver."""
+    sizes = {r["level"]: r["count"] for r in counts.groupBy(level_of(F.col("n")).alias("level")).count().collect()}
+    entries = sum(n * level for level, n in sizes.items())
+    return 1 << max(0, math.ceil(math.log2(entries * BITS_EACH / SEGMENT_BITS))) if entries else 0
+
+
+def entries_of(counts: DataFrame, segments: int, shard: int) -> DataFrame:
+    """PACKED keys of each shard and level, without a chunk."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            keys, level = (np.concatenate(x) for x in zip(*held, strict=True))
+            return packed([(at, None, int(j), own) for j in np.unique(level) for at, own in parts(np.sort(keys[level == j]), segments, shard)])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
+                size += batch.num_rows
+            if size >= TOGETHER:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
+
+    return counts.select("key", level_of(F.col("n")).alias("level")).mapInArrow(deal, PACKED)
+
+
+def filled(rows: pa.Table, segments: int, shard: int) -> Filter:
+    """The filter of one shard from its PACKED rows without a chunk."""
+    at = rows.column("shard")[0].as_py()
+    own = Filter(np.zeros(min(shard, segments) * SEGMENT_WORDS, dtype=np.uint64), segments, at * shard)
+    for chunk, level, n, keys in zip(*(rows.column(c) for c in ("chunk", "level", "n", "keys")), strict=True):
+        if not chunk.is_valid:
+            own.add(unpack(keys.as_buffer(), n.as_py()), level.as_py())
+    return own
+
+
+def build_filter(counts: DataFrame, segments: int | None = None, shard: int = SHARD) -> Filter:
+    """The whole filter of stored (order, key, n), for a broadcast. Only the sizes of the levels and the filter itself come to the driver."""
+    segments = segments_for(counts) if segments is None else segments
+    out = np.zeros(segments * SEGMENT_WORDS, dtype=np.uint64)
+    if not segments:
+        return Filter(out, 0)
 
     def fill(key: tuple, rows: pa.Table) -> pa.Table:
-        keys, level = rows.column("key").to_numpy().view(np.uint64), rows.column("level").to_numpy()
-        own = np.zeros(SEGMENT_WORDS, dtype=np.uint64)
-        for j in range(lowest, int(level.max()) + 1):
-            np.bitwise_or.at(own, *probes(keys[level >= j], j))
-        image = own.astype("<u8").tobytes()
-        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([image], pa.binary())], ["segment", "image"])
+        image = filled(rows, segments, shard).words.astype("<u8").tobytes()
+        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([image], pa.binary())], ["shard", "image"])
+
+    images = entries_of(counts, segments, shard).groupBy("shard").applyInArrow(fill, "shard int, image binary").toArrow()
+    for at, image in zip(images.column("shard").to_pylist(), images.column("image").to_pylist(), strict=True):
+        start = at * shard * SEGMENT_WORDS
+        out[start : start + len(image) // 8] = np.frombuffer(image, dtype="<u8")
+    return Filter(out, segments)
+
+
+def chunked(docs: DataFrame, size: int = CHUNK) -> DataFrame:
+    """Stored (chunk, docs): rows of doc_id and text in chunks of about `size` bytes, each as a compressed Arrow stream."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in portions(batch, 1, size):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                    writer.write_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["docs"])
 
-    segment = F.shiftright(F.shiftrightunsigned("key", 48) * segments, 16).cast("int")
-    filled = levelled.where(F.col("level") >= lowest).withColumn("segment", segment).groupBy("segment").applyInArrow(fill, "segment int, image binary").toArrow()
-    out = np.zeros((segments, SEGMENT_WORDS), dtype=np.uint64)
-    for place, image in zip(filled.column("segment").to_pylist(), filled.column("image").to_pylist(), strict=True):
-        out[place] = np.frombuffer(image, dtype="<u8")
-    return Filter(out.reshape(-1), lowest)
+    cut_ = docs.select("doc_id", "text").mapInArrow(cut, "docs binary")
+    return stored(cut_.select(F.monotonically_increasing_id().alias("chunk"), "docs"), "lm-chunks")
+
+
+def docs_of(chunk: pa.Scalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(chunk.as_buffer()).read_next_batch()
+
+
+def keys_of(texts: list[str | None]) -> np.ndarray:
+    """The sorted distinct n-grams that scoring the texts together looks up."""
+    tokens = np.concatenate([[END], *(np.append(word_hashes(t), END) for t in texts)]).astype(np.uint64)
+    return np.unique(np.concatenate([tokens, pair_keys(tokens[:-1], tokens[1:])]))
+
+
+def levels_of(chunks: DataFrame, counts: DataFrame, segments: int, shard: int) -> DataFrame:
+    """(chunk, shard, levels): a byte for each n-gram of a chunk in a shard, in the order of keys. No task holds more than a shard."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, docs in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield packed([(at, chunk, None, own) for at, own in parts(keys_of(docs_of(docs).column(1).to_pylist()), segments, shard)])
+
+    def answer(key: tuple, rows: pa.Table) -> pa.Table:
+        own = filled(rows, segments, shard)
+        asked = rows.filter(rows.column("chunk").is_valid())
+        told = [own.levels(unpack(k.as_buffer(), n.as_py())).astype(np.uint8).tobytes() for n, k in zip(asked.column("n"), asked.column("keys"), strict=True)]
+        return pa.Table.from_arrays([asked.column("chunk"), asked.column("shard"), pa.array(told, pa.binary())], ["chunk", "shard", "levels"])
+
+    both = entries_of(counts, segments, shard).unionByName(chunks.mapInArrow(ask, PACKED))
+    return both.groupBy("shard").applyInArrow(answer, "chunk long, shard int, levels binary")
 
 
 def head_words(words_: DataFrame, head: int = HEAD) -> tuple[np.ndarray, np.ndarray, int]:
@@ -165,7 +299,7 @@ def head_words(words_: DataFrame, head: int = HEAD) -> tuple[np.ndarray, np.ndar
 class Scorer:
     """Scores texts with the filter and the head's exact counts; remembers what it looked up of each word."""
 
-    def __init__(self, held: Filter, keys: np.ndarray, counts: np.ndarray, tokens: int, distinct: int):
+    def __init__(self, held: Filter | Looked, keys: np.ndarray, counts: np.ndarray, tokens: int, distinct: int):
         self.filter, self.keys, self.exact = held, keys, counts
         self.total = tokens + ADD * (distinct + 1)
         self.clear()
@@ -217,28 +351,45 @@ class Scorer:
         return np.diff(ends, prepend=0), sums[0], sums[1], sums[2], others
 
 
-def score(docs: DataFrame, training: DataFrame, bits: int = FILTER_BITS, head: int = HEAD) -> DataFrame:
-    """One row per document: doc_id, n_tokens, n_known, train_tokens, base_score, score."""
+def score(docs: DataFrame, training: DataFrame, bits: int = FILTER_BITS, head: int = HEAD, shard: int = SHARD, chunk: int = CHUNK) -> DataFrame:
+    """One row per document: doc_id, n_tokens, n_known, train_tokens, base_score, score. A filter above `bits` is not broadcast."""
     counts = n_grams(training)
-    held = build_filter(counts, bits)
+    segments = segments_for(counts)
+    fits = segments * SEGMENT_BITS <= bits
+    held = build_filter(counts, segments, shard) if fits else None
     unigrams = counts.where("order = 1").select("key", "n")
     sums = unigrams.agg(F.sum("n"), F.count("*")).first()
     tokens, distinct = sums[0] or 0, sums[1]
     keys, exact, least = head_words(unigrams, head)
     shared = docs.sparkSession.sparkContext.broadcast((held, keys, exact))  # at most FILTER_BITS and HEAD entries
 
+    def told(scorer: Scorer, part: pa.RecordBatch) -> pa.RecordBatch:
+        n, known, base, model, others = scorer.score(part.column(1).to_pylist())
+        columns = [part.column(0), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(model), lists(others)]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "head_known", "head_base", "score", "others"])
+
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value, tokens, distinct)
         for batch in batches:
             for part in portions(batch, 1, PORTION):
-                n, known, base, model, others = scorer.score(part.column(1).to_pylist())
-                columns = [part.column(0), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(model), lists(others)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "head_known", "head_base", "score", "others"])
+                yield told(scorer, part)
+
+    def scored_chunk(left: pa.Table, right: pa.Table) -> pa.Table:
+        part = docs_of(left.column("docs")[0])
+        found = keys_of(part.column(1).to_pylist())
+        levels = np.frombuffer(b"".join(right.sort_by("shard").column("levels").to_pylist()), dtype=np.uint8).astype(np.int64)
+        if len(levels) != len(found):
+            raise ValueError(f"{len(found)} n-grams of a chunk, levels of {len(levels)}")
+        return pa.Table.from_batches([told(Scorer(Looked(found, levels), *shared.value[1:], tokens, distinct), part)])
 
     key = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {key}, n_tokens long, head_known long, head_base double, score double, others array<long>"
-    partial = docs.select("doc_id", "text").mapInArrow(scored, schema).withColumn("row", F.monotonically_increasing_id())
-    partial = stored(partial, "lm-partial")
+    if fits:
+        partial = docs.select("doc_id", "text").mapInArrow(scored, schema)
+    else:
+        chunks = chunked(docs, chunk)
+        partial = chunks.groupBy("chunk").cogroup(levels_of(chunks, counts, segments, shard).groupBy("chunk")).applyInArrow(scored_chunk, schema)
+    partial = stored(partial.withColumn("row", F.monotonically_increasing_id()), "lm-partial")
     # Tokens outside the head: counted per document first, then joined with the counts that were not broadcast.
     outside = partial.select("row", F.explode("others").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
     rare = unigrams.where(F.floor(F.log2("n") * 16) < least)

@@ -165,6 +165,19 @@ def test_bloom_filter_has_no_false_negatives(spark):
     assert (level >= own).all() and (level == own).mean() > 0.95
 
 
+def test_lm_scores_do_not_depend_on_the_broadcast_bound(spark, docs):
+    words_ = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", i), F.lit(5000))))
+    made = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 100 == 0, F.lit("seen often and again")).otherwise(F.array_join(words_, " ")).alias("text"))
+    many = made.unionByName(docs.select("doc_id", "text"))
+    training = many.where("doc_id % 10 <> 0")
+    assert lm_scoring.segments_for(lm_scoring.n_grams(training)) > 2
+    wide = sorted(lm_scoring.score(many, training).collect(), key=str)
+    narrow = sorted(lm_scoring.score(many, training, bits=100_000, shard=1, chunk=100_000).collect(), key=str)
+    assert len(wide) == len(narrow) == many.count()
+    for a, b in zip(wide, narrow, strict=True):
+        assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], rel=1e-12)
+
+
 def test_sharding(docs, none):
     got = sharding.assign(docs, shards=5).collect()
     assert len(got) == len(pairs())
