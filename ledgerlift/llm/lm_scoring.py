@@ -46,7 +46,7 @@ END = np.uint64(0x5851F42D4C957F2D)
 #: Tokens counted together in a task; bytes of text scored together (a longer text goes alone); distinct words that a worker remembers.
 TOGETHER, PORTION, MEMO = 2_000_000, 1_500_000, 200_000
 #: Bytes of text in a chunk, where the filter is not broadcast.
-CHUNK = 4_000_000
+CHUNK = 8_000_000
 
 
 def pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -84,14 +84,19 @@ def level_of(n):
     return (F.floor(F.log2(n.cast("double"))) + 1).cast("int")
 
 
+def short(keys: np.ndarray) -> np.ndarray:
+    """Keys as the filter tells them apart: by 48 bits, which two of a billion keys share less often than a probe errs."""
+    return keys & ~np.uint64(0xFFFF)
+
+
 def pack(keys: np.ndarray) -> bytes:
-    """Sorted keys as compressed differences, byte by byte."""
-    return pa.compress(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
+    """Sorted short keys as compressed differences, byte by byte."""
+    return pa.compress(np.diff(keys >> np.uint64(16), prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
 
 
 def unpack(packed: bytes, n: int) -> np.ndarray:
     planes = np.frombuffer(pa.decompress(packed, decompressed_size=8 * n, codec="zstd"), dtype=np.uint8)
-    return np.cumsum(np.ascontiguousarray(planes.reshape(8, n).T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, n).T).view(np.uint64).ravel(), dtype=np.uint64) << np.uint64(16)
 
 
 class Filter:
@@ -112,7 +117,7 @@ class Filter:
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The highest level up to which all probes of a key succeed; 0 if none does."""
-        level = np.zeros(len(keys), dtype=np.int64)
+        level, keys = np.zeros(len(keys), dtype=np.int64), short(keys)
         if not self.segments:
             return level
         at, start = np.arange(len(keys)), self.starts(keys)
@@ -138,7 +143,7 @@ class Looked:
         self.keys, self.found = keys, levels
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
-        return middle_of(self.found[np.searchsorted(self.keys, keys)])
+        return middle_of(self.found[np.searchsorted(self.keys, short(keys))])
 
 
 def middle_of(level: np.ndarray) -> np.ndarray:
@@ -197,7 +202,7 @@ def entries_of(counts: DataFrame, segments: int, shard: int) -> DataFrame:
 
         for batch in batches:
             if batch.num_rows:
-                held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
+                held.append((short(batch.column(0).to_numpy().view(np.uint64)), batch.column(1).to_numpy()))
                 size += batch.num_rows
             if size >= TOGETHER:
                 yield out()
@@ -243,7 +248,7 @@ def chunked(docs: DataFrame, size: int = CHUNK) -> DataFrame:
         for batch in batches:
             for part in portions(batch, 1, size):
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))) as writer:
                     writer.write_batch(part)
                 yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["docs"])
 
@@ -256,9 +261,9 @@ def docs_of(chunk: pa.Scalar) -> pa.RecordBatch:
 
 
 def keys_of(texts: list[str | None]) -> np.ndarray:
-    """The sorted distinct n-grams that scoring the texts together looks up."""
+    """The sorted distinct short keys of the n-grams that scoring the texts together looks up."""
     tokens = np.concatenate([[END], *(np.append(word_hashes(t), END) for t in texts)]).astype(np.uint64)
-    return np.unique(np.concatenate([tokens, pair_keys(tokens[:-1], tokens[1:])]))
+    return np.unique(short(np.concatenate([tokens, pair_keys(tokens[:-1], tokens[1:])])))
 
 
 def levels_of(chunks: DataFrame, counts: DataFrame, segments: int, shard: int) -> DataFrame:
