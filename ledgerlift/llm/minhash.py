@@ -22,19 +22,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 from .components import components
-from .shingles import M1, lists, mix, shingle_set
+from .shingles import M1, lists, mix, portions, shingle_sets
 from .sketching import sketch
 
 WIDTH = 5
 COORDINATES, BANDS, ROWS = 128, 25, 5
-#: Documents sketched together.
-TOGETHER = 128
 #: Most bits of the filter that tells which documents' sets are needed: 16 MB.
 FILTER_BITS = 1 << 27
 
@@ -53,11 +50,9 @@ def features(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, TOGETHER):
-                part = batch.slice(at, TOGETHER)
-                sets = [shingle_set(t, width) for t in part.column(1).to_pylist()]
-                full = [i for i, s in enumerate(sets) if len(s)]
-                own = iter(bands([sets[i] for i in full]))
+            for part in portions(batch, 1):
+                sets = shingle_sets(part.column(1), width)
+                own = iter(bands([s for s in sets if len(s)]))
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 rows = [next(own) if len(s) else np.zeros(0, dtype=np.uint64) for s in sets]
                 n = pa.array([len(s) for s in sets], pa.int64())
@@ -67,7 +62,7 @@ def features(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return stored(docs.select("doc_id", "text").mapInArrow(made, f"doc_id {key}, n long, class binary, bands array<long>"), "sketches")
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int = WIDTH) -> DataFrame:
+def full_sets(docs: DataFrame, wanted: DataFrame, width: int = WIDTH) -> DataFrame:
     """x, n and s (array of shingle hashes) of at least the documents whose doc_id is in wanted.x; stored.
 
     A bit filter of bounded size goes to the workers; documents that pass it by chance do no harm."""
@@ -85,9 +80,8 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int = WIDTH) -> Data
         for batch in batches:
             at = batch.column(2).to_numpy().astype(np.int64)
             batch = batch.filter(pa.array((shared.value[at >> 6].view(np.uint64) >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
-            for start in range(0, batch.num_rows, TOGETHER):
-                part = batch.slice(start, TOGETHER)
-                sets = [shingle_set(t, width) for t in part.column(1).to_pylist()]
+            for part in portions(batch, 1):
+                sets = shingle_sets(part.column(1), width)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), lists(sets)], ["x", "n", "s"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
@@ -125,7 +119,7 @@ def link(docs: DataFrame, percent: int = 85, width: int = WIDTH) -> DataFrame:
     banded = classes.select("x", F.explode("bands").alias("b"))
     shared = banded.groupBy("b").count().where("count > 1").select("b")
     members = stored(banded.join(shared, "b"), "members")
-    sets = shingle_sets(docs, members.select("x").distinct(), width)
+    sets = full_sets(docs, members.select("x").distinct(), width)
 
     # How many candidates hold each shingle; how many shingles of each are its own alone.
     spread = stored(sets.select("x", F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("df"), F.min("x").alias("one")), "spread")
@@ -157,14 +151,18 @@ def link(docs: DataFrame, percent: int = 85, width: int = WIDTH) -> DataFrame:
         held = held.join(spread.where("df > 1").select("s", "df"), "s").withColumn("place", F.row_number().over(ranked) + F.col("n") - F.col("common"))
         prefix = stored(held.where("place <= n - least + 1").select("s", "x", "n", "root", "place"), "prefixes")
         major = prefix.groupBy("s", "root").count().groupBy("s").agg(F.count("*").alias("roots"), F.max(F.struct("count", "root")).alias("top"))
-        major = major.where("roots > 1").select("s", F.col("top.root").alias("major"))
+        # Stored, so that the join of a common shingle is of two plain shuffles, which adaptive execution splits.
+        major = stored(major.where("roots > 1").select("s", F.col("top.root").alias("major")), "major")
         minor = prefix.join(major, "s").where("root != major").select("s", "x", "n", F.col("root").alias("root_x"), F.col("place").alias("place_x"))
         other = prefix.select("s", F.col("x").alias("y"), F.col("n").alias("m"), F.col("root").alias("root_y"), F.col("place").alias("place_y"))
         rest = F.least(F.col("n") - F.col("place_x"), F.col("m") - F.col("place_y")) + 1
         possible = (F.col("root_x") != F.col("root_y")) & (rest * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
         found = minor.join(other, "s").where(possible).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
         second = linked(found, sets, percent)
-        roots = components(second.unionByName(roots.select("x", F.col("root").alias("y"))))
+        discard(prefix, major)
+        if not second.isEmpty():
+            roots = components(second.unionByName(roots.select("x", F.col("root").alias("y"))))
+    discard(members, sets, spread, nodes, left)
 
     names = prints.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("x")).join(roots, "x", "left")
     names = names.select("class", F.coalesce("root", "x").alias("component"))
@@ -175,6 +173,9 @@ def link(docs: DataFrame, percent: int = 85, width: int = WIDTH) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The documents without near-copies, and of each group of near-copies the one of smallest doc_id; all columns."""
-    dropped = link(docs, percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_id"))
-    return docs.join(dropped, F.col("doc_id") == F.col("_id"), "left_anti")
+    """The documents without near-copies, and of each group of near-copies the one of smallest doc_id; all columns.
+
+    Of a doc_id that repeats, all rows stay or go; rows of null doc_id stay."""
+    dropped = link(docs.select("doc_id", "text"), percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias("gone"))
+    given = docs.select(F.struct("*").alias("given"))
+    return given.join(dropped, F.col("given.doc_id") == F.col("gone"), "left_anti").select("given.*")
