@@ -77,18 +77,17 @@ def decide(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    names = docs.columns
-    kept = decide(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("n").alias("_n"), F.col("text_sha256").alias("_digest"))
+    """The documents that stay, with all their columns. Of rows with the winner's doc_id and text one stays."""
+    kept = decide(docs.select("doc_id", "text")).where("kept").select("doc_id", "n", "text_sha256")
     # The winner is the longest of its group, then of smallest doc_id: repeated rows of it are equal in text up to white space.
-    keyed = docs.withColumns({"_digest": F.sha2(normalised(F.col("text")).cast("binary"), 256), "_n": F.length(text_of("text"))})
-    same = keyed["_digest"] == kept["_digest"]
-    found = keyed.join(kept, same & keyed["doc_id"].eqNullSafe(kept["_id"]) & (keyed["_n"] == kept["_n"]), "left_semi")
-    copies = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
-    copies = stored(copies, "repeated")
+    text = F.col("given.text")
+    keyed = docs.select(F.struct("*").alias("given")).withColumns({"digest": F.sha2(normalised(text).cast("binary"), 256), "size": F.length(text_of(text))})
+    same = (keyed["digest"] == kept["text_sha256"]) & (keyed["size"] == kept["n"])
+    found = keyed.join(kept, same & F.col("given.doc_id").eqNullSafe(kept["doc_id"]), "left_semi")
+    copies = stored(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if copies.isEmpty():
-        return found.select(*names)
-    repeated = found["doc_id"].eqNullSafe(copies["_id"])
+        return found.select("given.*")
+    repeated = F.col("given.doc_id").eqNullSafe(copies["doc_id"])
     once = found.join(copies, repeated, "left_anti")
-    again = found.join(copies, repeated, "left_semi").dropDuplicates(["doc_id", "_digest"])
-    return once.unionByName(again).select(*names)
+    again = found.join(copies, repeated, "left_semi").withColumn("id", F.col("given.doc_id")).dropDuplicates(["id", "digest"]).drop("id")
+    return once.unionByName(again).select("given.*")

@@ -99,12 +99,11 @@ def mixed(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents of the mix: each as many times as the mix takes it whole, with the columns of docs.
 
     A document without words changes no budget; it stays once."""
-    names = docs.columns
-    plan = mix(docs, labels, split=False, **options)
+    plan = mix(docs.select("doc_id", "text", "source"), labels, split=False, **options)
     times = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(1)
     # Rows of one doc_id and size may be repeated; the most that any of them is taken holds for each.
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("source").alias("_from"), times.alias("_times"))
-    plan = plan.groupBy("_id", "_size", "_from").agg(F.max("_times").alias("_times")).where("_times > 0")
-    sized = docs.withColumn("_words", word_count(text_of("text")))
-    found = sized.join(plan, sized["doc_id"].eqNullSafe(plan["_id"]) & (sized["_words"] == plan["_size"]) & sized["source"].eqNullSafe(plan["_from"]))
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*names)
+    plan = plan.groupBy("doc_id", "size", "source").agg(F.max(times).alias("times")).where("times > 0")
+    sized = docs.select(F.struct("*").alias("given"), word_count(text_of("text")).alias("words"))
+    same = F.col("given.doc_id").eqNullSafe(plan["doc_id"]) & (sized["words"] == plan["size"]) & F.col("given.source").eqNullSafe(plan["source"])
+    found = sized.join(plan, same).select("given", F.explode(F.sequence(F.lit(1), "times")).alias("copy"))
+    return found.select("given.*")
