@@ -1,25 +1,24 @@
 """LM scoring with a log-frequency Bloom filter of quantised n-gram counts.
 
-1. One pass over the training documents counts unigrams and bigrams by 64-bit hashes (pre-aggregated in numpy, then
-   map-side, then by shuffle). A count c has the level 1 + floor(log2 c).
-2. The Bloom filter holds an n-gram once for each level up to its own. It is cut into segments by hash, of SEGMENT_BITS
-   bits each; their number grows with the corpus, and SHARD of them are filled by one task.
+1. One pass over the training documents counts unigrams and bigrams by hashes: tasks count lots of tokens and deal the
+   distinct n-grams, packed, to parts by ranges of their hashes. A part holds the n-grams of about PART bytes of text.
+2. Each part is filled by one task: it adds the counts up and puts every n-gram into its share of the Bloom filter once for
+   each level up to its own; a count c has the level 1 + floor(log2 c). Parts of the filter grow in number with the
+   corpus, none is dropped, and each is sized for all its n-grams. The exact counts of the part's words lie beside it.
 3. A second pass scores all documents. A count is read back by probing level after level until a probe fails; the bits
-   of a probe lie in one 64-bit word, and each distinct bigram of a batch is looked up once. The
-   probability of a word after a word is smoothed with a Dirichlet prior on the unigram probability.
-   A filter of at most FILTER_BITS is broadcast. A larger one stays in its shards: documents are stored in chunks, the
-   distinct n-grams of a chunk are sent to their shards, probed there, and the levels come back to the chunk. Both ways
-   probe the same filter, so that the scores are equal.
-4. The exact base score needs exact counts: those of the most frequent words (at most HEAD) are broadcast as two
-   sorted arrays, and the tokens that are not among them are joined with the other counts by an ordinary shuffle.
+   of a probe lie in one 64-bit word, and each distinct n-gram of a lot of texts is looked up once. The probability of a
+   word after a word is smoothed with a Dirichlet prior on the unigram probability.
+   Filter and word counts of at most BROADCAST bytes together are broadcast to the workers. Larger ones stay in their
+   parts: documents are stored in chunks, the distinct n-grams of a chunk are sent to the parts, probed there, and levels
+   come back to the chunk. Both ways probe the same filter, so that the scores are equal.
+4. The exact base score takes the words' exact counts on the same ways.
 
 Defined results: null texts are empty and hold the end alone; a null doc_id trains and scores as the empty id; repeated
-rows count each; without training tokens all counts are 0; only doc_id and text are read.
+rows count each; without training tokens all counts are 0; an empty table gives no rows; only doc_id and text are read.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,218 +26,178 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
-from .shingles import M1, hash_words, lists, mix, portions, word_hashes, words
+from .common import discard, stored
+from .shingles import M1, mix, portions, word_hashes
 
-#: Bits of a filter segment, and of the largest filter that is broadcast: 32 MB.
-SEGMENT_BITS = 1 << 20
-SEGMENT_WORDS = SEGMENT_BITS // 64
-FILTER_BITS = 1 << 28
+#: Most bytes of filter and word counts that are broadcast: what the processor's cache holds.
+BROADCAST = 8 << 20
 BITS_EACH, HASHES = 10, 4
-#: Segments that one task fills and probes: 8 MB.
-SHARD = 64
 LEVELS = 62
-#: Words whose exact counts are broadcast, at 16 bytes each.
-HEAD = 1_000_000
 #: Weight of the unigram prior, and the base score's addition to every count.
 PRIOR, ADD = 100.0, 0.1
 END = np.uint64(0x5851F42D4C957F2D)
-#: Tokens counted together in a task; bytes of text scored together (a longer text goes alone); distinct words that a worker remembers.
-TOGETHER, PORTION, MEMO = 2_000_000, 1_500_000, 200_000
+#: Tokens counted together in a task, and bytes of training text whose n-grams make a part.
+TOGETHER, PART = 2_000_000, 1 << 25
 #: Bytes of text in a chunk, where the filter is not broadcast.
 CHUNK = 8_000_000
 
 
-def pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    return mix(before * M1 + after)
+def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of all texts, an end after each; and the number of tokens of each text."""
+    h, n = word_hashes(column)
+    out = np.full(len(h) + len(n), END)
+    ends = np.zeros(len(out), dtype=bool)
+    ends[np.cumsum(n + 1) - 1] = True
+    out[~ends] = h
+    return out, n + 1
 
 
-def n_grams(training: DataFrame) -> DataFrame:
-    """Stored (order, key, n): the exact counts of all unigrams and bigrams."""
+def pair_keys(tokens: np.ndarray) -> np.ndarray:
+    """Keys of each token with the one before it; the first comes after an end. Filters tell them apart by 48 bits, which two of a billion
+    keys share less often than a probe errs."""
+    return short(mix(np.append(END, tokens[:-1])[: len(tokens)] * M1 + tokens))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
 
-        def out() -> Iterator[pa.RecordBatch]:
-            tokens = np.concatenate([[END], *held]).astype(np.uint64)
-            for order, keys in ((1, tokens[1:]), (2, pair_keys(tokens[:-1], tokens[1:]))):
-                key, n = np.unique(keys, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), order), pa.int8()), pa.array(key.view(np.int64)), pa.array(n, pa.int64())], ["order", "key", "n"])
+def short(keys: np.ndarray) -> np.ndarray:
+    return keys & ~np.uint64(0xFFFF)
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(np.append(word_hashes(text), END))
-                size += len(held[-1])
-                if size >= TOGETHER:
-                    yield from out()
-                    held, size = [], 0
-        if held:
-            yield from out()
 
-    counted = training.select("text").mapInArrow(count, "order byte, key long, n long")
-    return stored(counted.groupBy("order", "key").agg(F.sum("n").alias("n")), "n-grams")
+def pack(keys: np.ndarray, bits: int) -> bytes:
+    """Sorted keys without their lowest bits, as compressed differences, byte by byte."""
+    return pa.compress(np.diff(keys >> np.uint64(bits), prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
 
 
-def level_of(n):
-    return (F.floor(F.log2(n.cast("double"))) + 1).cast("int")
+def unpack(packed: bytes, n: int, bits: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, decompressed_size=8 * n, codec="zstd"), dtype=np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, n).T).view(np.uint64).ravel(), dtype=np.uint64) << np.uint64(bits)
 
 
-def short(keys: np.ndarray) -> np.ndarray:
-    """Keys as the filter tells them apart: by 48 bits, which two of a billion keys share less often than a probe errs."""
-    return keys & ~np.uint64(0xFFFF)
+#: Bits that are left out of packed keys of each order.
+LOW = {1: 0, 2: 16}
 
 
-def pack(keys: np.ndarray) -> bytes:
-    """Sorted short keys as compressed differences, byte by byte."""
-    return pa.compress(np.diff(keys >> np.uint64(16), prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
+def by_part(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
+    """(part, start, end) of sorted keys: a part is the top `bits` bits."""
+    part = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), dtype=np.int64)
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
+    for start, end in zip(starts, [*starts[1:], len(keys)], strict=True):
+        yield int(part[start]), start, end
 
 
-def unpack(packed: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(packed, decompressed_size=8 * n, codec="zstd"), dtype=np.uint8)
-    return np.cumsum(np.ascontiguousarray(planes.reshape(8, n).T).view(np.uint64).ravel(), dtype=np.uint64) << np.uint64(16)
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and their sums."""
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    start = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+    return keys[start], np.add.reduceat(n, start) if len(start) else n
 
 
 class Filter:
-    """The log-frequency Bloom filter: 64-bit words of the segments from `first` on, out of `segments` in all."""
-
-    def __init__(self, words_: np.ndarray, segments: int, first: int = 0):
-        self.words, self.segments, self.first = words_, segments, first
-
-    def starts(self, keys: np.ndarray) -> np.ndarray:
-        return (segment_of(keys, self.segments).astype(np.int64) - self.first) * SEGMENT_WORDS
-
-    def add(self, keys: np.ndarray, level: int) -> None:
-        """Add keys of one level to all levels up to it."""
-        start = self.starts(keys)
-        for j in range(1, level + 1):
-            place, mask = probes(keys, j)
-            np.bitwise_or.at(self.words, start + place, mask)
+    """One part of the log-frequency Bloom filter: 64-bit words."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    @classmethod
+    def of(cls, keys: np.ndarray, n: np.ndarray) -> Filter:
+        """A filter sized for keys with their counts."""
+        level = np.floor(np.log2(n)).astype(np.int64) + 1
+        out = cls(np.zeros(int(level.sum()) * BITS_EACH // 64 + 1, dtype=np.uint64))
+        for j in range(1, int(level.max(initial=0)) + 1):
+            keys, level = keys[level >= j], level[level >= j]
+            place, mask = out.probes(keys, j)
+            order = np.argsort(place)
+            place, mask = place[order], mask[order]
+            start = np.flatnonzero(np.diff(place, prepend=-1))
+            out.words[place[start]] |= np.bitwise_or.reduceat(mask, start)
+        return out
+
+    def probes(self, keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """The word that a key's level falls in, and the HASHES bits of it: one read of memory per probe."""
+        h = mix(keys + np.uint64(level * int(M1) & 0xFFFFFFFFFFFFFFFF))
+        mask = np.uint64(1) << (h & np.uint64(63))
+        for i in range(1, HASHES):
+            mask |= np.uint64(1) << (h >> np.uint64(6 * i) & np.uint64(63))
+        return ((h >> np.uint64(32)) * np.uint64(len(self.words)) >> np.uint64(32)).astype(np.int64), mask
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The highest level up to which all probes of a key succeed; 0 if none does."""
-        level, keys = np.zeros(len(keys), dtype=np.int64), short(keys)
-        if not self.segments:
-            return level
-        at, start = np.arange(len(keys)), self.starts(keys)
+        level, at = np.zeros(len(keys), dtype=np.uint8), np.arange(len(keys))
         for j in range(1, LEVELS):
-            place, mask = probes(keys, j)
-            hit = np.flatnonzero((self.words[start + place] & mask) == mask)
-            if len(hit) < len(at):
-                at, keys, start = at[hit], keys[hit], start[hit]
+            place, mask = self.probes(keys, j)
+            hit = np.flatnonzero((self.words[place] & mask) == mask)
+            at, keys = at[hit], keys[hit]
             if not len(at):
                 break
             level[at] = j
         return level
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """The middle of each key's class of counts; 0 for keys that the filter lacks."""
-        return middle_of(self.levels(keys))
-
-
-class Looked:
-    """Levels of a chunk's n-grams as its shards gave them: sorted keys and their levels."""
-
-    def __init__(self, keys: np.ndarray, levels: np.ndarray):
-        self.keys, self.found = keys, levels
-
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        return middle_of(self.found[np.searchsorted(self.keys, short(keys))])
-
 
 def middle_of(level: np.ndarray) -> np.ndarray:
+    """The middle of a level's counts."""
+    level = level.astype(np.int64)
     return np.where(level > 1, 1.5 * 2.0 ** (level - 1) - 0.5, level)
 
 
-def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
-    """The segment of each key, from its top 32 bits; segments is a power of two up to 2 ** 32."""
-    return (keys >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)
+class Part:
+    """What a part knows: levels of n-grams, and exact counts of words."""
 
+    def __init__(self, image: bytes, keys: bytes, counts: bytes):
+        self.filter, self.keys, self.counts = Filter(np.frombuffer(image, dtype=np.uint64)), np.frombuffer(keys, dtype=np.uint64), np.frombuffer(counts, dtype=np.int64)
 
-def parts(keys: np.ndarray, segments: int, shard: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Sorted keys by shard, which rises with them."""
-    of = segment_of(keys, segments).astype(np.int64) // shard
-    starts = np.flatnonzero(np.diff(of, prepend=-1))
-    for start, end in zip(starts, [*starts[1:], len(keys)], strict=True):
-        yield int(of[start]), keys[start:end]
+    def look(self, order: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(levels, exact counts) of keys; counts of words alone."""
+        level, exact = self.filter.levels(short(keys)), np.zeros(len(keys) if order == 1 else 0, dtype=np.int64)
+        if len(exact) and len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            exact = np.where(self.keys[at] == keys, self.counts[at], 0)
+        return level, exact
 
 
-def probes(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """The word of a segment that a key's level falls in, and the HASHES bits of it: one read of memory per probe."""
-    h = mix(keys + np.uint64(level * int(M1) & 0xFFFFFFFFFFFFFFFF))
-    mask = np.uint64(1) << (h & np.uint64(63))
-    for i in range(1, HASHES):
-        mask |= np.uint64(1) << (h >> np.uint64(6 * i) & np.uint64(63))
-    return (h >> np.uint64(64 - SEGMENT_WORDS.bit_length() + 1)).astype(np.int64), mask
+COUNTED = "part int, order byte, n long, keys binary, counts binary"
 
 
-PACKED = "shard int, chunk long, level int, n long, keys binary"
+def part_bits(training: DataFrame, part: int = PART) -> int:
+    """log2 of the number of parts, by the bytes of training text."""
+    size = training.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
+    return max(0, int(-(-size // part) - 1).bit_length())
 
 
-def packed(rows: list[tuple]) -> pa.RecordBatch:
-    """(shard, chunk, level, sorted keys) as PACKED."""
-    shard, chunk, level, keys = zip(*rows, strict=True)
-    columns = [pa.array(shard, pa.int32()), pa.array(chunk, pa.int64()), pa.array(level, pa.int32()), pa.array(map(len, keys), pa.int64()), pa.array(map(pack, keys), pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, ["shard", "chunk", "level", "n", "keys"])
+def count(training: DataFrame, bits: int) -> DataFrame:
+    """Stored parts: part, image (filter), keys and counts (its words), tokens, words and entries."""
 
+    def lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(held: list[np.ndarray]) -> pa.RecordBatch:
+            tokens, rows = np.concatenate(held), []
+            for order, keys in ((1, tokens), (2, pair_keys(tokens))):
+                keys, n = np.unique(keys, return_counts=True)
+                for at, s, e in by_part(keys, bits):
+                    rows.append((at, order, e - s, pack(keys[s:e], LOW[order]), pa.compress(n[s:e].astype(np.uint32).tobytes(), codec="zstd", asbytes=True)))
+            kinds = (pa.int32(), pa.int8(), pa.int64(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "order", "n", "keys", "counts"])
 
-def segments_for(counts: DataFrame) -> int:
-    """Segments for all of stored (order, key, n), a power of two; 0 without rows. At most 64 rows come to the driver."""
-    sizes = {r["level"]: r["count"] for r in counts.groupBy(level_of(F.col("n")).alias("level")).count().collect()}
-    entries = sum(n * level for level, n in sizes.items())
-    return 1 << max(0, math.ceil(math.log2(entries * BITS_EACH / SEGMENT_BITS))) if entries else 0
-
-
-def entries_of(counts: DataFrame, segments: int, shard: int) -> DataFrame:
-    """PACKED keys of each shard and level, without a chunk."""
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def out() -> pa.RecordBatch:
-            keys, level = (np.concatenate(x) for x in zip(*held, strict=True))
-            return packed([(at, None, int(j), own) for j in np.unique(level) for at, own in parts(np.sort(keys[level == j]), segments, shard)])
-
+        held, size = [], 0
         for batch in batches:
-            if batch.num_rows:
-                held.append((short(batch.column(0).to_numpy().view(np.uint64)), batch.column(1).to_numpy()))
-                size += batch.num_rows
-            if size >= TOGETHER:
-                yield out()
-                held, size = [], 0
+            for piece in portions(batch, 0):
+                held.append(tokens_of(piece.column(0))[0])
+                size += len(held[-1])
+                if size >= TOGETHER:
+                    yield out(held)
+                    held, size = [], 0
         if held:
-            yield out()
-
-    return counts.select("key", level_of(F.col("n")).alias("level")).mapInArrow(deal, PACKED)
-
-
-def filled(rows: pa.Table, segments: int, shard: int) -> Filter:
-    """The filter of one shard from its PACKED rows without a chunk."""
-    at = rows.column("shard")[0].as_py()
-    own = Filter(np.zeros(min(shard, segments) * SEGMENT_WORDS, dtype=np.uint64), segments, at * shard)
-    for chunk, level, n, keys in zip(*(rows.column(c) for c in ("chunk", "level", "n", "keys")), strict=True):
-        if not chunk.is_valid:
-            own.add(unpack(keys.as_buffer(), n.as_py()), level.as_py())
-    return own
-
-
-def build_filter(counts: DataFrame, segments: int | None = None, shard: int = SHARD) -> Filter:
-    """The whole filter of stored (order, key, n), for a broadcast. Only the sizes of the levels and the filter itself come to the driver."""
-    segments = segments_for(counts) if segments is None else segments
-    out = np.zeros(segments * SEGMENT_WORDS, dtype=np.uint64)
-    if not segments:
-        return Filter(out, 0)
+            yield out(held)
 
     def fill(key: tuple, rows: pa.Table) -> pa.Table:
-        image = filled(rows, segments, shard).words.astype("<u8").tobytes()
-        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([image], pa.binary())], ["shard", "image"])
+        own: dict[int, list] = {1: [], 2: []}
+        for order, n, keys, counts in zip(*(rows.column(c).to_pylist() for c in ("order", "n", "keys", "counts")), strict=True):
+            own[order].append((unpack(keys, n, LOW[order]), np.frombuffer(pa.decompress(counts, decompressed_size=4 * n, codec="zstd"), dtype=np.uint32).astype(np.int64)))
+        (words, n), pairs = (summed(*(np.concatenate(x) for x in zip(*own[o], strict=True))) if own[o] else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for o in (1, 2))
+        image = Filter.of(np.concatenate([short(words), pairs[0]]), np.concatenate([n, pairs[1]])).words
+        columns = [pa.array([key[0].as_py()], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (image, words, n)), *(pa.array([int(x)], pa.int64()) for x in (n.sum(), len(words), len(words) + len(pairs[0])))]
+        return pa.Table.from_arrays(columns, ["part", "image", "keys", "counts", "tokens", "words", "entries"])
 
-    images = entries_of(counts, segments, shard).groupBy("shard").applyInArrow(fill, "shard int, image binary").toArrow()
-    for at, image in zip(images.column("shard").to_pylist(), images.column("image").to_pylist(), strict=True):
-        start = at * shard * SEGMENT_WORDS
-        out[start : start + len(image) // 8] = np.frombuffer(image, dtype="<u8")
-    return Filter(out, segments)
+    dealt = training.select("text").mapInArrow(lots, COUNTED)
+    return stored(dealt.groupBy("part").applyInArrow(fill, "part int, image binary, keys binary, counts binary, tokens long, words long, entries long"), "lm-parts")
 
 
 def chunked(docs: DataFrame, size: int = CHUNK) -> DataFrame:
@@ -248,7 +207,7 @@ def chunked(docs: DataFrame, size: int = CHUNK) -> DataFrame:
         for batch in batches:
             for part in portions(batch, 1, size):
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))) as writer:
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as writer:
                     writer.write_batch(part)
                 yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["docs"])
 
@@ -260,156 +219,102 @@ def docs_of(chunk: pa.Scalar) -> pa.RecordBatch:
     return pa.ipc.open_stream(chunk.as_buffer()).read_next_batch()
 
 
-def keys_of(texts: list[str | None]) -> np.ndarray:
-    """The sorted distinct short keys of the n-grams that scoring the texts together looks up."""
-    tokens = np.concatenate([[END], *(np.append(word_hashes(t), END) for t in texts)]).astype(np.uint64)
-    return np.unique(short(np.concatenate([tokens, pair_keys(tokens[:-1], tokens[1:])])))
+ANSWER = "chunk long, order byte, part int, levels binary, counts binary"
 
 
-def levels_of(chunks: DataFrame, counts: DataFrame, segments: int, shard: int) -> DataFrame:
-    """(chunk, shard, levels): a byte for each n-gram of a chunk in a shard, in the order of keys. No task holds more than a shard."""
+def answers(chunks: DataFrame, parts: DataFrame, bits: int) -> DataFrame:
+    """ANSWER rows: for the distinct n-grams of a chunk that lie in a part, in the order of keys, their levels and exact counts."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, docs in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                yield packed([(at, chunk, None, own) for at, own in parts(keys_of(docs_of(docs).column(1).to_pylist()), segments, shard)])
-
-    def answer(key: tuple, rows: pa.Table) -> pa.Table:
-        own = filled(rows, segments, shard)
-        asked = rows.filter(rows.column("chunk").is_valid())
-        told = [own.levels(unpack(k.as_buffer(), n.as_py())).astype(np.uint8).tobytes() for n, k in zip(asked.column("n"), asked.column("keys"), strict=True)]
-        return pa.Table.from_arrays([asked.column("chunk"), asked.column("shard"), pa.array(told, pa.binary())], ["chunk", "shard", "levels"])
-
-    both = entries_of(counts, segments, shard).unionByName(chunks.mapInArrow(ask, PACKED))
-    return both.groupBy("shard").applyInArrow(answer, "chunk long, shard int, levels binary")
-
-
-def head_words(words_: DataFrame, head: int = HEAD) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sorted keys and exact counts of the most frequent words, at most `head`; and the least count of which all words are among them."""
-    sizes = sorted(((r["level"], r["count"]) for r in words_.groupBy(F.floor(F.log2("n") * 16).cast("int").alias("level")).count().collect()), reverse=True)
-    least, held = None, 0
-    for level, count in sizes:  # at most 64 * 16 rows
-        held += count
-        if held > head:
-            break
-        least = level
-    if least is None:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), LEVELS * 16
-    rows = words_.where(F.floor(F.log2("n") * 16) >= least).select("key", "n").toArrow()
-    keys, n = rows.column("key").to_numpy().view(np.uint64), rows.column("n").to_numpy()
-    order = np.argsort(keys)
-    return keys[order], n[order], least
+                tokens, rows = tokens_of(docs_of(docs).column(1))[0], []
+                for order, keys in ((1, tokens), (2, pair_keys(tokens))):
+                    keys = np.unique(keys)
+                    rows += [(at, chunk, order, e - s, pack(keys[s:e], LOW[order])) for at, s, e in by_part(keys, bits)]
+                kinds = (pa.int32(), pa.int64(), pa.int8(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "chunk", "order", "n", "keys"])
 
+    def answer(key: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
+        own = Part(*(held.column(c)[0].as_py() for c in ("image", "keys", "counts"))) if held.num_rows else Part(bytes(8), b"", b"")
+        told = [own.look(o, k) for o, k in ((o, unpack(k, n, LOW[o])) for o, n, k in zip(*(asked.column(c).to_pylist() for c in ("order", "n", "keys")), strict=True))]
+        columns = [asked.column("chunk"), asked.column("order"), asked.column("part"), pa.array([t[0].tobytes() for t in told], pa.binary()), pa.array([t[1].tobytes() for t in told], pa.binary())]
+        return pa.Table.from_arrays(columns, ["chunk", "order", "part", "levels", "counts"])
 
-class Scorer:
-    """Scores texts with the filter and the head's exact counts; remembers what it looked up of each word."""
-
-    def __init__(self, held: Filter | Looked, keys: np.ndarray, counts: np.ndarray, tokens: int, distinct: int):
-        self.filter, self.keys, self.exact = held, keys, counts
-        self.total = tokens + ADD * (distinct + 1)
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.hash = np.zeros(0, dtype=np.uint64)
-        self.count, self.known, self.unigram = np.zeros(0), np.zeros(0, dtype=np.int64), np.zeros(0)
-        self.extend(np.array([END]))  # word 0 is the end
-
-    def extend(self, fresh: np.ndarray) -> None:
-        """Look up new words: hash, count by the filter, exact count if in the head (else -1), unigram probability."""
-        count = self.filter.counts(fresh)
-        known = np.full(len(fresh), -1, dtype=np.int64)
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, fresh), len(self.keys) - 1)
-            known = np.where(self.keys[at] == fresh, self.exact[at], -1)
-        self.hash, self.count = np.append(self.hash, fresh), np.append(self.count, count)
-        self.known, self.unigram = np.append(self.known, known), np.append(self.unigram, (count + ADD) / self.total)
-
-    def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Of each text: tokens, tokens known to the head, base score of those, model score, and hashes of all other tokens."""
-        if len(self.index) > MEMO:
-            self.clear()
-        rows, fresh = [], []
-        index = self.index
-        for text in texts:
-            own = words(text)
-            for w in set(own):
-                if w not in index:
-                    index[w] = len(index) + 1
-                    fresh.append(w)
-            rows.append(np.fromiter(map(index.__getitem__, own), dtype=np.int64, count=len(own)))
-        if fresh:
-            self.extend(hash_words(fresh))
-        ends = np.cumsum([len(r) + 1 for r in rows])
-        tokens = np.concatenate([x for r in rows for x in (r, [0])]).astype(np.int64)
-        before = np.concatenate([[0], tokens[:-1]])
-        pairs, inverse = np.unique(pair_keys(self.hash[before], self.hash[tokens]), return_inverse=True)
-        both, first = self.filter.counts(pairs)[inverse], self.count[before]
-        model = np.log10((np.minimum(both, first) + PRIOR * self.unigram[tokens]) / (first + PRIOR))
-        exact, start = self.known[tokens], np.concatenate([[0], ends[:-1]])
-        inside = exact >= 0
-        base = np.where(inside, np.log10((np.maximum(exact, 0) + ADD) / self.total), 0.0)
-        others = [self.hash[r[self.known[r] < 0]] if len(r) else np.zeros(0, dtype=np.uint64) for r in rows]
-        if self.known[0] < 0:  # without training documents the end itself is no head word
-            others = [np.append(o, END) for o in others]
-        sums = [np.add.reduceat(v, start) for v in (inside.astype(np.int64), base, model)]
-        return np.diff(ends, prepend=0), sums[0], sums[1], sums[2], others
-
-
-def score(docs: DataFrame, training: DataFrame, bits: int = FILTER_BITS, head: int = HEAD, shard: int = SHARD, chunk: int = CHUNK) -> DataFrame:
-    """One row per document: doc_id, n_tokens, n_known, train_tokens, base_score, score. A filter above `bits` is not broadcast."""
-    counts = n_grams(training)
-    segments = segments_for(counts)
-    fits = segments * SEGMENT_BITS <= bits
-    held = build_filter(counts, segments, shard) if fits else None
-    unigrams = counts.where("order = 1").select("key", "n")
-    sums = unigrams.agg(F.sum("n"), F.count("*")).first()
-    tokens, distinct = sums[0] or 0, sums[1]
-    keys, exact, least = head_words(unigrams, head)
-    shared = docs.sparkSession.sparkContext.broadcast((held, keys, exact))  # at most FILTER_BITS and HEAD entries
-
-    def told(scorer: Scorer, part: pa.RecordBatch) -> pa.RecordBatch:
-        n, known, base, model, others = scorer.score(part.column(1).to_pylist())
-        columns = [part.column(0), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(model), lists(others)]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "head_known", "head_base", "score", "others"])
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*shared.value, tokens, distinct)
-        for batch in batches:
-            for part in portions(batch, 1, PORTION):
-                yield told(scorer, part)
+    asked = chunks.mapInArrow(ask, "part int, chunk long, order byte, n long, keys binary")
+    return asked.groupBy("part").cogroup(parts.select("part", "image", "keys", "counts").groupBy("part")).applyInArrow(answer, ANSWER)
 
-    def scored_chunk(left: pa.Table, right: pa.Table) -> pa.Table:
-        part = docs_of(left.column("docs")[0])
-        found = keys_of(part.column(1).to_pylist())
-        levels = np.frombuffer(b"".join(right.sort_by("shard").column("levels").to_pylist()), dtype=np.uint8).astype(np.int64)
-        if len(levels) != len(found):
-            raise ValueError(f"{len(found)} n-grams of a chunk, levels of {len(levels)}")
-        return pa.Table.from_batches([told(Scorer(Looked(found, levels), *shared.value[1:], tokens, distinct), part)])
 
+class Scorer:
+    """Scores texts, given a way to look up levels and exact counts of sorted distinct keys of an order."""
+
+    def __init__(self, look, tokens: int, distinct: int):
+        self.look, self.total = look, tokens + ADD * (distinct + 1)
+
+    def score(self, docs: pa.RecordBatch) -> pa.RecordBatch:
+        """doc_id, n_tokens, n_known, base_score and score of a batch of doc_id and text."""
+        tokens, n = tokens_of(docs.column(1))
+        start = np.cumsum(n) - n
+        words, word = np.unique(tokens, return_inverse=True)
+        level, exact = self.look(1, words)
+        count, base = middle_of(level), np.log10((exact + ADD) / self.total)
+        pairs, pair = np.unique(pair_keys(tokens), return_inverse=True)
+        both = middle_of(self.look(2, pairs)[0])[pair]
+        end = count[np.searchsorted(words, END)]
+        before = np.append(end, count[word[:-1]])
+        model = np.log10((np.minimum(both, before) + PRIOR * ((count + ADD) / self.total)[word]) / (before + PRIOR))
+        sums = [np.add.reduceat(v, start) for v in ((exact > 0).astype(np.int64)[word], base[word], model)]
+        return pa.RecordBatch.from_arrays([docs.column(0), pa.array(n, pa.int64()), *(pa.array(s) for s in sums)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+
+def looked_up(parts: list[tuple[int, Part]], bits: int):
+    """A way to look up keys in parts that lie here."""
+    own = dict(parts)
+    none = Part(bytes(8), b"", b"")
+
+    def look(order: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = [own.get(at, none).look(order, keys[s:e]) for at, s, e in by_part(keys, bits)]
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+    return look
+
+
+def score(docs: DataFrame, training: DataFrame, broadcast: int = BROADCAST, part: int = PART, chunk: int = CHUNK) -> DataFrame:
+    """One row per document: doc_id, n_tokens, n_known, train_tokens, base_score, score. A model above `broadcast` bytes stays in parts."""
+    docs = docs.select("doc_id", "text")
+    bits = part_bits(training, part)
+    parts = count(training, bits)
+    row = parts.agg(F.sum("tokens"), F.sum("words"), F.sum(F.octet_length("image") + F.octet_length("keys") + F.octet_length("counts"))).first()
+    tokens, distinct, size = (x or 0 for x in row)
     key = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {key}, n_tokens long, head_known long, head_base double, score double, others array<long>"
-    if fits:
-        partial = docs.select("doc_id", "text").mapInArrow(scored, schema)
+    schema = f"doc_id {key}, n_tokens long, n_known long, base_score double, score double"
+    if size <= broadcast:
+        held = [tuple(r) for r in parts.select("part", "image", "keys", "counts").collect()]
+        shared = docs.sparkSession.sparkContext.broadcast(held)  # at most `broadcast` bytes
+
+        def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scorer = Scorer(looked_up([(r[0], Part(*r[1:])) for r in shared.value], bits), tokens, distinct)
+            for batch in batches:
+                for piece in portions(batch, 1):
+                    yield scorer.score(piece)
+
+        out = docs.mapInArrow(scored, schema)
+        discard(parts)
     else:
+
+        def scored_chunk(left: pa.Table, right: pa.Table) -> pa.Table:
+            right = right.sort_by([("order", "ascending"), ("part", "ascending")])
+            joined = lambda order, name, kind: np.frombuffer(b"".join(v for o, v in zip(right.column("order").to_pylist(), right.column(name).to_pylist(), strict=True) if o == order), dtype=kind)
+
+            def look(order: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                level = joined(order, "levels", np.uint8)
+                if len(level) != len(keys):
+                    raise ValueError(f"{len(keys)} n-grams of a chunk, levels of {len(level)}")
+                return level, joined(order, "counts", np.int64)
+
+            return pa.Table.from_batches([Scorer(look, tokens, distinct).score(docs_of(left.column("docs")[0]))])
+
         chunks = chunked(docs, chunk)
-        partial = chunks.groupBy("chunk").cogroup(levels_of(chunks, counts, segments, shard).groupBy("chunk")).applyInArrow(scored_chunk, schema)
-    partial = stored(partial.withColumn("row", F.monotonically_increasing_id()), "lm-partial")
-    # Tokens outside the head: counted per document first, then joined with the counts that were not broadcast.
-    outside = partial.select("row", F.explode("others").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
-    rare = unigrams.where(F.floor(F.log2("n") * 16) < least)
-    total = tokens + ADD * (distinct + 1)
-    found = outside.join(rare, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    tail = found.groupBy("row").agg(
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(F.lit(0))).alias("tail_known"),
-        F.sum(F.col("times") * F.log10((F.col("n") + ADD) / F.lit(total))).alias("tail_base"),
-    )
-    out = partial.drop("others").join(tail, "row", "left")
-    return out.select(
-        "doc_id",
-        "n_tokens",
-        (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("head_base") + F.coalesce("tail_base", F.lit(0.0))).alias("base_score"),
-        "score",
-    )
+        told = answers(chunks, parts, bits)
+        out = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(scored_chunk, schema)
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

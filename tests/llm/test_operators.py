@@ -140,8 +140,8 @@ def test_lm_scoring(docs, none):
     total, distinct = sum(ones.values()), len(ones)
     norm = total + 0.1 * (distinct + 1)
     middle = lambda c: 0 if c == 0 else 1 if c == 1 else 1.5 * 2 ** math.floor(math.log2(c)) - 0.5
-    for head in (1_000_000, 3):
-        got = lm_scoring.score(docs, docs.where(lang_id.remainder(10) != 0), head=head).collect()
+    for bound in (lm_scoring.BROADCAST, 0):
+        got = lm_scoring.score(docs, docs.where(lang_id.remainder(10) != 0), broadcast=bound, part=20_000, chunk=30_000).collect()
         assert len(got) == len(pairs())
         for r in got:
             own = tokens(dict(pairs())[r.doc_id])
@@ -156,13 +156,12 @@ def test_lm_scoring(docs, none):
     assert all(r.n_known == 0 for r in lm_scoring.score(docs, none).collect())
 
 
-def test_bloom_filter_has_no_false_negatives(spark):
+def test_bloom_filter_has_no_false_negatives():
     rng = np.random.default_rng(1)
-    counts = [(2, int(k), int(n)) for k, n in zip(rng.integers(-(1 << 63), 1 << 63, 5000), rng.integers(1, 3000, 5000), strict=True)]
-    held = lm_scoring.build_filter(spark.createDataFrame(counts, "order int, key long, n long"))
-    level = held.levels(np.array([c[1] for c in counts]).view(np.uint64))
-    own = np.array([math.floor(math.log2(c[2])) + 1 for c in counts])
+    keys, n = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64)), rng.integers(1, 3000, 5000)
+    level, own = lm_scoring.Filter.of(keys, n).levels(keys), np.floor(np.log2(n)) + 1
     assert (level >= own).all() and (level == own).mean() > 0.95
+    assert (lm_scoring.Filter.of(keys, n).levels(keys ^ np.uint64(1)) > 0).mean() < 0.05
 
 
 def test_lm_scores_do_not_depend_on_the_broadcast_bound(spark, docs):
@@ -170,9 +169,9 @@ def test_lm_scores_do_not_depend_on_the_broadcast_bound(spark, docs):
     made = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 100 == 0, F.lit("seen often and again")).otherwise(F.array_join(words_, " ")).alias("text"))
     many = made.unionByName(docs.select("doc_id", "text"))
     training = many.where("doc_id % 10 <> 0")
-    assert lm_scoring.segments_for(lm_scoring.n_grams(training)) > 2
-    wide = sorted(lm_scoring.score(many, training).collect(), key=str)
-    narrow = sorted(lm_scoring.score(many, training, bits=100_000, shard=1, chunk=100_000).collect(), key=str)
+    assert lm_scoring.part_bits(training, 100_000) > 2
+    wide = sorted(lm_scoring.score(many, training, part=100_000).collect(), key=str)
+    narrow = sorted(lm_scoring.score(many, training, broadcast=1000, part=100_000, chunk=100_000).collect(), key=str)
     assert len(wide) == len(narrow) == many.count()
     for a, b in zip(wide, narrow, strict=True):
         assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], rel=1e-12)
