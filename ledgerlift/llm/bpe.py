@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
+from .shingles import portions
 
 #: Words in the automaton, and the longest of them in bytes: they bound what is broadcast.
 LEXICON = 100_000
@@ -262,11 +263,10 @@ def coder_of(source: str, image: bytes) -> Coder:
     return _coders[key]
 
 
-def frequent_words(docs: DataFrame, size: int = LEXICON) -> list[str]:
-    """At most `size` of the most frequent pre-tokens of all texts, of equal counts all or none. Counts are exact.
+def frequent_words(docs: DataFrame, size: int = LEXICON) -> DataFrame:
+    """At most `size` of the most frequent pre-tokens of all texts (word), of equal counts all or none. Counts are exact.
 
-    Counts are sorted into SCALE classes per power of two; the classes' sizes tell which of them fit, and only their
-    words come to the driver."""
+    Counts are sorted into SCALE classes per power of two, whose sizes tell which of them fit."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counter()
@@ -278,10 +278,11 @@ def frequent_words(docs: DataFrame, size: int = LEXICON) -> list[str]:
             return pa.RecordBatch.from_arrays([words.filter(short), n.filter(short)], ["word", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(pre_tokens(text or ""))
-                if len(counts) > COUNTED:
-                    yield out()
+            for part in portions(batch, 0):
+                for text in part.column(0).to_pylist():
+                    counts.update(pre_tokens(text or ""))
+                    if len(counts) > COUNTED:
+                        yield out()
         yield out()
 
     counted = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -293,16 +294,23 @@ def frequent_words(docs: DataFrame, size: int = LEXICON) -> list[str]:
         if held > size:
             break
         least = row["level"]
-    return [] if least is None else [r["word"] for r in counted.where(F.col("level") >= least).select("word").collect()]
+    return counted.where(F.lit(False) if least is None else F.col("level") >= least).select("word")
 
 
 def build(docs: DataFrame, tokenizer: str, size: int = LEXICON) -> tuple[str, bytes]:
-    """The tokenizer's text, and the lexicon's image for the frequent words of docs."""
+    """The tokenizer's text, and the lexicon's image for the frequent words of docs, compiled by one task from at most `size` words."""
     with open(tokenizer, encoding="utf-8") as f:  # a few MB, read by the driver
         source = f.read()
-    vocabulary = Vocabulary(source)
-    words = sorted(b for w in frequent_words(docs, size) if len(b := w.encode()) <= LONGEST)
-    return source, compile_lexicon(words, [vocabulary.merge(w) for w in words]) if words else b""
+    shared = docs.sparkSession.sparkContext.broadcast(source)
+
+    def compiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = sorted(b for batch in batches for w in batch.column(0).to_pylist() if len(b := w.encode()) <= LONGEST)
+        if words:
+            vocabulary = Vocabulary(shared.value)
+            yield pa.RecordBatch.from_arrays([pa.array([compile_lexicon(words, [vocabulary.merge(w) for w in words])], pa.binary())], ["image"])
+
+    images = frequent_words(docs, size).repartition(1).mapInArrow(compiled, "image binary").collect()
+    return source, images[0]["image"] if images else b""
 
 
 def code(docs: DataFrame, tokenizer: str, size: int = LEXICON) -> DataFrame:
@@ -324,8 +332,7 @@ def run(docs: DataFrame, tokenizer: str, size: int, digests: bool) -> DataFrame:
 
         coder = coder_of(*shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in portions(batch, 1):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 count, first, second = [], [], []
                 for ids in coder.encoded(texts):

@@ -3,7 +3,8 @@
 1. One pass over all labelled training documents counts, for each hashed n-gram (1 to 3 lower-cased characters), the
    documents that hold it: the IDF covers the whole training corpus.
 2. The classifier is fitted on a bounded sample: PER_LANGUAGE documents of each of the LANGUAGES most frequent
-   languages, chosen by a hash of doc_id; whole texts are read. Training is follow-the-regularised-leader with
+   languages, chosen by a hash of doc_id; whole texts are read, where they lie, and only their n-gram counts (at most
+   SIZE slots of 4 bytes a document) meet in the one task that fits. Training is follow-the-regularised-leader with
    per-coordinate rates and elastic-net penalties (L1 leaves most weights exactly 0), on softmax gradients.
 3. A fifth of the sample is held back from fitting and sets the temperature that minimises its log loss.
 4. All documents are scored in one pass: a feature's value is its relative frequency times its IDF, so a text's scores
@@ -16,6 +17,7 @@ columns are ignored by `predict` and kept by `keep_languages`.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
+from .shingles import portions
 
 BITS = 16
 SIZE = 1 << BITS
@@ -76,14 +79,15 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen, rows = np.zeros(SIZE, dtype=np.int64), np.zeros(SIZE, dtype=bool), 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if known(text):
-                    for slots in ngram_slots(codes_of(text)):
-                        seen[slots] = True
-                    held = np.flatnonzero(seen)
-                    total[held] += 1
-                    seen[held] = False
-                    rows += 1
+            for part in portions(batch, 0):
+                for text in part.column(0).to_pylist():
+                    if known(text):
+                        for slots in ngram_slots(codes_of(text)):
+                            seen[slots] = True
+                        held = np.flatnonzero(seen)
+                        total[held] += 1
+                        seen[held] = False
+                        rows += 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(total[at], rows), pa.int64())], ["slot", "n"])
 
@@ -94,15 +98,26 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
     return out, int(n[slot < 0].sum())
 
 
-def sample(docs: DataFrame) -> tuple[list[str], list[str], list[int]]:
-    """Languages and texts of the bounded fitting sample, and a hash that splits it."""
+def sample(docs: DataFrame) -> DataFrame:
+    """lang, h (a hash that splits the sample), and slots and counts of the n-grams of the documents in the bounded fitting sample."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in portions(batch, 3):
+                found = [np.unique(text_slots(t), return_counts=True) if known(t) else None for t in part.column(3).to_pylist()]
+                packed = [[None if f is None else f[k].astype(kind).tobytes() for f in found] for k, kind in ((0, np.uint16), (1, np.uint32))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *(pa.array(p, pa.binary()) for p in packed)], ["doc_id", "lang", "h", "slots", "counts"])
+
     narrow = stored(docs.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(9)).alias("h")).where("doc_id is not null"), "lang-ids")
     common = narrow.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES)
     ranked = Window.partitionBy("lang").orderBy("h", "doc_id")
     picked = narrow.join(F.broadcast(common.select("lang")), "lang").withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= PER_LANGUAGE)
     picked = picked.select("doc_id", "h").distinct()  # at most LANGUAGES * PER_LANGUAGE ids
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(picked), "doc_id").orderBy("h", "doc_id", "lang", "text").limit(LANGUAGES * PER_LANGUAGE).toArrow()
-    return rows.column("lang").to_pylist(), rows.column("text").to_pylist(), rows.column("h").to_pylist()
+    key = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "lang", "h", "text")
+    rows = rows.mapInArrow(counted, f"doc_id {key}, lang string, h long, slots binary, counts binary").where("slots is not null")
+    # Of rows that repeat a doc_id in one language, one is in the sample.
+    return rows.groupBy("doc_id", "lang", "h").agg(F.min(F.struct("slots", "counts")).alias("f")).select("lang", "h", "doc_id", "f.*")
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -162,29 +177,43 @@ class Model:
                 count += len(own)
         return softmax(SCALE * total / max(count, 1) + self.bias)
 
+    def best(self, text: str | None) -> tuple[str, float]:
+        """The likeliest language and its probability; UNKNOWN and 0 of a text without a letter."""
+        if not self.languages or not known(text):
+            return UNKNOWN, 0.0
+        p = self.scores(text)
+        return self.languages[int(p.argmax())], float(p.max())
+
+
+def fitted(rows: list[tuple[str, int, bytes, bytes]], idf: np.ndarray) -> Model:
+    """The model of sample rows (lang, h, slots, counts); a fifth of them, by h, sets the temperature."""
+    languages = sorted({r[0] for r in rows})
+    y, held, features = np.array([languages.index(r[0]) for r in rows]), np.array([r[1] % 5 == 0 for r in rows]), []
+    for _, _, slots, counts in rows:
+        at, n = np.frombuffer(slots, np.uint16).astype(np.int64), np.frombuffer(counts, np.uint32)
+        features.append((np.append(at, SIZE), np.append(SCALE * idf[at] * n / n.sum(), 1.0)))
+    if held.all():
+        held[:] = False
+    weights = ftrl([f for f, h in zip(features, held, strict=True) if not h], y[~held], len(languages))
+    logits = np.array([x @ weights[at] for (at, x), h in zip(features, held, strict=True) if h]).reshape(-1, len(languages))
+    t = temperature(logits, y[held])
+    return Model(languages, idf[:, None] * weights[:SIZE] / t, weights[SIZE] / t)
+
 
 def fit(training: DataFrame) -> Model:
-    """The model of labelled documents (doc_id, lang, text)."""
-    training = training.where("lang is not null and text is not null")
+    """The model of labelled documents (doc_id, lang, text); fitted by one task, as the sample is bounded."""
+    training = training.where("lang is not null and text is not null").select("doc_id", "lang", "text")
     df, rows = document_frequency(training)
-    langs, texts, hashes = sample(training)
-    use = [i for i, t in enumerate(texts) if known(t)]
-    languages = sorted({langs[i] for i in use})
-    if not languages:
-        return Model([], np.zeros((SIZE, 0)), np.zeros(0))
     idf = np.log((1 + rows) / (1 + df)) + 0.1
-    features, y = [], np.array([languages.index(langs[i]) for i in use])
-    for i in use:
-        slots = text_slots(texts[i])
-        at, n = np.unique(slots, return_counts=True)
-        features.append((np.append(at, SIZE), np.append(SCALE * idf[at] * n / len(slots), 1.0)))
-    held = np.array([hashes[i] % 5 == 0 for i in use])
-    if held.all() or not held.any():
-        held[:] = False
-    fitted = ftrl([f for f, h in zip(features, held, strict=True) if not h], y[~held], len(languages))
-    logits = np.array([x @ fitted[at] for (at, x), h in zip(features, held, strict=True) if h]).reshape(-1, len(languages))
-    t = temperature(logits, y[held])
-    return Model(languages, idf[:, None] * fitted[:SIZE] / t, fitted[SIZE] / t)
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = ("lang", "h", "slots", "counts")
+        own = [r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in columns), strict=True)]
+        if own:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fitted(own, idf))], pa.binary())], ["model"])
+
+    found = sample(training).repartition(1).sortWithinPartitions("h", "lang", "doc_id").mapInArrow(once, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else Model([], np.zeros((SIZE, 0)), np.zeros(0))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -194,16 +223,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            langs, scores = [], []
-            for text in batch.column(1).to_pylist():
-                if own.languages and known(text):
-                    p = own.scores(text)
-                    langs.append(own.languages[int(p.argmax())])
-                    scores.append(float(p.max()))
-                else:
-                    langs.append(UNKNOWN)
-                    scores.append(0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+            for part in portions(batch, 1):
+                told = [own.best(t) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([t[0] for t in told], pa.string()), pa.array([t[1] for t in told], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(judge, f"doc_id {key}, lang_pred string, score double")
@@ -221,8 +243,8 @@ def keep_languages(docs: DataFrame, model: Model, least: float) -> DataFrame:
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            stay = [bool(own.languages) and known(t) and float(own.scores(t).max()) >= least for t in texts]
-            yield batch.filter(pa.array(stay, pa.bool_()))
+            for part in portions(batch, batch.schema.get_field_index("text")):
+                stay = [t[0] != UNKNOWN and t[1] >= least for t in map(own.best, part.column("text").to_pylist())]
+                yield part.filter(pa.array(stay, pa.bool_()))
 
     return docs.mapInArrow(kept, docs.schema)
