@@ -245,6 +245,32 @@ def test_topk(spark):
     assert topk_search.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_topk_leaves_the_lists_early():
+    rng = np.random.default_rng(5)
+    x = np.floor(256 * rng.normal(size=(4000, 16)) / 4).astype(np.int64)
+    ids, bar, shares = np.arange(4000), np.full(80, -np.inf), []
+    found: dict[int, list] = {}
+    for start, end in ((0, 256), (256, 1000), (1000, 4000)):
+        rows, read = topk_search.aggregate(x[::50], ids[::50], x[start:end], ids[start:end], 5, bar)
+        shares.append(read)
+        for q, i, s in rows:
+            found.setdefault(q, []).append((-s, i))
+    assert all(sorted(found[q])[:5] == sorted((-int(x[q] @ x[i]), int(i)) for i in ids if i != q)[:5] for q in ids[::50])
+    assert (shares[-1] < 1).mean() > 0.95 and shares[-1].mean() < 0.8
+
+
+def test_topk_of_scores_beyond_doubles(spark):
+    big = 1 << 40
+    rows = [(i, [float(big + i), float(big - 3 * i)]) for i in range(12)]
+    got = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=4, k=3).collect()
+    whole = [(i, [int(v * 256) for v in x]) for i, x in rows]
+    want = set()
+    for q, v in whole[::4]:
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in whole if i != q)[:3]
+        want |= {(q, r, i, min(-s, (1 << 63) - 1)) for r, (s, i) in enumerate(best, 1)}
+    assert {tuple(r) for r in got} == want
+
+
 def test_bpe(spark, docs, none):
     import public_tokenizers
     from tokenizers import Tokenizer
