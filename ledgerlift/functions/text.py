@@ -33,6 +33,15 @@ def fold(c: Column) -> Column:
     return F.translate(c, LATIN, CYRILLIC)
 
 
+def numeric_like(c: Column) -> Column:
+    return c.rlike(r"(?U)[\d\-−()+]")
+
+
+def lone_digits(c: Column) -> Column:
+    """The first four digits without digits beside them, or an empty text."""
+    return F.regexp_extract(c, r"(?<![0-9])([0-9]{4})(?![0-9])", 1)
+
+
 def token(c: Column) -> Column:
     """Folded, lower-cased, letters and digits only."""
     return F.regexp_replace(F.lower(fold(c)), r"[^\p{L}\p{N}]", "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import bind, fold, has_text, strip
+from ..functions.text import bind, fold, strip
 from ..functions.vocabulary import ROW_PATTERNS, ROW_SYNONYMS, java
 from ..schemas import WORD
 from .pages import box
@@ -13,13 +13,14 @@ from .pages import box
 ANCHOR = f"struct<tier:int,ord:int,words:array<{WORD}>,text:string,left:int,top:int,right:int,bottom:int,fallback:boolean>"
 
 
-def matches(text: Column, pattern: str, synonyms: list[str]) -> Column:
-    """Whether a label stands in a text, as it is or with look-alike letters folded."""
-    lower, folded = F.lower(text), F.lower(fold(text))
-    found = fold(text).rlike(java(pattern)) | text.rlike(java(pattern))
+def matches(line: Column, pattern: str, synonyms: list[str], folded_only: bool = False) -> Column:
+    """Whether a label stands in a line, as it is or with look-alike letters folded; synonyms perhaps in the latter alone."""
+    found = F.lit(False)
     for s in sorted({s.lower() for s in synonyms}):
-        found = found | lower.contains(s) | folded.contains(F.lower(fold(F.lit(s))))
-    return found
+        found = found | line["low_folded"].contains(F.lower(fold(F.lit(s))))
+        if not folded_only:
+            found = found | line["low"].contains(s)
+    return found | line["folded"].rlike(java(pattern)) | line["plain"].rlike(java(pattern))
 
 
 def anchor(tier: int, order: Column, words: Column, fallback: bool) -> Column:
@@ -35,17 +36,17 @@ def by_place(words: Column) -> Column:
 
 def in_lines(lines: Column, pattern: str, synonyms: list[str]) -> Column:
     """First tier: the lines that hold the label; as structs of row and anchor."""
-    held = F.transform(lines, lambda line, i: F.when(matches(strip(line["text"]), pattern, synonyms), F.struct(line["row"].alias("row"), anchor(1, i, line["words"], False).alias("anchor"))))
+    held = F.transform(lines, lambda line, i: F.when(matches(line, pattern, synonyms), F.struct(line["row"].alias("row"), anchor(1, i, line["words"], False).alias("anchor"))))
     return F.filter(held, lambda h: h.isNotNull())
 
 
 def in_bands(lines: Column, bands: Column, used: Column, pattern: str) -> Column:
     """Second tier: bands that spell the label over several lines, unless one of their lines has been used."""
     none = F.array().cast(f"array<{ANCHOR}>")
-    spelt = F.filter(bands, lambda b: (b["text"] != "") & fold(b["text"]).rlike(java(pattern)))
+    spelt = F.filter(bands, lambda b: (b["text"] != "") & b["folded"].rlike(java(pattern)))
 
     def put(acc: Column, band: Column) -> Column:
-        rows = F.array_distinct(F.transform(band["words"], lambda w: w["row"]))
+        rows = band["rows"]
         words = F.flatten(F.transform(rows, lambda r: F.get(F.filter(lines, lambda line: line["row"] == r), 0)["words"]))
         more = F.struct(F.array_union(acc["used"], rows).alias("used"), F.concat(acc["found"], F.array(anchor(2, F.size(acc["found"]), by_place(words), False))).alias("found"))
         return F.when(F.arrays_overlap(rows, acc["used"]), acc).otherwise(more)
@@ -57,13 +58,6 @@ def by_code(lines: Column, key: str) -> Column:
     """Third tier: lines with the row's code, each with the words above and below it within reach."""
     pattern, synonyms = ROW_PATTERNS[key], ROW_SYNONYMS[key]
 
-    def holds(line: Column) -> Column:
-        text = strip(line["text"])
-        found = fold(text).rlike(java(pattern)) | text.rlike(java(pattern))
-        for s in sorted(set(synonyms)):
-            found = found | F.lower(fold(text)).contains(F.lower(fold(F.lit(s))))
-        return found
-
     def around(line: Column) -> Column:
         tall = F.array_max(F.filter(F.transform(line["words"], lambda w: w["height"]), lambda h: h != 0))
         reach = F.greatest(F.lit(30), F.floor(F.coalesce(tall, F.lit(20)) * 2.5).cast("int"))
@@ -71,11 +65,11 @@ def by_code(lines: Column, key: str) -> Column:
         def collected(r: Column) -> Column:
             top, bottom = line["top"] - r, line["bottom"] + r
             near = F.filter(lines, lambda x: (x["bottom"] >= top) & (x["top"] <= bottom))
-            return F.filter(F.flatten(F.transform(near, lambda x: x["words"])), lambda w: (w["bottom"] >= top) & (w["top"] <= bottom) & has_text(w["text"]))
+            return F.filter(F.flatten(F.transform(near, lambda x: x["words"])), lambda w: (w["bottom"] >= top) & (w["top"] <= bottom))
 
         return bind(reach, collected)
 
-    groups = F.filter(F.transform(F.filter(lines, holds), around), lambda g: F.size(g) > 0)
+    groups = F.filter(F.transform(F.filter(lines, lambda line: matches(line, pattern, synonyms, folded_only=True)), around), lambda g: F.size(g) > 0)
     keyed = F.transform(groups, lambda g: F.struct(F.array_sort(F.transform(g, lambda w: w["id"])).alias("key"), g.alias("words")))
 
     def fresh(all_: Column) -> Column:

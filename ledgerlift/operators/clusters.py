@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bind, has_text, strip
+from ..functions.text import bind, numeric_like, strip
 from ..schemas import WORD
 from .columns import bounds, center
 from .pages import box
@@ -14,10 +14,6 @@ MARGIN = 8
 CODE_MARGIN = 3
 
 
-def numeric_like(text: Column) -> Column:
-    return text.rlike(r"(?U)[\d\-−()+]")
-
-
 def formula_like(text: Column) -> Column:
     return text.contains("+") | text.contains("=") | F.upper(text).contains("АОП")
 
@@ -38,10 +34,10 @@ def clusters_of(words: Column) -> Column:
         last = F.element_at(groups, -1)
         joins = (F.size(last) > 0) & ~breaks(F.element_at(last, -1), w)
         grown = F.concat(F.slice(groups, F.lit(1), F.size(groups) - 1), F.array(F.concat(last, F.array(w))))
-        return F.when(~numeric_like(w["text"]), F.concat(groups, F.array(none))).when(F.coalesce(joins, F.lit(False)), grown).otherwise(F.concat(groups, F.array(F.array(w))))
+        return F.when(~w["numeric"], F.concat(groups, F.array(none))).when(F.coalesce(joins, F.lit(False)), grown).otherwise(F.concat(groups, F.array(F.array(w))))
 
     def made(group: Column) -> Column:
-        text = F.array_join(F.transform(group, lambda w: strip(w["text"])), " ")
+        text = F.array_join(F.transform(group, lambda w: w["clean"]), " ")
         return F.struct(text.alias("text"), *box(group))
 
     start = F.array(none)
@@ -52,8 +48,8 @@ def locate(anchor: Column, chosen: Column, other: Column, lines: Column, codes:
     """struct(candidates in order of preference, clusters): texts of the numbers next to an anchor.
 
     anchor has words, box and fallback; chosen and other are year columns, codes the row-code column; each may be null."""
-    texts = F.filter(anchor["words"], lambda w: has_text(w["text"]))
-    labels = F.filter(texts, lambda w: ~numeric_like(w["text"]))
+    texts = anchor["words"]
+    labels = F.filter(texts, lambda w: ~w["numeric"])
     anchor_right = F.coalesce(F.array_max(F.transform(labels, lambda w: w["right"])), anchor["right"])
     least = anchor_right - 5
     threshold = F.when(anchor["fallback"] & codes.isNotNull(), F.least(least, codes["right"] + MARGIN)).otherwise(least)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bind, standalone_years, strip, token
+from ..functions.text import bind, standalone_years, token
 from ..functions.vocabulary import CODE_COLUMN_TOKENS, YEAR_PATTERNS, YEAR_SYNONYMS, java
 from ..schemas import COLUMN
 
@@ -46,16 +46,14 @@ def year_column(label: str, bands: Column, words: Column, page: Column, year: Co
 
     def by_tokens(variants: Column) -> Column:
         def in_band(band: Column) -> Column:
-            tokens = F.transform(band["tokens"], lambda t: t["token"])
-            found = F.filter(F.transform(variants, lambda v: F.struct(run_at(tokens, v).alias("at"), F.size(v).alias("n"))), lambda f: f["at"].isNotNull())
-            return bind(F.get(found, 0), lambda f: F.when(f.isNotNull(), column(named, page, span_of(F.transform(F.slice(band["tokens"], f["at"], f["n"]), lambda t: t["word"])), band["text"])))
+            found = F.filter(F.transform(variants, lambda v: F.struct(run_at(band["names"], v).alias("at"), F.size(v).alias("n"))), lambda f: f["at"].isNotNull())
+            return bind(F.get(found, 0), lambda f: F.when(f.isNotNull(), column(named, page, span_of(F.slice(band["spans"], f["at"], f["n"])), band["text"])))
 
         return topmost(F.filter(F.transform(bands, in_band), lambda c: c.isNotNull()))
 
     by_pattern = topmost(F.transform(F.filter(bands, lambda b: b["text"].rlike(java(YEAR_PATTERNS[label]))), lambda b: column(named, page, b, b["text"])))
     number = year if label == "current" else year - 1
-    digits = lambda w: F.regexp_extract(w["text"], r"(?<![0-9])([0-9]{4})(?![0-9])", 1)
-    numbers = F.transform(F.filter(words, lambda w: digits(w) == number.cast("string")), lambda w: column(named, page, w, w["line_text"]))
+    numbers = F.transform(F.filter(words, lambda w: w["year"] == number.cast("string")), lambda w: column(named, page, w, w["line_text"]))
     header = F.coalesce(bind(spelt(label, year), by_tokens), by_pattern)
     return bind(header, lambda h: topmost(F.concat(F.when(h.isNotNull(), F.array(h)).otherwise(F.array().cast(f"array<{COLUMN}>")), numbers)))
 
@@ -65,7 +63,7 @@ def code_column(bands: Column, page: Column) -> Column:
     targets = F.array(*[F.lit(t) for t in CODE_COLUMN_TOKENS])
 
     def holds(band: Column) -> Column:
-        tokens = F.transform(band["tokens"], lambda t: t["token"])
+        tokens = band["names"]
         letters = lambda t, i: F.transform(F.slice(tokens, i + 1, 3), lambda x: F.length(x) == 1)
         stacked = F.transform(tokens, lambda t, i: F.when(F.forall(letters(t, i), lambda x: x), F.array_join(F.slice(tokens, i + 1, 3), "")).otherwise(F.lit("")))
         return F.arrays_overlap(tokens, targets) | F.arrays_overlap(stacked, targets)
@@ -82,7 +80,7 @@ def columns_of(pages: DataFrame) -> DataFrame:
     """Pages (with bands and year) with `columns` (current, previous) and `codes`, each carried forward from earlier pages.
 
     A page with any year column uses its own ones only."""
-    worded = pages.withColumn("_words", F.flatten(F.transform("lines", lambda line: F.transform(line["words"], lambda w: w.withField("line_text", strip(line["text"]))))))
+    worded = pages.withColumn("_words", F.flatten(F.transform("lines", lambda line: F.transform(F.filter(line["words"], lambda w: w["year"] != ""), lambda w: w.withField("line_text", line["plain"])))))
     for label in LABELS:
         worded = worded.withColumn(f"_{label}", year_column(label, F.col("bands"), F.col("_words"), F.col("page"), F.col("year")))
     own = F.when(F.col("_current").isNotNull() | F.col("_previous").isNotNull(), F.struct(F.col("_current").alias("current"), F.col("_previous").alias("previous")))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bind, has_text, strip, token
+from ..functions.text import bind, fold, has_text, lone_digits, numeric_like, strip, token
 
 SLACK_LEAST, SLACK_MOST = 12, 60
 
@@ -19,8 +19,9 @@ def typed(words: DataFrame) -> DataFrame:
     whole = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("0")).try_cast("double").cast("int")
     ids = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("0")).try_cast("int")
     read = words.where(has_text(F.col("text"))).select(
-        "doc_id", "page", "pos", "text", *[ids(c).alias(c) for c in ("level", "block", "par", "line")], *[whole(c).alias(c) for c in ("left", "top", "width", "height")]
-    )
+        "doc_id", "page", "pos", "text", strip(F.col("text")).alias("clean"), token(F.col("text")).alias("token"), numeric_like(F.col("text")).alias("numeric"),
+        lone_digits(F.col("text")).alias("year"), *[ids(c).alias(c) for c in ("level", "block", "par", "line")], *[whole(c).alias(c) for c in ("left", "top", "width", "height")],
+    )
     return read.where("level = 5 and block is not null and par is not null and line is not null and left is not null and top is not null and width is not null and height is not null")
 
 
@@ -36,17 +37,20 @@ def box(words: Column) -> list[Column]:
 
 
 def lines_of(words: DataFrame) -> DataFrame:
-    """One row per line: doc_id, page, row (place of its first word), block, par, line, words by left edge, text and box."""
-    word = F.struct("left", "pos", "text", "top", (F.col("left") + F.col("width")).alias("right"), (F.col("top") + F.col("height")).alias("bottom"), "height")
+    """One row per line: doc_id, page, row (place of its first word), block, par, line, words by left edge, text and box; and the text as
+    labels are looked for in it: stripped (plain), in one script (folded), and both in small letters."""
+    word = F.struct("left", "pos", "text", "top", (F.col("left") + F.col("width")).alias("right"), (F.col("top") + F.col("height")).alias("bottom"), "height", "clean", "token", "numeric", "year")
     grouped = typed(words).groupBy("doc_id", "page", "block", "par", "line").agg(F.min("pos").alias("row"), F.array_sort(F.collect_list(word)).alias("found"))
-    made = F.transform("found", lambda w: F.struct(w["pos"].alias("id"), F.col("row").alias("row"), *[w[c].alias(c) for c in ("text", "left", "top", "right", "bottom", "height")]))
+    made = F.transform("found", lambda w: F.struct(w["pos"].alias("id"), F.col("row").alias("row"), *[w[c].alias(c) for c in ("text", "left", "top", "right", "bottom", "height", "clean", "token", "numeric", "year")]))
     lines = grouped.withColumn("words", made).drop("found")
-    return lines.select("*", F.array_join(F.transform("words", lambda w: w["text"]), " ").alias("text"), *box(F.col("words")))
+    lines = lines.select("*", F.array_join(F.transform("words", lambda w: w["text"]), " ").alias("text"), *box(F.col("words")))
+    plain = lines.withColumn("plain", strip(F.col("text"))).withColumn("folded", fold(F.col("plain")))
+    return plain.withColumns({"low": F.lower("plain"), "low_folded": F.lower("folded")})
 
 
 def pages_of(words: DataFrame) -> DataFrame:
     """One row per page with words: doc_id, page, lines (in order of first appearance)."""
-    line = F.struct("row", "block", "par", "line", "words", "text", "left", "top", "right", "bottom")
+    line = F.struct("row", "block", "par", "line", "words", "text", "left", "top", "right", "bottom", "plain", "folded", "low", "low_folded")
     lines = lines_of(words.repartition("doc_id"))
     return lines.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(line)).alias("lines"))
 
@@ -89,15 +93,18 @@ def band_text(words: Column) -> Column:
 
 
 def bands_of(pages: DataFrame) -> DataFrame:
-    """Pages with `bands`, by left edge: box, text, words (by top and left) and, for words with one, tokens."""
+    """Pages with `bands`, by left edge: box, text, text in one script, the rows of its
+    lines, and of its words with a token, by top and left, the tokens (names) and boxes (spans)."""
 
     def band(marked: Column, slot: Column) -> Column:
         return bind(F.array_sort(F.filter(marked, lambda m: m["slot"] == slot)), lambda held: made(F.transform(held, lambda m: m["word"]), slot))
 
     def made(own: Column, slot: Column) -> Column:
-        tokens = F.filter(F.transform(own, lambda w: F.struct(token(w["text"]).alias("token"), w.alias("word"))), lambda t: t["token"] != "")
+        tokens = F.filter(own, lambda w: w["token"] != "")
+        spans = F.transform(tokens, lambda w: F.struct(*[w[c].alias(c) for c in ("left", "top", "right", "bottom")]))
         left, *rest = box(own)
-        return F.struct(left, slot.alias("slot"), *rest, strip(band_text(own)).alias("text"), own.alias("words"), tokens.alias("tokens"))
+        band_ = lambda text: F.struct(left, slot.alias("slot"), *rest, text.alias("text"), fold(text).alias("folded"), F.array_distinct(each(own, "row")).alias("rows"), each(tokens, "token").alias("names"), spans.alias("spans"))
+        return bind(strip(band_text(own)), band_)
 
     def marked(words: Column, slots: Column) -> Column:
         return F.zip_with(words, slots, lambda w, s: F.struct(s.alias("slot"), w["top"].alias("top"), w["left"].alias("left"), w["row"].alias("row"), w["id"].alias("id"), w.alias("word")))
