@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import parse_with
 from ..functions.text import bind
-from ..functions.vocabulary import FIELDS, Field
+from ..functions.vocabulary import FIELDS, ROW_PATTERNS, Field
 from ..schemas import BOX, MESSAGE
-from .anchors import anchors_of
+from .anchors import ANCHOR, anchors_of
 from .clusters import locate
 from .columns import columns_of, reference_years, select_column
 from .pages import bands_of, pages_of
@@ -83,7 +83,9 @@ def read_fields(features: DataFrame, documents: DataFrame, pages: DataFrame, fie
     """doc_id, field and result of every document and field.
 
     documents has doc_id; pages tells which documents have pages at all."""
-    per_field = F.array(*[F.struct(F.lit(f.key).alias("field"), F.lit(f.min_value).cast("bigint").alias("least"), F.lit(f.max_value).cast("bigint").alias("most"), anchors_of(F.col("lines"), F.col("bands"), f.anchor).alias("anchors")) for f in fields])
+    defined = [f for f in fields if f.anchor in ROW_PATTERNS]
+    anchors = lambda f: anchors_of(F.col("lines"), F.col("bands"), f.anchor) if f in defined else F.array().cast(f"array<{ANCHOR}>")
+    per_field = F.array(*[F.struct(F.lit(f.key).alias("field"), F.lit(f.min_value).cast("bigint").alias("least"), F.lit(f.max_value).cast("bigint").alias("most"), anchors(f).alias("anchors")) for f in fields])
     rows = features.select("doc_id", "page", "lines", "columns", "codes", F.explode(per_field).alias("f"))
     rows = rows.select("doc_id", "page", "lines", "columns", "codes", "f.field", "f.least", "f.most", F.explode("f.anchors").alias("a"))
     rows = rows.withColumn("chosen", select_column(F.col("columns"), preferred))
@@ -106,7 +108,8 @@ def read_fields(features: DataFrame, documents: DataFrame, pages: DataFrame, fie
     key = F.lit("")
     for f in fields:
         key = F.when(F.col("field") == f.key, F.lit(f.anchor)).otherwise(key)
-    absent = F.when(F.col("paged").isNull(), message("no_pages", "OCR result does not contain any pages")).otherwise(message("anchor_not_found", "Anchor text was not located in the OCR output", anchor_key=key))
+    undefined = F.col("field").isin([f.key for f in fields if f not in defined])
+    absent = F.when(undefined & F.col("paged").isNotNull(), message("anchor_definition_missing", "Anchor definition is not available", anchor_key=key)).when(F.col("paged").isNull(), message("no_pages", "OCR result does not contain any pages")).otherwise(message("anchor_not_found", "Anchor text was not located in the OCR output", anchor_key=key))
     fields_of = {
         "value": F.lit(None), "raw_text": F.lit(None), "normalized_text": F.lit(None), "page_number": F.col("last.page"), "anchor_text": F.col("last.text"), "anchor_bbox": F.col("last.box"),
         "column_label": F.col("last_column.label"), "column_bbox": F.col("last_column.box"), "errors": F.coalesce("errors", F.array(absent).cast(NO_MESSAGES)), "warnings": none,
@@ -130,7 +133,9 @@ def loss_above_capital(capital: Column, loss: Column) -> Column:
     formula = capital.withField("value", negative).withField("warnings", F.concat(capital["warnings"], F.array(by_formula)))
     row = loss.withField("warnings", from_row)
     nulls = [F.lit(None).alias(n) for n in ("value", "raw_text", "normalized_text", "page_number", "anchor_text", "anchor_bbox", "column_label", "column_bbox")]
-    neither = F.struct(*nulls, F.concat(capital["errors"], loss["errors"]).alias("errors"), F.concat(capital["warnings"], loss["warnings"]).alias("warnings")).cast(RESULT)
+    untold = message("value_not_found", "Neither the capital formula nor the direct loss row produced a value", source_attempts=F.lit("['capital_formula', 'direct_row']"), aop_code=F.lit("0401"))
+    every = F.concat(capital["errors"], loss["errors"])
+    neither = F.struct(*nulls, F.when(F.size(every) > 0, every).otherwise(F.array(untold)).alias("errors"), F.concat(capital["warnings"], loss["warnings"]).alias("warnings")).cast(RESULT)
     return F.when(success(capital), formula.cast(RESULT)).when(success(loss), row.cast(RESULT)).otherwise(neither)
 
 

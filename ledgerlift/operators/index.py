@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,11 +18,20 @@ def forms_of(text: Column) -> Column:
     return F.array_compact(F.array(*[F.when(text.rlike(java(p)), F.lit(form)) for form, p in FORM_PATTERNS.items()]))
 
 
-def classify(documents: DataFrame) -> DataFrame:
-    """documents (path, text, mtime) with mb_key, forms and period; mb_key is null and forms empty where nothing is told."""
+def year_alone(text: Column) -> Column:
+    """A period of which the year alone is told."""
+    return F.struct(F.lit(None).cast("string").alias("label"), index_year(text).alias("year"))
+
+
+Detector = Callable[[Column], Column]
+
+
+def classify(documents: DataFrame, id_of: Detector = document_id, forms: Detector = forms_of, period_of: Detector = year_alone) -> DataFrame:
+    """documents (path, text, mtime) with mb_key, forms and period; mb_key is null and forms empty where nothing is told.
+
+    Each of the three may be told by another function of the text."""
     text = F.coalesce("text", F.lit(""))
-    period = F.struct(F.lit(None).cast("string").alias("label"), index_year(text).alias("year"))
-    return documents.withColumns({"mb_key": document_id(text), "forms": forms_of(text), "period": period})
+    return documents.withColumns({"mb_key": id_of(text), "forms": forms(text), "period": period_of(text)})
 
 
 def entries_of(classified: DataFrame) -> DataFrame:
@@ -47,8 +58,9 @@ def latest(entries: DataFrame, preferred: str | None = None) -> DataFrame:
     """The document to use per id and form: preferred period first, then rank and time, later ones first; ties by path."""
     label = period_label(F.col("period.label"))
     wanted = F.lit(False) if preferred is None else F.coalesce(label == period_label(F.lit(preferred)), F.lit(False))
-    order = Window.partitionBy("mb_key", "form_type").orderBy(wanted.desc(), rank_of(F.col("period")).desc(), F.col("mtime").desc(), path_key(F.col("path")))
-    return entries.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    # The least in order, summed up map-side: however many documents one id has, no task gathers them.
+    order = F.struct((~wanted).alias("other"), (-rank_of(F.col("period"))).alias("rank"), F.coalesce(-F.unix_micros(F.col("mtime").cast("timestamp")), F.lit((1 << 63) - 1)).alias("time"), path_key(F.col("path")).alias("path"))
+    return entries.groupBy("mb_key", "form_type").agg(F.min_by(F.struct(*[c for c in entries.columns if c not in ("mb_key", "form_type")]), order).alias("row")).select("mb_key", "form_type", "row.*")
 
 
 def duplicate_notes(entries: DataFrame) -> DataFrame:

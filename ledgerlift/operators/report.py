@@ -112,7 +112,14 @@ def exceptions(rows: DataFrame) -> DataFrame:
 
 def write_report(report: DataFrame, path: str) -> None:
     """The report as one CSV file. A report is one line per exception; only here its rows are put in order in one task."""
-    report.orderBy("row_index").drop("row_index").coalesce(1).write.mode("overwrite").csv(path, sep=";", header=True, escape='"', lineSep="\r\n")
+    report.orderBy("row_index").drop("row_index").coalesce(1).write.mode("overwrite").csv(path, sep=";", header=True, escape='"', emptyValue="", lineSep="\r\n")
+
+
+def summary(counted: dict) -> str:
+    """What a run did, from its counters, as two lines of text."""
+    told = "Processed {rows_total} rows ({rows_with_mb} with Матични број). Updated {rows_with_updates} rows, wrote {values_written} values (skipped {values_skipped} existing).".format(**counted)
+    missing = ", ".join(f"{k}:{counted[f'missing_{k}']}" for k in RESULTS if counted[f"missing_{k}"])
+    return told + (f"\nMissing fields: {missing}" if missing else "")
 
 
 def counters(rows: DataFrame) -> DataFrame:

@@ -24,19 +24,27 @@ class Run(NamedTuple):
     results: DataFrame
 
 
-def run(roster: DataFrame, documents: DataFrame, pages: DataFrame, words: DataFrame, config: Config = Config()) -> Run:
+def run(roster: DataFrame, documents: DataFrame, pages: DataFrame, words: DataFrame, config: Config = Config(), work: str | None = None) -> Run:
     """documents: doc_id, path, mtime; pages: doc_id, page, text; words as in schemas.WORDS.
 
-    Only documents that some roster row needs are extracted: the index is cut to the roster's ids first."""
+    Only documents that some roster row needs are extracted: the index is cut to the roster's ids first. With `work`, a
+    folder that all executors share, the results and the rows are written there once, and all that is asked for reads them."""
+
+    def once(df: DataFrame, name: str) -> DataFrame:
+        if work is None:
+            return df
+        df.write.mode("overwrite").parquet(f"{work}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{work}/{name}")
+
     pages, words = limited(pages, config.page_limit), limited(words, config.page_limit)
     texts = documents.join(document_text(pages), "doc_id", "left")
-    classified = classify(texts)
+    classified = once(classify(texts).drop("text"), "classified")
     newest = latest(entries_of(classified), config.year_preference)
     needed = newest.join(_keys(roster), "mb_key", "left_semi").select("doc_id").distinct()
     only = lambda df: df.join(needed, "doc_id", "left_semi")
-    results = extract(only(words), only(pages), needed, config.as_of_year, config.year_preference)
+    results = once(extract(only(words), only(pages), needed, config.as_of_year, config.year_preference), "results")
     fields = field_rows(roster, newest, results, config.overwrite_nonempty)
-    rows = per_row(roster, fields, index_notes(classified), config.overwrite_nonempty)
+    rows = once(per_row(roster, fields, index_notes(classified), config.overwrite_nonempty), "rows")
     return Run(upsert(rows, config.overwrite_nonempty, config.clear_on_overwrite), exceptions(rows), counters(rows), results)
 
 

@@ -6,6 +6,7 @@ import json
 from dataclasses import dataclass, field, fields
 from typing import Any
 
+# Words for yes.
 TRUE = {"1", "true", "yes", "y"}
 
 
@@ -49,7 +50,10 @@ def load(path: str, **overrides: Any) -> Config:
         read = json.loads(text)
     if not isinstance(read, dict):
         raise ValueError(f"{path} holds no mapping")
-    given = read | {k: v for k, v in overrides.items() if v is not None}
+    return settings(read | {k: v for k, v in overrides.items() if v is not None})
+
+
+def settings(given: dict) -> Config:
     known = {f.name for f in fields(Config)}
     return Config(
         as_year(given.get("year_preference")), as_bool(given.get("overwrite_nonempty")), as_bool(given.get("clear_on_overwrite")), as_int(given.get("as_of_year"), Config.as_of_year),

@@ -10,15 +10,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import has_text
+from ..operators.confidence import best_attempts, document_confidence
+from . import files as cached
+from .tsv import rows_of
 
-#: What a plug-in gives per page.
-READ = "doc_id string, page int, text string, tsv string, confidence double, dpi int, preprocessing_pipeline array<string>"
+#: What a plug-in gives per page; of a file that it fails on one row with the error alone.
+READ = "doc_id string, page int, text string, tsv string, confidence double, dpi int, preprocessing_pipeline array<string>, error string"
 
 
 class Settings:
     """Options for a plug-in, with the engine's defaults; unusable values fall back to these."""
 
     def __init__(self, **given):
+        self.given = given
         whole = lambda v, least: int(v) if str(v).strip().isdigit() and int(v) >= least else None
         self.dpi = whole(given.get("dpi"), 1) or 300
         self.page_limit = whole(given.get("page_limit"), 1) or 30
@@ -34,6 +38,10 @@ class Settings:
         self.preprocessing = list(given.get("preprocessing") or [])
         self.enable_pdf_text = given.get("enable_pdf_text", True)
 
+    def at(self, dpi: int) -> Settings:
+        """The same settings at another resolution."""
+        return Settings(**(self.given | {"dpi": dpi}))
+
 
 class Reader(Protocol):
     """A plug-in: pages of one file as (page, text, tsv, confidence, dpi, steps). Runs in tasks; raises on unreadable files."""
@@ -42,22 +50,58 @@ class Reader(Protocol):
 
 
 def read_pages(files: DataFrame, reader: Reader, settings: Settings) -> DataFrame:
-    """doc_id and pages of all files (doc_id, content), up to the page limit; files that a reader fails on give none."""
+    """READ rows of all files (doc_id, content), up to the page limit; a file that a reader fails on gives its error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.list_(pa.string()), pa.string())
+        names = ["doc_id", "page", "text", "tsv", "confidence", "dpi", "preprocessing_pipeline", "error"]
         for batch in batches:
             for doc_id, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    found = [(doc_id, *page) for page in reader(content, settings) if page[0] <= settings.page_limit]
-                except Exception:  # noqa: BLE001 - an unreadable file is unclassified, not a failed job
-                    found = []
-                kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.list_(pa.string()))
-                names = ("doc_id", "page", "text", "tsv", "confidence", "dpi", "preprocessing_pipeline")
-                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], list(names))
+                    found = [(doc_id, *page, None) for page in reader(content, settings) if page[0] <= settings.page_limit]
+                except Exception as error:  # noqa: BLE001 - an unreadable file is told, not a failed job
+                    found = [(doc_id, *[None] * 6, f"{type(error).__name__}: {error}")]
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], names)
 
     return files.select("doc_id", "content").mapInArrow(run, READ)
 
 
+def read_documents(files: DataFrame, cache: DataFrame, reader: Reader, settings: Settings, work: str, layer: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The cache (key, path, payload, created_at) with all files (doc_id, path, content) that it lacked, and the failures (doc_id, error).
+
+    Files are read at the first resolution, and those whose confidence stays below the threshold again at the next ones;
+    the best attempt stands, with the files' own text (layer: doc_id, page, text) where there is some. Every attempt is
+    written below `work`, a folder that all executors share, so that no file is read twice at one resolution."""
+    spark = files.sparkSession
+    todo = cached.uncached(files, cache).dropDuplicates(["doc_id"])
+    paths = todo.select("doc_id", "path")
+    attempts, failures = [], []
+    for n, dpi in enumerate([settings.dpi, *(settings.dpi_retry if settings.confidence_threshold else [])]):
+        read_pages(todo, reader, settings.at(dpi)).write.mode("overwrite").parquet(f"{work}/attempt-{n}")
+        made = spark.read.parquet(f"{work}/attempt-{n}").withColumn("attempt", F.lit(n))
+        attempts.append(made.where("error is null"))
+        failures.append(made.where("error is not null").select("doc_id", "error"))
+        if settings.confidence_threshold:
+            sure = document_confidence(attempts[-1]).where(F.coalesce(F.col("average_confidence"), F.lit(0.0)) >= settings.confidence_threshold)
+            todo = todo.join(sure.select("doc_id"), "doc_id", "left_anti")
+    pages = attempts[0]
+    for more in attempts[1:]:
+        pages = pages.unionByName(more)
+    told = pages.groupBy("doc_id", "attempt").agg(F.avg("confidence").alias("confidence"))
+    best = best_attempts(told, settings.confidence_threshold).select("doc_id", "attempt", F.col("confidence").alias("average_confidence"))
+    kept = pages.join(best, ["doc_id", "attempt"])
+    kept = with_text_layer(kept, layer) if layer is not None and settings.enable_pdf_text else kept.withColumn("replaced", F.lit(False))
+    page = F.struct(F.col("page").alias("page_number"), "text", rows_of(F.col("tsv")).alias("tsv"), "confidence", "dpi", "preprocessing_pipeline")
+    documents = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", page.alias("p"))), lambda a, b: a["page"] - b["page"]).alias("held"), text_source(F.col("replaced")).alias("text_source"), F.first("average_confidence").alias("average_confidence"))
+    own = F.transform("held", lambda h: h["p"])
+    document = F.struct(F.array_join(F.transform(own, lambda p: F.coalesce(p["text"], F.lit(""))), "\n").alias("text"), "text_source", "average_confidence", own.alias("pages"))
+    fresh = documents.join(paths, "doc_id").select(F.col("doc_id").alias("key"), "path", cached.to_payload(document).alias("payload"), F.current_timestamp().alias("created_at"))
+    failed = failures[0]
+    for more in failures[1:]:
+        failed = failed.unionByName(more)
+    return cached.merged(cache, fresh), failed.groupBy("doc_id").agg(F.min("error").alias("error"))
+
+
 def with_text_layer(pages: DataFrame, layer: DataFrame) -> DataFrame:
     """Pages whose text is replaced by the file's own text where that is not blank: doc_id, page, text."""
     given = layer.select("doc_id", "page", F.col("text").alias("layer"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -38,35 +38,57 @@ def result_columns(raw: DataFrame) -> dict[str, str]:
     return found
 
 
-def from_table(raw: DataFrame, row_index: str | None = None) -> DataFrame:
-    """row_index, raw_value, mb and the results of any table with a column of company ids.
+def numbered(raw: DataFrame) -> DataFrame:
+    """raw, read from text files, with `_row`: the number of each row in the sheet, the header being row 1.
 
-    row_index names a column with the sheet's row numbers; without one rows are numbered by a unique increasing id."""
-    index = F.col(row_index).cast("long") if row_index else F.monotonically_increasing_id() + 2
+    Rows are counted by the blocks of the files, in their order; the counts' prefix sums are one row a block."""
+    placed = raw.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    blocks = placed.groupBy("_path", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = Window.orderBy("_path", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    row = (F.col("_before") + F.col("_id") - F.col("_first") + 2).alias("_row")
+    return placed.join(blocks, ["_path", "_start"]).select(row, *[F.col(f"`{c}`") for c in raw.columns])
+
+
+def from_table(raw: DataFrame, row_index: str = "_row") -> DataFrame:
+    """row_index, raw_value, mb and the results of any table with a column of company ids and one of row numbers."""
     held = result_columns(raw)
     name = id_column([c for c in raw.columns if c != row_index])
     results = [(F.col(f"`{held[k]}`").try_cast("bigint") if k in held else F.lit(None).cast("bigint")).alias(k) for k in RESULTS]
-    return raw.select(index.alias("row_index"), F.col(f"`{name}`").cast("string").alias("raw_value"), roster_id(F.col(f"`{name}`")).alias("mb"), *results)
+    return raw.select(F.col(row_index).cast("long").alias("row_index"), F.col(f"`{name}`").cast("string").alias("raw_value"), roster_id(F.col(f"`{name}`")).alias("mb"), *results)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """A roster by its suffix: .csv, .parquet or .xlsx."""
+def sheet(spark: SparkSession, path: str) -> DataFrame:
+    """All columns of a roster as they stand, and `_row`, by the file's suffix: .csv, .parquet (with its own `_row`, or in order of reading) or .xlsx."""
     if path.endswith(".xls"):
         raise UnsupportedRosterError("convert the workbook to .xlsx, CSV or Parquet first")
     if path.endswith(".xlsx"):
         spark.dataSource.register(WorkbookSource)
-        return from_table(spark.read.format("roster_workbook").load(path), "_row")
+        return spark.read.format("roster_workbook").load(path)
     raw = spark.read.parquet(path) if path.endswith(".parquet") else spark.read.csv(path, header=True, sep=";")
-    return from_table(raw)
+    return raw if "_row" in raw.columns else numbered(raw)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The roster of a file: row_index, raw_value, mb and the results."""
+    return from_table(sheet(spark, path))
+
+
+def filled(raw: DataFrame, results: DataFrame) -> DataFrame:
+    """A sheet (with `_row`) with its result columns, under their own headers, taken from results (row_index, revenue, ...); the others as they were."""
+    held = {name: key for key, name in result_columns(raw).items()}
+    joined = raw.select("_row", F.struct(*[F.col(f"`{c}`") for c in raw.columns if c != "_row"]).alias("sheet")).join(results.select(F.col("row_index").alias("_row"), *RESULTS), "_row", "left")
+    columns = [F.col(held[c]).alias(RESULTS[held[c]]) if c in held else F.col("sheet")[c].alias(c) for c in raw.columns if c != "_row"]
+    return joined.select("_row", *columns, *[F.col(k).alias(h) for k, h in RESULTS.items() if k not in held.values()])
 
 
-def write(roster: DataFrame, path: str) -> None:
-    """The roster with results, to a new path: CSV with the results' headers, or Parquet."""
-    named = roster.withColumnsRenamed(RESULTS)
+def write(table: DataFrame, path: str) -> None:
+    """A filled sheet in the order of its rows, to a new path: CSV or Parquet. Sorted by ranges, not in one task."""
+    ordered = table.orderBy("_row")
     if path.endswith(".parquet"):
-        named.write.mode("overwrite").parquet(path)
+        ordered.write.mode("overwrite").parquet(path)
     else:
-        named.write.mode("overwrite").csv(path, header=True, sep=";")
+        ordered.drop("_row").write.mode("overwrite").csv(path, header=True, sep=";")
 
 
 class WorkbookReader(DataSourceReader):
