@@ -4,7 +4,8 @@
 2. A frequent-items sketch (Misra-Gries counters, mergeable, fixed size) finds the digests that may be frequent.
 3. Their exact sizes and winners are computed by a map-side combined aggregate (at most HOT rows) and broadcast:
    rows of frequent digests are decided where they are, without a shuffle.
-4. The rows that are left hold no large group, and go through an ordinary shuffle by digest.
+4. The rows that are left hold no large group, and go through an ordinary shuffle by digest: groups of several rows are
+   summed up map-side, stored, and joined back.
 
 Defined results: a null text is the empty text; a null doc_id loses against any other; of repeated rows one stays;
 an empty table gives no rows; other columns of the table are ignored by `decide` and kept by `drop_duplicates`.
@@ -14,14 +15,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACES, stored, text_of
 
-#: Most digests that the sketch reports, and counters that it keeps: a digest with over 1/HOT of the rows is never missed.
+#: Most digests that the sketch reports, of four times as many counters: a digest with over 1/HOT of the rows is never missed.
 HOT = 1024
-COUNTERS = 4 * HOT
 
 
 def normalised(text: Column) -> Column:
@@ -60,8 +60,9 @@ def decide(docs: DataFrame, hot: int = HOT) -> DataFrame:
         .agg(F.min(best).alias("best"), F.count("*").alias("size"))
     )
     split = prints.join(F.broadcast(stored(winners, "winners")), "digest", "left")
-    group = Window.partitionBy("digest")
-    rest = split.where(F.col("size").isNull()).withColumns({"best": F.min(best).over(group), "size": F.count("*").over(group)})
+    rest = split.where(F.col("size").isNull()).drop("best", "size")
+    groups = stored(rest.groupBy("digest").agg(F.min(best).alias("best"), F.count("*").alias("size")).where("size > 1"), "groups")
+    rest = rest.join(groups, "digest", "left").withColumns({"best": F.coalesce("best", best), "size": F.coalesce("size", F.lit(1))})
     return (
         split.where(F.col("size").isNotNull())
         .unionByName(rest)
