@@ -1,7 +1,7 @@
 """URL filters: block and allow rules, and empirical-Bayes host reputation where no rule fits.
 
-Labelled page outcomes (bad or not) are counted per host, registered domain (last two labels of the host) and suffix
-(last label). From the top down every level's share of bad pages is shrunk towards its parent's: the prior is a beta
+Labelled page outcomes (bad or not) are counted per host, registered domain (the suffix and one label before it) and
+suffix (the last label, or the last two where these are a common public suffix, SUFFIXES). From the top down every level's share of bad pages is shrunk towards its parent's: the prior is a beta
 distribution whose mean is the parent's posterior mean and whose strength is estimated, by the method of moments for
 beta-binomial counts, from how far the level's members scatter around their parents. A page is blocked if the lower
 bound of its host's posterior lies above BLOCK; a host without labelled pages has its domain's posterior as its
@@ -22,6 +22,12 @@ from .common import small, stored
 
 # Verdict, host and path start of each rule.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+# Public suffixes of two labels.
+SUFFIXES = (
+    "ac.uk", "co.uk", "gov.uk", "ltd.uk", "me.uk", "net.uk", "org.uk", "plc.uk", "sch.uk", "com.au", "edu.au", "gov.au", "id.au", "net.au", "org.au", "ac.jp", "co.jp", "go.jp", "ne.jp", "or.jp",
+    "co.nz", "net.nz", "org.nz", "com.br", "gov.br", "net.br", "org.br", "ac.za", "co.za", "org.za", "com.cn", "edu.cn", "gov.cn", "net.cn", "org.cn", "ac.in", "co.in", "net.in", "org.in",
+    "com.mx", "org.mx", "ac.kr", "co.kr", "or.kr", "com.tr", "org.tr", "com.ar", "com.sg", "com.hk", "com.tw", "com.ua", "co.il", "co.id", "co.th", "com.my", "com.pl", "com.rs", "co.rs",
+)
 #: A host is blocked if its share of bad pages is above BLOCK with this many standard deviations to spare.
 BLOCK, SPARE = 0.5, 1.645
 #: Bounds of the estimated strengths, and the counts that stand before the overall share.
@@ -47,11 +53,12 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, C
 
 
 def domain_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -2)
+    return F.when(F.substring_index(host, ".", -2).isin(*SUFFIXES), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
 def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+    two = F.substring_index(host, ".", -2)
+    return F.when(two.isin(*SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
 
 
 def strength(level: DataFrame) -> float:
@@ -95,9 +102,11 @@ def judge(pages: DataFrame, labels: DataFrame, rules: tuple = RULES) -> DataFram
     read = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     # A page shows the document whose number ends its path.
     number = F.regexp_extract("path", r"/([0-9]{1,18})(?:\.html|/)?$", 1).try_cast("long")
-    labels = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("bad").alias("bad"))
-    shown = read.select("host", number.alias("doc_id")).join(labels, "doc_id", "left")
-    known = reputation(shown.select("host", "bad"))
+    labels = stored(labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("bad").alias("bad")), "page-labels")
+    shown = read.select("host", number.alias("doc_id"))
+    # Pages without a number are no key of the join; they bring their hosts alone.
+    told = shown.where("doc_id is not null").join(labels, "doc_id", "left").select("host", "bad")
+    known = reputation(told.unionByName(shown.where("doc_id is null").select("host", F.lit(None).cast(labels.schema["bad"].dataType).alias("bad"))))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     judged = read.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("told")).join(small(known), "host", "left")
     own = F.when(F.col("bound") > BLOCK, F.lit("block")).otherwise(F.lit("allow"))
