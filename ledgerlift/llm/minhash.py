@@ -165,7 +165,8 @@ def link(docs: DataFrame, percent: int = 85, width: int = WIDTH) -> DataFrame:
     discard(members, sets, spread, nodes, left)
 
     names = prints.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("x")).join(roots, "x", "left")
-    names = names.select("class", F.coalesce("root", "x").alias("component"))
+    # Stored, so that the join of a class that very many rows hold is of two plain shuffles.
+    names = stored(names.select("class", F.coalesce("root", "x").alias("component")), "class-names")
     component = F.coalesce("component", "doc_id")
     return prints.select("doc_id", "n", "class").join(names, "class", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept")
