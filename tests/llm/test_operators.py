@@ -229,6 +229,41 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.limit(0), bad).count() == 0
 
 
+def plain_bounds(outcomes: dict[str, list[int]]) -> dict[str, float]:
+    """The lower bound of each host's posterior, level by level."""
+    def up(name: str, labels: int) -> str:
+        return ".".join(name.split(".")[-labels:])
+
+    two = {h: up(h, 2) in url_filter.SUFFIXES for h in outcomes}
+    domain, suffix = {h: up(h, 3 if two[h] else 2) for h in outcomes}, {h: up(h, 2 if two[h] else 1) for h in outcomes}
+    count = lambda keys: {k: (sum(len(v) for h, v in outcomes.items() if keys[h] == k), sum(sum(v) for h, v in outcomes.items() if keys[h] == k)) for k in set(keys.values())}
+    every = [b for v in outcomes.values() for b in v]
+
+    def posterior(level: dict, mean: dict) -> dict:
+        seen = {k: nb for k, nb in level.items() if nb[0]}
+        base = sum(mean[k] * (1 - mean[k]) for k in seen)
+        slope = sum(mean[k] * (1 - mean[k]) * (n - 1) for k, (n, _) in seen.items())
+        rho = (sum(n * (b / n - mean[k]) ** 2 for k, (n, b) in seen.items()) - base) / slope if slope > 0 else 0
+        strength = min(url_filter.STRONGEST, max(url_filter.WEAKEST, 1 / rho - 1)) if rho > 0 else url_filter.STRONGEST
+        return {k: (strength * mean[k] + b, strength * (1 - mean[k]) + n - b) for k, (n, b) in level.items()}
+
+    share = lambda ab: ab[0] / (ab[0] + ab[1])
+    top = (sum(every) + 0.5) / (len(every) + 1)
+    suffixes = posterior(count(suffix), dict.fromkeys(suffix.values(), top))
+    domains = posterior(count(domain), {domain[h]: share(suffixes[suffix[h]]) for h in outcomes})
+    hosts = posterior({h: (len(v), sum(v)) for h, v in outcomes.items()}, {h: share(domains[domain[h]]) for h in outcomes})
+    return {h: share((a, b)) - url_filter.SPARE * math.sqrt(a * b / ((a + b) ** 2 * (a + b + 1))) for h, (a, b) in hosts.items()}
+
+
+def test_reputation_against_plain_shrinkage(spark):
+    rng = np.random.default_rng(4)
+    names = ["a.x.com", "b.x.com", "c.y.com", "y.com", "p.co.uk", "w.p.co.uk", "q.co.uk", "z.org", "", "lone", "empty.org"]
+    outcomes = {h: rng.binomial(1, rng.uniform(), 0 if h == "empty.org" else rng.integers(1, 40)).tolist() for h in names}
+    rows = [(h, b) for h, v in outcomes.items() for b in v] + [("empty.org", None), ("z.org", None)]
+    got = {r.host: r.bound for r in url_filter.reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
+    assert got == pytest.approx(plain_bounds(outcomes), rel=1e-9)
+
+
 def test_topk(spark):
     rng = np.random.default_rng(2)
     x = np.round(rng.normal(size=(300, 8)), 1).astype(np.float32)
@@ -313,6 +348,76 @@ def test_language_id(spark, docs, none):
     assert lang_id.predict(none, model).count() == 0 and lang_id.keep_languages(docs, model, 0.5).schema == docs.schema
 
 
+def test_ftrl_step_against_plain_arithmetic():
+    """One document, one epoch from nothing: the gradient is that of even chances, and the weights follow from it alone."""
+    x, y = np.array([0.5, 2.0, 1.0]), 1
+    got = lang_id.ftrl([(np.array([7, 9, lang_id.SIZE]), x)], np.array([y]), 3, epochs=1)
+    for slot, value in zip((7, 9, lang_id.SIZE), x, strict=True):
+        for c in range(3):
+            g = value * (1 / 3 - (c == y))
+            z, n = g, g * g
+            want = 0.0 if abs(z) <= lang_id.L1 else -(z - math.copysign(lang_id.L1, z)) / ((lang_id.BETA + math.sqrt(n)) / lang_id.ALPHA + lang_id.L2)
+            assert got[slot, c] == pytest.approx(want)
+    assert not got[[0, 8, 100]].any()
+
+
+def test_temperature_minimises_the_loss():
+    rng = np.random.default_rng(6)
+    logits = 9 * rng.normal(size=(400, 4))
+    y = np.array([rng.choice(4, p=lang_id.softmax(row / 3)) for row in logits])
+    loss = lambda t: -np.log(lang_id.softmax(logits / t)[np.arange(400), y]).mean()
+    t = lang_id.temperature(logits, y)
+    assert 2 < t < 4.5 and all(loss(t) <= loss(t * f) + 1e-9 for f in (0.8, 0.95, 1.05, 1.25))
+
+
+CLASH = "_id _n _size _from _times _words _copy _digest removed row given gone words copy size digest".split()
+
+
+def test_rows_with_any_column_names(spark):
+    """Names that the operators use inside, repeated rows and null doc_ids: all columns come back as they were."""
+    base = [(1, "a b c d e f g h", "web"), (1, "a b c d e f g h", "web"), (2, "a b c d e f g h ", "web"), (None, "one two three four five six", None), (3, None, "web"), (4, "x y z\na b c d e f g h", "web")]
+    docs = spark.createDataFrame([(*r, *[f"{i}-{c}" for c in CLASH]) for i, r in enumerate(base)], "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in CLASH))
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    known = {tuple(r) for r in docs.collect()}
+    exact, near, mix, lines = exact_dedup.drop_duplicates(docs), minhash.keep_first(docs, 80), mixing.mixed(docs, labels), line_dedup.drop_lines(docs)
+    for out in (exact, near, mix):
+        assert out.columns == docs.columns and {tuple(r) for r in out.collect()} <= known
+    assert Counter(r.doc_id for r in exact.collect()) == {2: 1, None: 1, 3: 1, 4: 1}
+    assert Counter(r.doc_id for r in near.collect()) == {1: 2, None: 1, 3: 1, 4: 1}
+    assert lines.columns == docs.columns
+    assert Counter((r.doc_id, r.text, r._id.split("-")[0] if r.doc_id != 1 else None) for r in lines.collect()) == Counter({(1, "a b c d e f g h", None): 1, (1, "", None): 1, (2, "", "2"): 1, (None, base[3][1], "3"): 1, (3, None, "4"): 1, (4, "x y z", "5"): 1})
+
+
+def test_line_links_grow_linearly(spark):
+    """2000 lines that are all alike: one stays, and each other has few links."""
+    word = lambda i, k: f"v{i}" if k == 59 else f"c{k}"
+    docs = spark.createDataFrame([(i, " ".join(word(i, k) for k in range(60))) for i in range(2000)], "doc_id long, text string")
+    lines = line_dedup.features(docs)
+    found = line_dedup.links(docs, lines, line_dedup.class_heads(lines))
+    assert 1999 <= found.count() <= 4000
+    got = line_dedup.memberships(docs).collect()
+    assert len(got) == 2000 and [r.doc_id for r in got if not r.gone] == [0] and all(r.match_doc_id == 0 for r in got if r.gone)
+
+
+def test_components_of_long_chains_and_stars(spark):
+    from ledgerlift.llm.components import components
+
+    edges = [(i + 1, i) for i in range(100, 400)] + [(1000, i) for i in range(1001, 1400)] + [(2000 - i, 2001 + i) for i in range(50)] + [(2001 + i, 1999 - i) for i in range(50)] + [(7, 7)]
+    got = {r.x: r.root for r in components(spark.createDataFrame(edges, "x long, y long").repartition(7)).collect()}
+    near: dict[int, set] = {}
+    for x, y in edges:
+        near.setdefault(x, set()).add(y), near.setdefault(y, set()).add(x)
+    want, seen = {}, set()
+    for start in sorted(near):
+        held = [start] if start not in seen else []
+        while held:
+            if (i := held.pop()) not in seen:
+                seen.add(i)
+                want[i] = start
+                held += near[i]
+    assert got == {i: r for i, r in want.items() if i != r}
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(3)
     pool = rng.integers(0, 1 << 63, 1400, dtype=np.uint64)
