@@ -6,9 +6,10 @@ its documents floor(target / size) times; what is then missing is filled by Efra
 replacement: a document of quality weight w has the key u ** (1 / w), u uniform by a hash of its doc_id, and the
 largest keys are taken until their words reach the rest of the target.
 
-The order is never sorted as a whole. Keys fall into BUCKETS ranges; the words of each (source, range) are summed
-map-side, prefix sums find the range in which a source reaches its target, ranges before it are taken whole, and only
-the rows of that one range (about 1 / BUCKETS of a source) are sorted.
+The order is never sorted as a whole. Keys fall into ranges by -log(key), which is exponential with the rate of the
+quality weight: no range holds a larger part than weight / BUCKETS of the documents of a weight. The words of each
+(source, range) are summed map-side, prefix sums find the range in which a source reaches its target, ranges before it
+are taken whole, and only the rows of that one range (at most 1 / 2048 of a source) are sorted.
 
 Defined results: a null text has no words and takes none; null is a source of its own, ranked last; a null or
 unlabelled doc_id has quality weight 1; repeated rows count as documents of their own with equal keys; if no source
@@ -25,7 +26,8 @@ from .common import small, stored, text_of, unit, word_count
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
-BUCKETS = 1024
+#: Ranges for each unit of -log(key).
+BUCKETS = 4096
 SEED = 20
 #: Quality weight of documents labelled good, bad, and not at all.
 GOOD, BAD, PLAIN = 2.0, 0.5, 1.0
@@ -59,7 +61,7 @@ def features(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def range_of(key: Column) -> Column:
-    return F.least(F.floor((1.0 - key) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+    return F.floor(-F.log(key) * BUCKETS).cast("int")
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST, split: bool = True) -> DataFrame:
@@ -82,7 +84,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: tuple = WEIGHTS, share: flo
     full = small(stored(full.withColumnRenamed("source", "_source"), "mix-edges"))
     known = docs.join(full, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("range", range_of(F.col("key")))
     # Without an edge the rest takes the whole source, or nothing.
-    edge_at = F.coalesce(F.col("edge"), F.when((F.col("rest") > 0), F.lit(BUCKETS)).otherwise(F.lit(-1)))
+    edge_at = F.coalesce(F.col("edge"), F.when((F.col("rest") > 0), F.lit((1 << 31) - 1)).otherwise(F.lit(-1)))
     clear = known.where(F.col("range") != edge_at).withColumn("extra", F.when(F.col("range") < edge_at, F.col("size")).otherwise(F.lit(0)))
     sorted_ = Window.partitionBy("source").orderBy(F.col("key").desc(), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("rest") - F.col("start") - F.coalesce(F.sum("size").over(sorted_), F.lit(0))
