@@ -84,6 +84,9 @@ def test_mixing(docs, labels, none):
         taken[r.source] += r.taken
     assert len(got) == len(pairs()) and all(abs(taken[s] - want[s]) <= 1 for s in order)
     assert Counter(map(tuple, mixing.mix(docs.repartition(5), labels).collect())) == Counter(map(tuple, got))
+    key = F.pow((F.col("id") + 0.5) / 40960, F.lit(2.0))  # quality weight 0.5: its keys crowd at nought
+    held = docs.sparkSession.range(40960).groupBy(mixing.range_of(key).alias("r")).count()
+    assert held.agg(F.max("count")).first()[0] <= 40960 / mixing.BUCKETS + 1
     whole = mixing.mixed(docs, labels)
     assert whole.columns == docs.columns and {r.doc_id for r in whole.collect()} <= {i for i, _ in pairs()}
     assert mixing.mix(none, labels).count() == 0 and mixing.mixed(none, labels).count() == 0
@@ -199,6 +202,21 @@ def test_sharding_gathers_equal_texts(spark):
     assert sum(map(len, spread.values())) / len(spread) < 1.5
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_sharding_trades_between_full_shards(spark, hot):
+    """With every document in a pair no shard has room to spare, and pairs still meet; a group of a third is in few shards."""
+    pair = (F.col("id") / 2).cast("int").cast("string")
+    text = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.col("id").cast("string")).otherwise((F.col("id") / 18).cast("int").cast("string")) if hot else pair
+    many = spark.range(4800).select(F.col("id").alias("doc_id"), text.alias("text"))
+    spread, counts = {}, Counter()
+    for r in sharding.assign(many, shards=8).join(many, "doc_id").collect():
+        counts[r.shard] += 1
+        spread.setdefault(r.text, set()).add(r.shard)
+    assert set(counts.values()) == {600}
+    assert len(spread.pop("hot", ())) <= 5
+    assert sum(map(len, spread.values())) / len(spread) < 1.1
+
+
 URLS = [
     None, "", "no scheme", "http://", "https://A.Example.NET/en/page?x=1", "https://example.net/de/1", "http://sub.example.com/de/5#f", "http://example.com/en/5", "ftp://Some.ORG/fr/", "http://notexample.net.org/fr/x",
     "http://x.net", "http://anet/", "http://é.org/fr/ü", "a://b://c.net/d", "http://bad.biz/9", "http://good.info/8",
