@@ -116,6 +116,12 @@ SQL = {
             {{'n': 4, 't': '0059', 'l': 300, 'r': 336}}, {{'n': 5, 't': (amount * 2)::VARCHAR, 'l': 440, 'r': 476}}, {{'n': 6, 't': before, 'l': 760, 'r': 796}},
             {{'n': 7, 't': '0401', 'l': 300, 'r': 336}}, {{'n': 8, 't': capital::VARCHAR, 'l': 440, 'r': 476}}, {{'n': 9, 't': before, 'l': 760, 'r': 796}}]) AS u FROM p)
         SELECT key, u.n::BIGINT AS cluster, u.t AS text, u.l::BIGINT AS left, u.r::BIGINT AS right FROM c""",
+    "column_bands": f"""
+        WITH {ORDERS}, p AS (SELECT *, (amount + 1)::VARCHAR AS before, CASE WHEN key % 6 = 2 THEN length(spaced) - length(replace(spaced, ' ', '')) ELSE 0 END AS gaps FROM s)
+        SELECT key, 0::BIGINT AS band, 20::BIGINT AS left, 96::BIGINT AS right, concat_ws(chr(10), 'Пословни приходи', 'Укупна актива', 'A. КАПИТАЛ') AS text FROM p
+        UNION ALL SELECT key, 1, 300, 336, concat_ws(chr(10), '1001', '0059', '0401') FROM p
+        UNION ALL SELECT key, 2, 440, greatest(516, 476 + 40 * gaps), concat_ws(chr(10), 'Текућа година', raw, (amount * 2)::VARCHAR, capital::VARCHAR) FROM p
+        UNION ALL SELECT key, 3, 760, 836, concat_ws(chr(10), 'Претходна година', before, before, before) FROM p""",
     "year_columns": "SELECT o_orderkey AS key, 440::BIGINT AS current_left, 516::BIGINT AS current_right, 40::BIGINT AS current_top, 760::BIGINT AS previous_left, 836::BIGINT AS previous_right, 40::BIGINT AS previous_top FROM orders",
     "carry_forward": """
         WITH h AS (SELECT o_orderkey AS key, unnest([1, 2, 3])::BIGINT AS page FROM orders),
