@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import document_id, index_id, index_year, period_label
 from ..functions.vocabulary import FORM_PATTERNS, java
 
 PERIOD = "struct<label:string,year:int>"
+#: Documents of one id and form that are held in one row.
+FEW = 256
 
 
 def forms_of(text: Column) -> Column:
@@ -66,15 +68,26 @@ def latest(entries: DataFrame, preferred: str | None = None) -> DataFrame:
 def duplicate_notes(entries: DataFrame) -> DataFrame:
     """A note at each registration after the first of an id and form: the candidates so far in order of rank.
 
-    mb_key, form_type, ord (path order) and note. A bucket is one company's documents of one form: a few rows."""
-    arrival = Window.partitionBy("mb_key", "form_type").orderBy(path_key(F.col("path")))
-    so_far = arrival.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    item = F.struct((-rank_of(F.col("period"))).alias("rank"), (-F.unix_micros("mtime")).alias("time"), F.col("ord").alias("ord"), F.col("path").alias("path"))
-    numbered = entries.withColumn("ord", F.row_number().over(arrival))
-    held = numbered.withColumn("held", F.array_sort(F.collect_list(item).over(so_far))).where("ord > 1")
+    mb_key, form_type, ord (path order) and note. A path is one document: equal rows count once. A company with up to FEW documents of a
+    form is one row; the registrations of a larger one are dealt over many tasks. A note itself lists all candidates, as it must."""
+    keys = ["mb_key", "form_type"]
+    item = F.struct((-rank_of(F.col("period"))).alias("rank"), (-F.unix_micros("mtime")).alias("time"), path_key(F.col("path")).alias("order"), F.col("path").alias("path"))
+    items = entries.select(*keys, item.alias("item"))
+    sizes = items.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+    few = items.join(sizes.where(F.col("n") <= FEW).drop("n"), keys).groupBy(*keys).agg(F.array_sort(F.collect_set("item")).alias("all"))
+    of_few = few.select(*keys, "all", F.explode("all").alias("newcomer")).select(*keys, F.filter("all", lambda i: i["order"] <= F.col("newcomer.order")).alias("held"))
+
+    many = items.join(sizes.where(F.col("n") > FEW).select(*keys, F.ceil(F.col("n") / FEW).alias("blocks")), keys)
+    newcomers = many.select(*keys, F.pmod(F.xxhash64("item"), F.col("blocks")).alias("block"), F.col("item").alias("newcomer"))
+    candidates = many.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "item")
+    so_far = newcomers.join(candidates, [*keys, "block"]).where("item.order <= newcomer.order")
+    of_many = so_far.groupBy(*keys, "block", "newcomer").agg(F.array_sort(F.collect_set("item")).alias("held")).select(*keys, "held")
+
+    held = of_few.unionByName(of_many).where("size(held) > 1")
     paths = F.array_join(F.transform("held", lambda h: h["path"]), ", ")
     note = F.concat(F.lit("Multiple "), F.upper("form_type"), F.lit(" forms detected for MB "), F.col("mb_key"), F.lit(". Selection is based on period and modification time. Candidates: "), paths)
-    return held.select("mb_key", "form_type", "ord", note.alias("note"))
+    return held.select(*keys, F.size("held").alias("ord"), note.alias("note"))
 
 
 def index_notes(classified: DataFrame) -> DataFrame:

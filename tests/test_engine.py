@@ -168,6 +168,21 @@ def test_overwriting(spark, tmp_path, overwrite, clear, want):
     assert done.counters.first().rows_total == 2 and "WARNING" in done.report.where("row_index = 2").first().notes
 
 
+@pytest.mark.parametrize("few", [256, 4])
+def test_duplicate_notes_of_a_company_with_many_documents(spark, monkeypatch, few):
+    monkeypatch.setattr(index, "FEW", few)
+    rows = [("10000001", "bu", f"d/{i:03d}/a.pdf", 2000 + i * 7 % 13, i * 5 % 11) for i in range(60)] + [("10000002", "bs", "d/x.pdf", 2020, 1), ("10000003", "bu", "e/b.pdf", None, 2), ("10000003", "bu", "e/b.pdf", None, 2)]
+    rows += [("10000004", "bs", "f/b.pdf", 2020, 1), ("10000004", "bs", "f/a.pdf", 2020, None)]
+    entries = spark.createDataFrame(rows, "mb_key string, form_type string, path string, year int, t int").selectExpr("*", "struct(cast(null as string) as label, year) as period", "timestamp_seconds(t) as mtime")
+    got = {(r.mb_key, r.form_type, r.ord): r.note.partition("Candidates: ")[2] for r in index.duplicate_notes(entries).collect()}
+    want = {}
+    for n in range(2, 61):
+        held = sorted(rows[:n], key=lambda r: (-r[3], -r[4], r[2]))
+        want["10000001", "bu", n] = ", ".join(r[2] for r in held)
+    want["10000004", "bs", 2] = "f/a.pdf, f/b.pdf"  # a null time comes first
+    assert got == want
+
+
 def test_detectors_can_be_replaced(spark):
     docs = spark.createDataFrame([("p", "no. 77 profit", None)], "path string, text string, mtime timestamp")
     own = index.classify(docs, id_of=lambda t: F.regexp_extract(t, r"no\. (\d+)", 1), forms=lambda t: F.array(F.when(t.contains("profit"), "bu"))).first()
