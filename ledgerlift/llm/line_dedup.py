@@ -14,7 +14,8 @@ among the first n - ceil(0.8 n) + k of each. It runs in two steps, both over all
 2. Of the classes that stay, token frequencies are counted, and prefixes are taken under the order of rarity. A class
    goes if any earlier one is linked with it, so each is first compared with the earliest class of each token of its
    prefix: a family of similar lines is done by as many comparisons as it has prefix tokens. Only classes that no such
-   comparison has found late are joined with all earlier classes of their tokens. Both joins filter on lengths, on
+   comparison has found late are joined with all earlier classes of their tokens; there the smaller class of a pair
+   needs a shorter prefix than the larger one, and they meet by token and size. Both joins filter on lengths, on
    places in the prefix, and on the tokens that a class shares with any other; what is left is verified on full sets.
 
 Defined results: a line without words stays; a line of fewer words than five is one token; a null text has no lines;
@@ -31,8 +32,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bind
 from .common import discard, stored
-from .minhash import linked, reachable
+from .minhash import linked, meeting, reachable
 from .shingles import bytes_of, hash_spans, lists, mix, portions, rolled, rolled_short, spans
 
 WIDTH, PERCENT = 5, 80
@@ -248,7 +250,7 @@ def shared_tokens(given: DataFrame) -> DataFrame:
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
-    """t, x, first, n, common (tokens that x shares with any class) and at (the place of t in x): prefixes by rarity; stored."""
+    """t and e: x, first, n, common (tokens that x shares with any class) and at (the place of t in x); prefixes by rarity; stored."""
     held = sets.select("x", F.explode("s").alias("t"))
     spread = held.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
     shared = held.join(spread, "t").groupBy("x").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("ranked"))  # one line's tokens at most
@@ -257,15 +259,16 @@ def prefixes(sets: DataFrame) -> DataFrame:
     rows = rows.where(reachable(F.col("common"), F.col("common"), F.col("n") + F.col("least"), PERCENT))
     # Tokens that no other class holds come first in the order; they are counted, not listed.
     entries = rows.select("x", "first", "n", "common", F.posexplode(F.slice("ranked", 1, F.greatest(F.lit(0), (F.col("common") - F.col("least") + 1).cast("int")))).alias("i", "e"))
-    return stored(entries.select("e.t", "x", "first", "n", "common", (F.col("i") + 1 + F.col("n") - F.col("common")).alias("at")), "line-prefixes")
+    at = (F.col("i") + 1 + F.col("n") - F.col("common")).alias("at")
+    return stored(entries.select(F.col("e.t").alias("t"), F.struct("x", "first", "n", "common", at).alias("e")), "line-prefixes")
 
 
-def possible(y: str) -> Column:
-    """Whether x and an earlier class, the struct `y`, can be linked, by lengths, shared tokens and places of one common token."""
-    n, m = F.col("n"), F.col(f"{y}.n")
-    rest = F.least(n - F.col("at"), m - F.col(f"{y}.at")) + 1
+def possible(x: str, y: str) -> Column:
+    """Whether x and an earlier class y, structs of a common token's entries, can be linked, by lengths, shared tokens and places of the token."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    rest = F.least(n - F.col(f"{x}.at"), m - F.col(f"{y}.at")) + 1
     sizes = F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
-    return (F.col(f"{y}.first") < F.col("first")) & sizes & reachable(F.col("common"), F.col(f"{y}.common"), n + m, PERCENT) & (rest * (100 + PERCENT) >= (n + m) * PERCENT)
+    return (F.col(f"{y}.first") < F.col(f"{x}.first")) & sizes & reachable(F.col(f"{x}.common"), F.col(f"{y}.common"), n + m, PERCENT) & (rest * (100 + PERCENT) >= (n + m) * PERCENT)
 
 
 def links(docs: DataFrame, lines: DataFrame, heads: DataFrame) -> DataFrame:
@@ -279,13 +282,15 @@ def links(docs: DataFrame, lines: DataFrame, heads: DataFrame) -> DataFrame:
     sets = open_sets(docs, wanted)
     # Step 2. First the earliest class of each token, then all earlier ones.
     prefix = prefixes(sets)
-    entry = F.struct("first", "x", "n", "common", "at")
-    heads_ = prefix.groupBy("t").agg(F.min(entry).alias("y"))
-    near = linked(prefix.join(heads_, "t").where(possible("y")).select("x", F.col("y.x").alias("y")).distinct(), sets, PERCENT)
-    rest = prefix.join(near.select("x").distinct(), "x", "left_anti")
-    far = rest.join(prefix.select("t", entry.alias("y")), "t").where(possible("y")).select("x", F.col("y.x").alias("y")).distinct()
+    heads_ = prefix.groupBy("t").agg(F.min(F.struct("e.first", "e.x", "e.n", "e.common", "e.at")).alias("y"))
+    pair = lambda x, y: (F.col(f"{x}.x").alias("x"), F.col(f"{y}.x").alias("y"))
+    near = linked(prefix.join(heads_, "t").where(possible("e", "y")).select(*pair("e", "y")).distinct(), sets, PERCENT)
+    rest = stored(prefix.join(near.select(F.col("x").alias("e_x")).distinct(), F.col("e.x") == F.col("e_x"), "left_anti"), "line-rest")
+    as_smaller = meeting(rest, prefix, PERCENT, "t").where(possible("a", "b")).select(*pair("a", "b"))
+    as_larger = meeting(prefix, rest, PERCENT, "t").where(possible("b", "a")).select(*pair("b", "a"))
+    far = as_smaller.unionByName(as_larger).distinct()
     found = stored(near.unionByName(linked(far, sets, PERCENT)), "line-links")
-    discard(wanted, sets, prefix)
+    discard(wanted, sets, prefix, rest)
     return found
 
 
@@ -330,6 +335,7 @@ def drop_lines(docs: DataFrame) -> DataFrame:
     """The documents with their later matching lines removed from the text; all columns. Rows are told apart by a number of their own."""
     given = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("given")), "line-docs")
     found = digest(judged(given.select("row", "given.doc_id", "given.text"))).where("size(removed) > 0").select("row", "removed")
-    left = F.array_join(F.filter(F.split("given.text", "\n"), lambda line, i: ~F.array_contains("removed", i)), "\n")
+    kept = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
+    left = F.array_join(bind(F.split("given.text", "\n"), lambda lines: F.transform(kept(lines), lambda i: F.get(lines, i))), "\n")
     text = F.when(F.col("removed").isNotNull(), left).otherwise(F.col("given.text"))
     return given.join(found, "row", "left").select(*(text.alias(c) if c == "text" else F.col("given")[c].alias(c) for c in docs.columns))

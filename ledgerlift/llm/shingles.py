@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,11 @@ IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: A number for each byte, the same for A-Z as for a-z.
 VALUE = mix(np.arange(1, 257, dtype=np.uint64) * M1) | np.uint64(1)
 VALUE[ord("A") : ord("Z") + 1] = VALUE[ord("a") : ord("z") + 1]
-#: A word is hashed as a polynomial modulo 2 ** 64: its base, and the powers of the base and of its inverse.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
+#: A word of at most SHORT bytes is hashed as a polynomial modulo 2 ** 64: its base, and the powers of the base and of its inverse.
+#: From 1024 bytes on, words can be built that collide under every base; so longer words are hashed by a digest of their bytes.
+SHORT = 256
 BASE = int(M3) | 3
 POWER, INVERSE = np.full(PIECE + 1, BASE, dtype=np.uint64), np.full(PIECE, pow(BASE, -1, 1 << 64), dtype=np.uint64)
 POWER[0] = INVERSE[0] = 1
@@ -58,23 +63,21 @@ def spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the words, A-Z as a-z."""
     out, at = np.zeros(len(starts), dtype=np.uint64), 0
+    long = np.flatnonzero(ends - starts > SHORT)
     while at < len(starts):
         first = starts[at]
         to = max(at + 1, int(np.searchsorted(ends, first + PIECE, side="right")))
         size = ends[to - 1] - first
-        if size <= PIECE:
+        if size <= PIECE:  # else one word longer than a piece
             total = np.zeros(size + 1, dtype=np.uint64)
             np.cumsum(VALUE[data[first : first + size]] * INVERSE[:size], out=total[1:])
             s, e = starts[at:to] - first, ends[at:to] - first
             out[at:to] = (total[e] - total[s]) * POWER[e]
-        else:  # one word longer than a piece
-            h = 0
-            for begin in range(first, ends[at], PIECE):
-                piece = VALUE[data[begin : min(begin + PIECE, ends[at])]] * INVERSE[: min(PIECE, ends[at] - begin)]
-                h = (h * int(POWER[len(piece)]) + int(piece.sum(dtype=np.uint64)) * int(POWER[len(piece)])) & 0xFFFFFFFFFFFFFFFF
-            out[at] = h
         at = to
-    return mix(out)
+    out = mix(out)
+    for i in long:
+        out[i] = int.from_bytes(hashlib.blake2b(LOWER[data[starts[i] : ends[i]]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +121,9 @@ def lists(rows: list[np.ndarray]) -> pa.ListArray:
 
 
 def portions(batch: pa.RecordBatch, text: int, size: int = PORTION) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch in slices whose texts (column `text`) have about `size` bytes together; a longer text is one slice."""
+    """The rows of a batch in slices whose texts (column `text`) have about `size` bytes together; a longer text is one slice, an empty batch none."""
+    if not batch.num_rows:
+        return
     length = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     portion = (np.cumsum(length + 64) - length) // size
     starts = np.flatnonzero(np.diff(portion, prepend=-1))
