@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .messages import told
 from .text import bind, strip
 
 RESULT = "struct<value:bigint,normalized:string,error:string>"
@@ -20,22 +21,19 @@ def parse(raw: Column, allow_negative: bool = True, min_value: int | None = None
     def result(value: Column, error: Column) -> Column:
         return F.struct(value.cast("bigint").alias("value"), value.cast("string").alias("normalized"), error.cast("string").alias("error"))
 
-    def failed(text: str, *parts: Column) -> Column:
-        return result(F.lit(None), F.concat(F.lit(text), *parts))
+    def failed(name: str, *values: Column) -> Column:
+        return result(F.lit(None), told(name, *values))
 
     def checked(value: Column) -> Column:
         out = result(value, F.lit(None))
         if max_value is not None:
-            out = F.when(value > max_value, failed("Value ", value.cast("string"), F.lit(f" exceeds the permitted maximum of {max_value}"))).otherwise(out)
+            out = F.when(value > max_value, failed("above_maximum", value, F.lit(max_value))).otherwise(out)
         if min_value is not None:
-            out = F.when(value < min_value, failed("Value ", value.cast("string"), F.lit(f" is below the permitted minimum of {min_value}"))).otherwise(out)
+            out = F.when(value < min_value, failed("below_minimum", value, F.lit(min_value))).otherwise(out)
         if not allow_negative:
-            out = F.when(value < 0, failed("Negative value is not permitted: ", value.cast("string"))).otherwise(out)
+            out = F.when(value < 0, failed("negative", value)).otherwise(out)
         return out
 
-    def quoted(text: str, end: str = "'") -> Column:
-        return failed(text + " '", raw, F.lit(end))
-
     def split(s: Column) -> Column:
         """Of text without signs and spaces: whole part and fraction (null if none), separators dropped."""
         last = F.regexp_extract(s, r"([,.])[^,.]*$", 1)
@@ -49,10 +47,10 @@ def parse(raw: Column, allow_negative: bool = True, min_value: int | None = None
         whole, fraction = parts["whole"], parts["fraction"]
         value = whole.try_cast("bigint") * sign
         return (
-            F.when(~whole.rlike("^[0-9]+$"), quoted("Invalid integer component in"))
-            .when(fraction.isNotNull() & ~fraction.rlike("^[0-9]+$"), quoted("Invalid decimal component in"))
-            .when(fraction.isNotNull() & ~fraction.rlike("^0+$"), quoted("Non-integer value encountered:"))
-            .when(~F.regexp_replace(whole, "^0+", "").rlike("^[0-9]{0,18}$"), quoted("Value out of range:"))
+            F.when(~whole.rlike("^[0-9]+$"), failed("bad_integer", raw))
+            .when(fraction.isNotNull() & ~fraction.rlike("^[0-9]+$"), failed("bad_fraction", raw))
+            .when(fraction.isNotNull() & ~fraction.rlike("^0+$"), failed("fraction", raw))
+            .when(~F.regexp_replace(whole, "^0+", "").rlike("^[0-9]{0,18}$"), failed("out_of_range", raw))
             .otherwise(bind(value, checked))
         )
 
@@ -64,12 +62,12 @@ def parse(raw: Column, allow_negative: bool = True, min_value: int | None = None
         def rest(lead: Column) -> Column:
             body = F.replace(strip(F.regexp_replace(lead["text"], r"[+\-−]$", "")), F.lit(" "), F.lit(""))
             sign = lead["sign"] * F.when(lead["text"].rlike(r"[\-−]$"), -1).otherwise(1) * F.when(enclosed, -1).otherwise(1)
-            return bind(F.struct(body.alias("body"), sign.alias("sign")), lambda b: F.when(~b["body"].rlike("[0-9]"), quoted("No digits detected in")).otherwise(bind(split(b["body"]), lambda p: number(p, b["sign"]))))
+            return bind(F.struct(body.alias("body"), sign.alias("sign")), lambda b: F.when(~b["body"].rlike("[0-9]"), failed("no_digits", raw)).otherwise(bind(split(b["body"]), lambda p: number(p, b["sign"]))))
 
         return bind(leading, rest)
 
     clean = strip(F.translate(raw, "\u00a0\u2013\u2014", " --"))
-    return F.when(raw.isNull(), failed("No value supplied")).otherwise(bind(clean, lambda t: F.when(t == "", checked(F.lit(0).cast("bigint"))).otherwise(signed(t))))
+    return F.when(raw.isNull(), failed("no_value")).otherwise(bind(clean, lambda t: F.when(t == "", checked(F.lit(0).cast("bigint"))).otherwise(signed(t))))
 
 
 def parse_with(raw: Column, min_value: Column, max_value: Column) -> Column:
@@ -77,8 +75,8 @@ def parse_with(raw: Column, min_value: Column, max_value: Column) -> Column:
 
     def bounded(found: Column) -> Column:
         value = found["value"]
-        message = F.when(value < min_value, F.concat(F.lit("Value "), value.cast("string"), F.lit(" is below the permitted minimum of "), min_value.cast("string")))
-        message = message.when(value > max_value, F.concat(F.lit("Value "), value.cast("string"), F.lit(" exceeds the permitted maximum of "), max_value.cast("string")))
+        message = F.when(value < min_value, told("below_minimum", value, min_value))
+        message = message.when(value > max_value, told("above_maximum", value, max_value))
         return bind(message, lambda m: F.when(m.isNull(), found).otherwise(F.struct(F.lit(None).cast("bigint").alias("value"), F.lit(None).cast("string").alias("normalized"), m.alias("error"))))
 
     return bind(parse(raw), bounded)

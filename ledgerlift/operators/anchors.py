@@ -2,91 +2,99 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from typing import NamedTuple
 
-from ..functions.text import bind, fold, strip
-from ..functions.vocabulary import ROW_PATTERNS, ROW_SYNONYMS, java
-from ..schemas import WORD
-from .pages import box
+from .flat import Band, Lot, fold
+from .labels import Labels
 
-ANCHOR = f"struct<tier:int,ord:int,words:array<{WORD}>,text:string,left:int,top:int,right:int,bottom:int,fallback:boolean>"
 
+class Anchor(NamedTuple):
+    tier: int
+    ord: int
+    words: list[int]
+    text: str
+    left: int
+    top: int
+    right: int
+    bottom: int
+    fallback: bool
 
-def matches(line: Column, pattern: str, synonyms: list[str], folded_only: bool = False) -> Column:
-    """Whether a label stands in a line, as it is or with look-alike letters folded; synonyms perhaps in the latter alone."""
-    found = F.lit(False)
-    for s in sorted({s.lower() for s in synonyms}):
-        found = found | line["low_folded"].contains(F.lower(fold(F.lit(s))))
-        if not folded_only:
-            found = found | line["low"].contains(s)
-    return found | line["folded"].rlike(java(pattern)) | line["plain"].rlike(java(pattern))
 
+class Page:
+    """One page of a lot with what its lines can hold."""
 
-def anchor(tier: int, order: Column, words: Column, fallback: bool) -> Column:
-    text = strip(F.array_join(F.transform(words, lambda w: w["text"]), " "))
-    return F.struct(F.lit(tier).alias("tier"), order.cast("int").alias("ord"), words.alias("words"), text.alias("text"), *box(words), F.lit(fallback).alias("fallback"))
+    def __init__(self, lot: Lot, number: int, bands: list[Band], told: list[tuple[set[str], set[str]]]):
+        """told: of each line of the page, the labels in it and the possible ones."""
+        self.lot, self.number, self.bands, self.told = lot, number, bands, told
+        self.first, self.end = int(lot.page_line[number]), int(lot.page_line[number + 1])
 
+    def words(self, line: int) -> range:
+        """The words of a line of the lot."""
+        return range(self.lot.starts[line], self.lot.starts[line + 1])
 
-def by_place(words: Column) -> Column:
-    """Words by top and left; ties keep their order."""
-    ordered = F.array_sort(F.transform(words, lambda w, i: F.struct(w["top"], w["left"], i.alias("at"), w.alias("word"))))
-    return F.transform(ordered, lambda x: x["word"])
+    def near(self, top: int, bottom: int) -> list[int]:
+        """The words of all lines that reach into a stretch of the page."""
+        tops, bottoms = self.lot.line_top, self.lot.line_bottom
+        return [w for line in range(self.first, self.end) if bottoms[line] >= top and tops[line] <= bottom for w in self.words(line)]
 
+    def anchor(self, tier: int, order: int, words: list[int], fallback: bool) -> Anchor:
+        held = self.lot.held
+        text = " ".join(self.lot.word_texts[w] for w in words).strip()
+        box = min(held["left"][w] for w in words), min(held["top"][w] for w in words), max(held["right"][w] for w in words), max(held["bottom"][w] for w in words)
+        return Anchor(tier, order, words, text, *box, fallback)
 
-def in_lines(lines: Column, pattern: str, synonyms: list[str]) -> Column:
-    """First tier: the lines that hold the label; as structs of row and anchor."""
-    held = F.transform(lines, lambda line, i: F.when(matches(line, pattern, synonyms), F.struct(line["row"].alias("row"), anchor(1, i, line["words"], False).alias("anchor"))))
-    return F.filter(held, lambda h: h.isNotNull())
+    def by_place(self, words: list[int]) -> list[int]:
+        """Words by top and left; ties keep their order."""
+        return sorted(words, key=lambda w: (self.lot.held["top"][w], self.lot.held["left"][w]))
 
 
-def in_bands(lines: Column, bands: Column, used: Column, pattern: str) -> Column:
-    """Second tier: bands that spell the label over several lines, unless one of their lines has been used."""
-    none = F.array().cast(f"array<{ANCHOR}>")
-    spelt = F.filter(bands, lambda b: (b["text"] != "") & b["folded"].rlike(java(pattern)))
-
-    def put(acc: Column, band: Column) -> Column:
-        rows = band["rows"]
-        words = F.flatten(F.transform(rows, lambda r: F.get(F.filter(lines, lambda line: line["row"] == r), 0)["words"]))
-        more = F.struct(F.array_union(acc["used"], rows).alias("used"), F.concat(acc["found"], F.array(anchor(2, F.size(acc["found"]), by_place(words), False))).alias("found"))
-        return F.when(F.arrays_overlap(rows, acc["used"]), acc).otherwise(more)
+def in_lines(page: Page, key: str) -> list[tuple[int, Anchor]]:
+    """First tier: the lines that hold the label; with the rows of the lines."""
+    held = [i for i, (matched, _) in enumerate(page.told) if key in matched]
+    return [(page.lot.held["row"][page.words(page.first + i)[0]], page.anchor(1, i, list(page.words(page.first + i)), False)) for i in held]
 
-    return F.aggregate(spelt, F.struct(used.alias("used"), none.alias("found")), put, lambda acc: acc["found"])
 
-
-def by_code(lines: Column, key: str) -> Column:
+def in_bands(page: Page, used: list[int], key: str, labels: Labels) -> list[Anchor]:
+    """Second tier: bands that spell the label over several lines, unless one of their lines has been used."""
+    found: list[Anchor] = []
+    if not any(key in possible for _, possible in page.told):
+        return found
+    taken = set(used)
+    lines = {page.lot.held["row"][page.words(line)[0]]: line for line in reversed(range(page.first, page.end))}
+    for band in page.bands:
+        if not any([page.lot.partial[w] for w in band.words]):
+            continue
+        if band.text and taken.isdisjoint(band.rows) and labels.patterns[key].search(fold(band.text)):
+            taken.update(band.rows)
+            words = [w for r in band.rows for w in page.words(lines[r])]
+            found.append(page.anchor(2, len(found), page.by_place(words), False))
+    return found
+
+
+def by_code(page: Page, code: str) -> list[Anchor]:
     """Third tier: lines with the row's code, each with the words above and below it within reach."""
-    pattern, synonyms = ROW_PATTERNS[key], ROW_SYNONYMS[key]
-
-    def around(line: Column) -> Column:
-        tall = F.array_max(F.filter(F.transform(line["words"], lambda w: w["height"]), lambda h: h != 0))
-        reach = F.greatest(F.lit(30), F.floor(F.coalesce(tall, F.lit(20)) * 2.5).cast("int"))
-
-        def collected(r: Column) -> Column:
-            top, bottom = line["top"] - r, line["bottom"] + r
-            near = F.filter(lines, lambda x: (x["bottom"] >= top) & (x["top"] <= bottom))
-            return F.filter(F.flatten(F.transform(near, lambda x: x["words"])), lambda w: (w["bottom"] >= top) & (w["top"] <= bottom))
-
-        return bind(reach, collected)
-
-    groups = F.filter(F.transform(F.filter(lines, lambda line: matches(line, pattern, synonyms, folded_only=True)), around), lambda g: F.size(g) > 0)
-    keyed = F.transform(groups, lambda g: F.struct(F.array_sort(F.transform(g, lambda w: w["id"])).alias("key"), g.alias("words")))
-
-    def fresh(all_: Column) -> Column:
-        keys = F.transform(all_, lambda k: k["key"])
-        return F.filter(F.transform(all_, lambda k, i: F.when(F.array_position(keys, k["key"]) == i + 1, anchor(3, i, by_place(k["words"]), True))), lambda a: a.isNotNull())
-
-    return bind(keyed, fresh)
-
-
-def anchors_of(lines: Column, bands: Column, key: str) -> Column:
+    held, found = page.lot.held, []
+    seen: set[tuple[int, ...]] = set()
+    order = -1
+    for i, (matched, _) in enumerate(page.told):
+        if code not in matched:
+            continue
+        line = page.first + i
+        tall = max((h for h in (held["height"][w] for w in page.words(line)) if h), default=20)
+        reach = max(30, int(tall * 2.5))
+        top, bottom = page.lot.line_top[line] - reach, page.lot.line_bottom[line] + reach
+        words = [w for w in page.near(top, bottom) if held["bottom"][w] >= top and held["top"][w] <= bottom]
+        if words:
+            order += 1
+            key = tuple(sorted(held["id"][w] for w in words))
+            if key not in seen:
+                seen.add(key)
+                found.append(page.anchor(3, order, page.by_place(words), True))
+    return found
+
+
+def anchors_of(page: Page, key: str, labels: Labels) -> list[Anchor]:
     """All anchors of a label on a page, in order: lines, then bands, and only if there is neither, codes."""
-    pattern = ROW_PATTERNS[key]
-
-    def both(held: Column) -> Column:
-        return F.concat(F.transform(held, lambda h: h["anchor"]), in_bands(lines, bands, F.transform(held, lambda h: h["row"]), pattern))
-
-    found = bind(in_lines(lines, pattern, ROW_SYNONYMS[key]), both)
-    if f"{key}_aop" not in ROW_PATTERNS:
-        return found
-    return bind(found, lambda f: F.when(F.size(f) > 0, f).otherwise(by_code(lines, f"{key}_aop")))
+    held = in_lines(page, key)
+    found = [a for _, a in held] + in_bands(page, [row for row, _ in held], key, labels)
+    return found or (by_code(page, f"{key}_aop") if f"{key}_aop" in labels.patterns else [])

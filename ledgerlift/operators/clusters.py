@@ -2,20 +2,84 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bind, numeric_like, strip
-from ..schemas import WORD
-from .columns import bounds, center
-from .pages import box
+from ..functions.text import numeric_like, strip
+from .anchors import Anchor, Page
+from .columns import YearColumn, bounds, center
 
 MARGIN = 8
 CODE_MARGIN = 3
 
 
-def formula_like(text: Column) -> Column:
-    return text.contains("+") | text.contains("=") | F.upper(text).contains("АОП")
+class Cluster(NamedTuple):
+    text: str
+    left: int
+    right: int
+
+
+def formula_like(text: str) -> bool:
+    return "+" in text or "=" in text or "АОП" in text.upper()
+
+
+def clusters_of(page: Page, words: list[int]) -> list[Cluster]:
+    """Clusters of words (ties keep their order): a number-like word starts a new one after another kind of word, a wide gap, or in another row."""
+    held, numeric, clean = page.lot.held, page.lot.numeric, page.lot.clean
+    left, right, top, height = (held[c] for c in ("left", "right", "top", "height"))
+    groups: list[list[int]] = []
+    before = None
+    for w in page.by_place(words):
+        if not numeric[w]:
+            before = None
+            continue
+        if before is not None:
+            high = max(height[before], height[w])
+            gap = max(15, int(max(high, 1) * 1.5))
+        if before is None or left[w] - right[before] > gap or abs(top[w] - top[before]) > high:
+            groups.append([])
+        groups[-1].append(w)
+        before = w
+    return [Cluster(" ".join(clean[w] for w in g), min(left[w] for w in g), max(right[w] for w in g)) for g in groups]
+
+
+def locate(page: Page, anchor: Anchor, chosen: YearColumn | None, other: YearColumn | None, codes: YearColumn | None) -> tuple[list[str], list[str]]:
+    """Texts of the numbers next to an anchor: candidates in order of preference, and all clusters."""
+    held, numeric = page.lot.held, page.lot.numeric
+    left, right = held["left"], held["right"]
+    anchor_right = max((right[w] for w in anchor.words if not numeric[w]), default=anchor.right)
+    threshold = anchor_right - 5
+    if anchor.fallback and codes:
+        threshold = min(threshold, codes.right + MARGIN)
+    own = {held["id"][w] for w in anchor.words}
+    every = anchor.words + [w for w in page.near(anchor.top, anchor.bottom) if right[w] >= threshold and held["id"][w] not in own]
+    found = []
+    if chosen:
+        least, most = bounds(chosen, other, anchor_right, anchor.right)
+        least, most = least - MARGIN, most + MARGIN
+        inside = lambda w: right[w] >= least and left[w] <= most and (least <= (left[w] + right[w]) / 2.0 <= most or left[w] >= least and right[w] <= most)
+        found = clusters_of(page, [w for w in every if inside(w)])
+    found = found or clusters_of(page, every)
+    return candidates(found, anchor, threshold, chosen, codes), [c.text for c in found]
+
+
+def candidates(found: list[Cluster], anchor: Anchor, threshold: int, chosen: YearColumn | None, codes: YearColumn | None) -> list[str]:
+    """Texts of clusters: those right of the label and outside of the row codes, if there are any, nearest to the column first."""
+
+    def off_codes(clusters: list[Cluster]) -> list[Cluster]:
+        return [c for c in clusters if not codes or center(c) < codes.left - CODE_MARGIN or center(c) > codes.right + CODE_MARGIN]
+
+    kept = [c for c in found if c.right >= threshold] or found
+    freed = off_codes(kept) or off_codes(found) or kept
+
+    def key(c: Cluster) -> tuple:
+        if chosen:
+            return formula_like(c.text), abs(center(c) - center(chosen)), abs(c.left - center(chosen)), c.left
+        return formula_like(c.text), c.left < anchor.right, abs(c.left - anchor.right), c.left
+
+    return [c.text for c in sorted(freed, key=key)]
 
 
 def breaks(before: Column, word: Column) -> Column:
@@ -25,69 +89,6 @@ def breaks(before: Column, word: Column) -> Column:
     return (word["left"] - before["right"] > gap) | (F.abs(word["top"] - before["top"]) > high)
 
 
-def clusters_of(words: Column) -> Column:
-    """Clusters of an array of words (ties keep the array's order): text, box."""
-    ordered = F.transform(F.array_sort(F.transform(words, lambda w, i: F.struct(w["top"], w["left"], i.alias("at"), w.alias("word")))), lambda x: x["word"])
-    none = F.array().cast(f"array<{WORD}>")
-
-    def put(groups: Column, w: Column) -> Column:
-        last = F.element_at(groups, -1)
-        joins = (F.size(last) > 0) & ~breaks(F.element_at(last, -1), w)
-        grown = F.concat(F.slice(groups, F.lit(1), F.size(groups) - 1), F.array(F.concat(last, F.array(w))))
-        return F.when(~w["numeric"], F.concat(groups, F.array(none))).when(F.coalesce(joins, F.lit(False)), grown).otherwise(F.concat(groups, F.array(F.array(w))))
-
-    def made(group: Column) -> Column:
-        text = F.array_join(F.transform(group, lambda w: w["clean"]), " ")
-        return F.struct(text.alias("text"), *box(group))
-
-    start = F.array(none)
-    return F.transform(F.filter(F.aggregate(ordered, start, put), lambda g: F.size(g) > 0), made)
-
-
-def locate(anchor: Column, chosen: Column, other: Column, lines: Column, codes: Column) -> Column:
-    """struct(candidates in order of preference, clusters): texts of the numbers next to an anchor.
-
-    anchor has words, box and fallback; chosen and other are year columns, codes the row-code column; each may be null."""
-    texts = anchor["words"]
-    labels = F.filter(texts, lambda w: ~w["numeric"])
-    anchor_right = F.coalesce(F.array_max(F.transform(labels, lambda w: w["right"])), anchor["right"])
-    least = anchor_right - 5
-    threshold = F.when(anchor["fallback"] & codes.isNotNull(), F.least(least, codes["right"] + MARGIN)).otherwise(least)
-    strip_ = F.when(chosen.isNotNull(), bounds(chosen, other, anchor_right, anchor["right"]))
-
-    def within(w: Column, b: Column) -> Column:
-        left, right, middle = b["left"] - MARGIN, b["right"] + MARGIN, center(w)
-        inside = (w["right"] >= left) & (w["left"] <= right) & (((middle >= left) & (middle <= right)) | ((w["left"] >= left) & (w["right"] <= right)))
-        return b.isNull() | inside
-
-    def with_bounds(bound: Column) -> Column:
-        near = F.filter(lines, lambda line: (line["bottom"] >= anchor["top"]) & (line["top"] <= anchor["bottom"]))
-        own = F.transform(anchor["words"], lambda w: w["id"])
-        others = F.filter(F.flatten(F.transform(near, lambda line: line["words"])), lambda w: (w["right"] >= bound["threshold"]) & ~F.array_contains(own, w["id"]))
-        every = F.concat(texts, others)
-        narrow = bind(every, lambda words: F.struct(clusters_of(F.filter(words, lambda w: within(w, bound["strip"]))).alias("narrow"), words.alias("words")))
-        found = bind(narrow, lambda n: F.when(chosen.isNotNull() & (F.size(n["narrow"]) == 0), clusters_of(n["words"])).otherwise(n["narrow"]))
-        return bind(found, lambda c: F.struct(candidates(c, bound["threshold"]).alias("candidates"), F.transform(c, lambda x: x["text"]).alias("clusters")))
-
-    def candidates(found: Column, at_least: Column) -> Column:
-        def off_codes(clusters: Column) -> Column:
-            return F.filter(clusters, lambda c: codes.isNull() | (center(c) < codes["left"] - CODE_MARGIN) | (center(c) > codes["right"] + CODE_MARGIN))
-
-        right_of = F.filter(found, lambda c: c["right"] >= at_least)
-        kept = bind(right_of, lambda r: F.when(F.size(r) > 0, r).otherwise(found))
-        freed = bind(kept, lambda k: bind(off_codes(k), lambda o: F.when(F.size(o) > 0, o).otherwise(bind(off_codes(found), lambda a: F.when(F.size(a) > 0, a).otherwise(k)))))
-        middle = center(chosen)
-
-        def key(c: Column, i: Column) -> Column:
-            first = F.when(chosen.isNotNull(), F.abs(center(c) - middle)).otherwise(F.when(c["left"] >= anchor["right"], 0.0).otherwise(1.0))
-            second = F.when(chosen.isNotNull(), F.abs(c["left"] - middle)).otherwise(F.abs(c["left"] - anchor["right"]).cast("double"))
-            return F.struct(formula_like(c["text"]).alias("formula"), first.alias("first"), second.alias("second"), c["left"].alias("left"), i.alias("at"), c["text"].alias("text"))
-
-        return F.transform(F.array_sort(F.transform(freed, key)), lambda k: k["text"])
-
-    return bind(F.struct(threshold.alias("threshold"), strip_.alias("strip")), with_bounds)
-
-
 def cluster_rows(words: DataFrame) -> DataFrame:
     """All numeric clusters of all pages as rows, by windows: doc_id, page, cluster, text, left, right.
 

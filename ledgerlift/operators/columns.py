@@ -2,73 +2,110 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterable
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bind, standalone_years, token
-from ..functions.vocabulary import CODE_COLUMN_TOKENS, YEAR_PATTERNS, YEAR_SYNONYMS, java
+from ..functions.messages import MESSAGES
+from ..functions.text import standalone_years
+from ..functions.vocabulary import CODE_COLUMN_TOKENS, YEAR_PATTERNS, YEAR_SYNONYMS
 from ..schemas import COLUMN
+from .flat import Band, Lot, token
+from .labels import parts
 
 LABELS = ("current", "previous")
+PATTERNS = {label: re.compile(p, re.IGNORECASE) for label, p in YEAR_PATTERNS.items()}
+#: The spellings of a year column's header as tokens.
+SPELT = {label: [[t for t in map(token, v.split()) if t] for v in YEAR_SYNONYMS[label]] for label in LABELS}
+#: Tokens without which no header stands on a page: beginnings of spellings, parts of patterns; of the code column the name and its letters.
+FIRST_TOKENS = frozenset(v[0] for spelt in SPELT.values() for v in spelt)
+PARTS = tuple(p for pattern in YEAR_PATTERNS.values() for p in parts(pattern))
+CODE_TOKENS = frozenset(CODE_COLUMN_TOKENS) | frozenset(c for t in CODE_COLUMN_TOKENS for c in t)
+
+
+class YearColumn(NamedTuple):
+    """A year or row-code column, in the order of schemas.COLUMN."""
+
+    page: int
+    label: str
+    left: int
+    top: int
+    right: int
+    bottom: int
+    text: str
+
+
+def heads_a_column(text: str, its_token: str) -> bool:
+    """Whether a word can be of a year's header in words or of the row codes' header."""
+    if its_token in FIRST_TOKENS or its_token in CODE_TOKENS:
+        return True
+    low = text.lower()
+    return any([p in low for p in PARTS])
+
+
+def topmost(found: Iterable[YearColumn]) -> YearColumn | None:
+    """The column of smallest top, the first of equal ones."""
+    return min(found, key=lambda c: c.top, default=None)
+
+
+def run_at(tokens: list[str], wanted: list[str]) -> int | None:
+    """Place of the first run of tokens equal to wanted."""
+    if wanted[0] not in tokens:
+        return None
+    return next((i for i in range(len(tokens) - len(wanted) + 1) if tokens[i : i + len(wanted)] == wanted), None)
+
+
+def year_column(label: str, page: int, year: int, bands: list[Band], lot: Lot, numbers: list[tuple[int, str]]) -> YearColumn | None:
+    """The column of one label on a page: its header in words, or the year's number, whichever is higher.
+
+    bands are those that can hold a header, numbers the page's words with four lone digits, and the text of their lines."""
+    number = str(year if label == "current" else year - 1)
+    left, top, right, bottom = (lot.held[c] for c in ("left", "top", "right", "bottom"))
+    by_tokens = []
+    for band in bands:
+        named = [w for w in band.in_order if lot.tokens[w]]
+        names = [lot.tokens[w] for w in named]
+        for wanted in [*SPELT[label], [number]]:
+            at = run_at(names, wanted)
+            if at is not None:
+                own = named[at : at + len(wanted)]
+                by_tokens.append(YearColumn(page, label, min(left[w] for w in own), min(top[w] for w in own), max(right[w] for w in own), max(bottom[w] for w in own), band.text))
+                break
+    header = topmost(by_tokens) or topmost(YearColumn(page, label, *b.box, b.text) for b in bands if PATTERNS[label].search(b.text))
+    in_lines = [YearColumn(page, label, left[w], top[w], right[w], bottom[w], text) for w, text in numbers if lot.year_digits[w] == number]
+    return topmost([header, *in_lines] if header else in_lines)
+
+
+def code_column(page: int, bands: list[Band], lot: Lot) -> YearColumn | None:
+    """The column of row codes: a band with its header's token, or its three letters one below the other."""
 
+    def holds(band: Band) -> bool:
+        names = [t for t in [lot.tokens[w] for w in band.in_order] if t]
+        stacked = ["".join(names[i : i + 3]) for i in range(len(names)) if len(names[i]) == 1 and all([len(t) == 1 for t in names[i : i + 3]])]
+        return not frozenset(CODE_COLUMN_TOKENS).isdisjoint([*names, *stacked])
 
-def topmost(found: Column) -> Column:
-    """Of an array of columns the one of smallest top, the first of equal ones; null if there is none."""
-    return F.array_min(F.transform(found, lambda c, i: F.struct(c["top"].alias("top"), i.alias("at"), c.alias("column"))))["column"]
-
-
-def column(label: Column, page: Column, span: Column, text: Column) -> Column:
-    return F.struct(page.cast("int").alias("page"), label.alias("label"), *[span[c].alias(c) for c in ("left", "top", "right", "bottom")], text.alias("text"))
-
-
-def span_of(words: Column) -> Column:
-    least = lambda c: F.array_min(F.transform(words, lambda w: w[c])).alias(c)
-    most = lambda c: F.array_max(F.transform(words, lambda w: w[c])).alias(c)
-    return F.struct(least("left"), least("top"), most("right"), most("bottom"))
-
-
-def run_at(tokens: Column, wanted: Column) -> Column:
-    """Place (from 1) of the first run of tokens equal to wanted; null if there is none."""
-    places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1))), lambda i: F.slice(tokens, i, F.size(wanted)) == wanted)
-    return F.get(places, 0)
-
-
-def spelt(label: str, year: Column) -> Column:
-    """The spellings of a year column's header as arrays of tokens, the number last."""
-    texts = [F.filter(F.array(*[token(F.lit(part)) for part in v.split()]), lambda t: t != "") for v in YEAR_SYNONYMS[label]]
-    number = year if label == "current" else year - 1
-    return F.array(*texts, F.array(number.cast("string")))
-
-
-def year_column(label: str, bands: Column, words: Column, page: Column, year: Column) -> Column:
-    """The column of one label on a page, or null."""
-    named = F.lit(label)
-
-    def by_tokens(variants: Column) -> Column:
-        def in_band(band: Column) -> Column:
-            found = F.filter(F.transform(variants, lambda v: F.struct(run_at(band["names"], v).alias("at"), F.size(v).alias("n"))), lambda f: f["at"].isNotNull())
-            return bind(F.get(found, 0), lambda f: F.when(f.isNotNull(), column(named, page, span_of(F.slice(band["spans"], f["at"], f["n"])), band["text"])))
-
-        return topmost(F.filter(F.transform(bands, in_band), lambda c: c.isNotNull()))
+    return topmost(YearColumn(page, "aop", *b.box, b.text) for b in bands if holds(b))
 
-    by_pattern = topmost(F.transform(F.filter(bands, lambda b: b["text"].rlike(java(YEAR_PATTERNS[label]))), lambda b: column(named, page, b, b["text"])))
-    number = year if label == "current" else year - 1
-    numbers = F.transform(F.filter(words, lambda w: w["year"] == number.cast("string")), lambda w: column(named, page, w, w["line_text"]))
-    header = F.coalesce(bind(spelt(label, year), by_tokens), by_pattern)
-    return bind(header, lambda h: topmost(F.concat(F.when(h.isNotNull(), F.array(h)).otherwise(F.array().cast(f"array<{COLUMN}>")), numbers)))
 
+class Carried:
+    """The columns that hold on the pages of a document, page by page: a page with any year column uses its own ones only."""
 
-def code_column(bands: Column, page: Column) -> Column:
-    """The column of row codes: a band with its header's token, or its three letters one below the other."""
-    targets = F.array(*[F.lit(t) for t in CODE_COLUMN_TOKENS])
+    def __init__(self):
+        self.doc_id: str | None = None
+        self.columns: dict[str, YearColumn | None] | None = None
+        self.codes: YearColumn | None = None
 
-    def holds(band: Column) -> Column:
-        tokens = band["names"]
-        letters = lambda t, i: F.transform(F.slice(tokens, i + 1, 3), lambda x: F.length(x) == 1)
-        stacked = F.transform(tokens, lambda t, i: F.when(F.forall(letters(t, i), lambda x: x), F.array_join(F.slice(tokens, i + 1, 3), "")).otherwise(F.lit("")))
-        return F.arrays_overlap(tokens, targets) | F.arrays_overlap(stacked, targets)
-
-    return topmost(F.transform(F.filter(bands, holds), lambda b: column(F.lit("aop"), page, b, b["text"])))
+    def on(self, doc_id: str, own: dict[str, YearColumn | None], codes: YearColumn | None) -> tuple[dict[str, YearColumn | None] | None, YearColumn | None]:
+        if doc_id != self.doc_id:
+            self.__init__()
+            self.doc_id = doc_id
+        if any(own.values()):
+            self.columns = own
+        self.codes = codes or self.codes
+        return self.columns, self.codes
 
 
 def reference_years(pages: DataFrame, as_of_year: int) -> DataFrame:
@@ -76,37 +113,35 @@ def reference_years(pages: DataFrame, as_of_year: int) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.coalesce(F.max(F.array_max(standalone_years(F.col("text")))), F.lit(as_of_year)).alias("year"))
 
 
-def columns_of(pages: DataFrame) -> DataFrame:
-    """Pages (with bands and year) with `columns` (current, previous) and `codes`, each carried forward from earlier pages.
-
-    A page with any year column uses its own ones only."""
-    worded = pages.withColumn("_words", F.flatten(F.transform("lines", lambda line: F.transform(F.filter(line["words"], lambda w: w["year"] != ""), lambda w: w.withField("line_text", line["plain"])))))
-    for label in LABELS:
-        worded = worded.withColumn(f"_{label}", year_column(label, F.col("bands"), F.col("_words"), F.col("page"), F.col("year")))
-    own = F.when(F.col("_current").isNotNull() | F.col("_previous").isNotNull(), F.struct(F.col("_current").alias("current"), F.col("_previous").alias("previous")))
-    found = worded.withColumn("_own", own).withColumn("_codes", code_column(F.col("bands"), F.col("page")))
-    so_far = Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carried = found.withColumns({"columns": F.last("_own", ignorenulls=True).over(so_far), "codes": F.last("_codes", ignorenulls=True).over(so_far)})
-    return carried.drop("_words", "_own", "_codes", *[f"_{label}" for label in LABELS])
-
-
-def center(span: Column) -> Column:
-    return (span["left"] + span["right"]) / 2.0
+def center(span: tuple) -> float:
+    """The middle of anything with left and right edges."""
+    return (span.left + span.right) / 2.0
 
 
-def bounds(chosen: Column, other: Column, anchor_right: Column, line_right: Column) -> Column:
+def bounds(chosen: YearColumn, other: YearColumn | None, anchor_right: int, line_right: int) -> tuple[float, float]:
     """left and right of the strip that belongs to a column, halfway to its neighbour or extended."""
-    wide = F.greatest(chosen["right"] - chosen["left"], F.lit(1))
-    extension = F.greatest(wide * 1.5, F.lit(80.0))
-    middle = center(chosen)
-    half = (center(other) + middle) / 2.0
-    left = F.greatest(F.when(center(other) < middle, half).otherwise(chosen["left"] - extension), anchor_right.cast("double"))
-    right = F.when(center(other) > middle, half).otherwise(F.greatest(chosen["right"] + extension, line_right.cast("double")))
-    return bind(F.struct(left.alias("left"), right.alias("right")), lambda b: F.struct(b["left"].alias("left"), F.when(b["right"] <= b["left"], b["left"] + F.greatest(wide.cast("double"), extension / 2.0)).otherwise(b["right"]).alias("right")))
+    wide = max(chosen.right - chosen.left, 1)
+    extension, middle = max(wide * 1.5, 80.0), center(chosen)
+    left, right = chosen.left - extension, max(chosen.right + extension, float(line_right))
+    if other and center(other) < middle:
+        left = (center(other) + middle) / 2.0
+    if other and center(other) > middle:
+        right = (center(other) + middle) / 2.0
+    left = max(left, float(anchor_right))
+    return left, right if right > left else left + max(float(wide), extension / 2.0)
+
+
+def chosen_of(columns: dict[str, YearColumn | None] | None, preferred: str) -> tuple[YearColumn | None, YearColumn | None]:
+    """The preferred column, else the first there is; and its neighbour."""
+    if columns:
+        for label in (preferred, *LABELS):
+            if columns.get(label):
+                return columns[label], columns["previous" if label == "current" else "current"]
+    return None, None
 
 
 def select_column(columns: Column, preferred: str) -> Column:
-    """struct(column, other, warning): the preferred column, else the first there is with a warning; other is its neighbour."""
+    """struct(column, warning): the preferred column, else the first there is with a warning."""
     spare = [label for label in LABELS if label != preferred]
     available = F.concat_ws(", ", *[F.when(columns[label].isNotNull(), F.lit(f"'{label}'")) for label in LABELS])
     listed = F.concat(F.lit("["), available, F.lit("]"))
@@ -115,14 +150,13 @@ def select_column(columns: Column, preferred: str) -> Column:
         return F.struct(F.lit(code).alias("code"), F.lit(text).alias("message"), F.create_map(*context, F.lit("preferred"), F.lit(preferred), F.lit("available_columns"), listed).alias("context"))
 
     def chosen(label: str, warning: Column) -> Column:
-        other = "previous" if label == "current" else "current"
-        return F.struct(columns[label].alias("column"), columns[other].alias("other"), warning.alias("warning"))
+        return F.struct(columns[label].alias("column"), warning.alias("warning"))
 
     none = F.lit(None).cast("struct<code:string,message:string,context:map<string,string>>")
-    missing = warned("column_not_found", "Year columns could not be detected on the anchor page")
-    out = F.struct(F.lit(None).cast(COLUMN).alias("column"), F.lit(None).cast(COLUMN).alias("other"), missing.alias("warning"))
+    missing = warned("column_not_found", MESSAGES["column_not_found"])
+    out = F.struct(F.lit(None).cast(COLUMN).alias("column"), missing.alias("warning"))
     for label in reversed(spare):
-        fallback = warned("column_fallback_used", "Preferred year column missing; using fallback column", F.lit("selected"), F.lit(label))
+        fallback = warned("column_fallback_used", MESSAGES["column_fallback_used"], F.lit("selected"), F.lit(label))
         out = F.when(columns[label].isNotNull(), chosen(label, fallback)).otherwise(out)
     if preferred in LABELS:
         out = F.when(columns[preferred].isNotNull(), chosen(preferred, none)).otherwise(out)

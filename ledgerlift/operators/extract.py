@@ -1,18 +1,29 @@
-"""Extraction of fields: anchors, columns and clusters of every page put together, and the first success per document."""
+"""Extraction of fields: anchors, columns and clusters of every page put together, and the first success per document.
+
+Words are dealt by document and sorted by page; a task reads lots of whole pages as flat arrays, and gives out one small row
+for each label that stands on a page. All after that, from the parsing of numbers on, is done on these rows."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.messages import MESSAGES
 from ..functions.numeric import parse_with
 from ..functions.text import bind
 from ..functions.vocabulary import FIELDS, ROW_PATTERNS, Field
-from ..schemas import BOX, MESSAGE
-from .anchors import ANCHOR, anchors_of
+from ..schemas import BOX, COLUMN, MESSAGE
+from .anchors import Page, anchors_of
 from .clusters import locate
-from .columns import columns_of, reference_years, select_column
-from .pages import bands_of, pages_of
+from .columns import Carried, chosen_of, code_column, heads_a_column, reference_years, select_column, year_column
+from .flat import NUMERIC, Band, Lot, bands_of_pages, fold, lone_digits, lots, token
+from .labels import Labels, labels_of
+from .pages import typed
 
 NO_MESSAGES = f"array<{MESSAGE}>"
 #: What is told of a document and a field.
@@ -20,6 +31,10 @@ RESULT = (
     f"struct<value:bigint,raw_text:string,normalized_text:string,page_number:int,anchor_text:string,anchor_bbox:{BOX},"
     f"column_label:string,column_bbox:{BOX},errors:{NO_MESSAGES},warnings:{NO_MESSAGES}>"
 )
+YEAR_COLUMNS = f"struct<current:{COLUMN},previous:{COLUMN}>"
+#: Columns that hold on a page, and what stands next to a label on it.
+FEATURES = f"doc_id string, page int, columns {YEAR_COLUMNS}, codes {COLUMN}"
+FOUND = f"doc_id string, page int, columns {YEAR_COLUMNS}, field string, a struct<tier:int,ord:int,text:string,left:int,top:int,right:int,bottom:int>, candidates array<string>, clusters array<string>"
 
 
 def message(code: str, text: Column | str, **context: Column) -> Column:
@@ -32,10 +47,92 @@ def box_of(c: Column) -> Column:
     return F.when(c.isNotNull(), F.struct(*[c[n].alias(n) for n in ("left", "top", "right", "bottom")]))
 
 
+def page_words(words: DataFrame, pages: DataFrame, as_of_year: int) -> DataFrame:
+    """The words of whole documents, page by page, each with the year of its document: what features and fields are read from."""
+    placed = typed(words).repartition("doc_id").join(reference_years(pages, as_of_year), "doc_id")
+    return placed.sortWithinPartitions("doc_id", "page", "pos")
+
+
+def prepared(lot: Lot, labels: Labels) -> tuple[list[tuple[set[str], set[str]]], list[str]]:
+    """What is told from the texts of a lot's words and lines: labels of each line, and the lines' text. Labels are looked for once."""
+    lot.clean, lot.numeric, lot.year_digits = lot.told(str.strip), lot.told(lambda t: bool(NUMERIC.search(t))), lot.told(lone_digits)
+    tokens = [token(t) for t in lot.texts]
+    lot.tokens = [tokens[c] for c in lot.code.tolist()]
+    lot.partial = lot.told(lambda t: bool(labels.part.search(fold(t).lower())))
+    lot.heads = np.fromiter(map(heads_a_column, lot.texts, tokens), bool, len(tokens))[lot.code]
+    lot.starts = lot.line_start.tolist()
+    lot.line_top, lot.line_bottom = lot.line_boxes()
+    lines = [" ".join(lot.word_texts[a:b]).strip() for a, b in zip(lot.starts, lot.starts[1:], strict=False)]
+    return [labels.found(line, fold(line)) for line in lines], lines
+
+
+def pages_of_lot(lot: Lot, carried: Carried, labels: Labels) -> Iterator[tuple[int, Page, dict | None, tuple | None]]:
+    """(number, page, columns, codes) of each page of a lot; pages without a word of any header or label have no need of bands."""
+    told, lines = prepared(lot, labels)
+    starts, page_line = lot.page_start.tolist(), lot.page_line.tolist()
+    wanted = np.maximum.reduceat(lot.heads, lot.page_start[:-1])
+    dates = []
+    for page, year in enumerate(lot.years):
+        dates.append({str(year), str(year - 1)})
+        wanted[page] = wanted[page] or any([possible for _, possible in told[page_line[page] : page_line[page + 1]]]) or not dates[-1].isdisjoint(lot.tokens[starts[page] : starts[page + 1]])
+    bands, heads, line_of = bands_of_pages(lot, wanted), lot.heads.tolist(), lot.line.tolist()
+    for page, (doc_id, number, year) in enumerate(zip(lot.doc_ids, lot.page_numbers, lot.years, strict=True)):
+        own: list[Band] = bands.get(page, [])
+        headed = [b for b in own if any([heads[w] or lot.tokens[w] in dates[page] for w in b.words])]
+        dated = [(w, lines[line_of[w]]) for w in range(starts[page], starts[page + 1]) if lot.year_digits[w] in dates[page]]
+        columns = {label: year_column(label, number, year, headed, lot, dated) for label in ("current", "previous")}
+        on_page, codes = carried.on(doc_id, columns, code_column(number, headed, lot))
+        yield page, Page(lot, page, own, told[page_line[page] : page_line[page + 1]]), on_page, codes
+
+
+def as_rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+def arrow(ddl: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
 def page_features(words: DataFrame, pages: DataFrame, as_of_year: int) -> DataFrame:
-    """One row per page with words: lines, bands, columns and codes; the year of its document. Computed once for all fields."""
-    years = reference_years(pages, as_of_year)
-    return columns_of(bands_of(pages_of(words).join(years, "doc_id")))
+    """doc_id, page, columns and codes of every page with words: the columns that hold on it, its own ones or carried forward."""
+    schema = arrow(FEATURES)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried, labels = Carried(), labels_of(())
+        for lot in lots(batches):
+            yield as_rows([(lot.doc_ids[n], lot.page_numbers[n], column_dicts(columns), dict_of(codes)) for n, _, columns, codes in pages_of_lot(lot, carried, labels)], schema)
+
+    return page_words(words, pages, as_of_year).mapInArrow(read, FEATURES)
+
+
+def dict_of(row: tuple | None) -> dict | None:
+    return None if row is None else row._asdict()
+
+
+def column_dicts(columns: dict | None) -> dict | None:
+    return columns and {label: dict_of(c) for label, c in columns.items()}
+
+
+def labelled(placed: DataFrame, anchors: dict[str, str], preferred: str) -> DataFrame:
+    """FOUND: for each field (by name, with its anchor) and anchor on a page of page_words, the numbers next to it."""
+    schema, keys = arrow(FOUND), tuple(sorted(set(anchors.values())))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried, labels = Carried(), labels_of(keys)
+        for lot in lots(batches):
+            rows = []
+            for n, page, columns, codes in pages_of_lot(lot, carried, labels):
+                chosen, other = chosen_of(columns, preferred)
+                for field, key in anchors.items():
+                    for a in anchors_of(page, key, labels):
+                        told = {k: v for k, v in a._asdict().items() if k not in ("words", "fallback")}
+                        rows.append((lot.doc_ids[n], lot.page_numbers[n], column_dicts(columns), field, told, *locate(page, a, chosen, other, codes)))
+            yield as_rows(rows, schema)
+
+    return placed.mapInArrow(read, FOUND)
 
 
 def outcome(a: Column, page: Column, chosen: Column, found: Column, least: Column, most: Column) -> Column:
@@ -61,7 +158,7 @@ def outcome(a: Column, page: Column, chosen: Column, found: Column, least: Colum
     ))
     texts = F.concat(F.lit("["), F.array_join(F.transform(found["clusters"], lambda t: F.concat(F.lit("'"), t, F.lit("'"))), ", "), F.lit("]"))
     bbox = F.concat(F.lit("("), F.concat_ws(", ", *[a[n].cast("string") for n in ("left", "top", "right", "bottom")]), F.lit(")"))
-    unseen = message("value_not_found", "No numeric value detected next to the anchor", page=page, anchor_text=a["text"], anchor_bbox=bbox, available_columns=warning["context"]["available_columns"], candidate_values=texts)
+    unseen = message("value_not_found", MESSAGES["value_not_found"], page=page, anchor_text=a["text"], anchor_bbox=bbox, available_columns=warning["context"]["available_columns"], candidate_values=texts)
     nothing = F.struct(F.lit(None).cast(RESULT).alias("success"), F.array(warning, unseen).alias("errors"))
 
     def tried(all_: Column) -> Column:
@@ -79,18 +176,15 @@ def outcome(a: Column, page: Column, chosen: Column, found: Column, least: Colum
     return F.when(F.size(found["candidates"]) > 0, bind(attempts, tried)).when(column.isNotNull(), blank).otherwise(nothing)
 
 
-def read_fields(features: DataFrame, documents: DataFrame, pages: DataFrame, fields: list[Field], preferred: str = "current") -> DataFrame:
+def read_fields(placed: DataFrame, documents: DataFrame, pages: DataFrame, fields: list[Field], preferred: str = "current") -> DataFrame:
     """doc_id, field and result of every document and field.
 
-    documents has doc_id; pages tells which documents have pages at all."""
+    placed is page_words; documents has doc_id; pages tells which documents have pages at all."""
     defined = [f for f in fields if f.anchor in ROW_PATTERNS]
-    anchors = lambda f: anchors_of(F.col("lines"), F.col("bands"), f.anchor) if f in defined else F.array().cast(f"array<{ANCHOR}>")
-    per_field = F.array(*[F.struct(F.lit(f.key).alias("field"), F.lit(f.min_value).cast("bigint").alias("least"), F.lit(f.max_value).cast("bigint").alias("most"), anchors(f).alias("anchors")) for f in fields])
-    rows = features.select("doc_id", "page", "lines", "columns", "codes", F.explode(per_field).alias("f"))
-    rows = rows.select("doc_id", "page", "lines", "columns", "codes", "f.field", "f.least", "f.most", F.explode("f.anchors").alias("a"))
-    rows = rows.withColumn("chosen", select_column(F.col("columns"), preferred))
-    rows = rows.withColumn("found", locate(F.col("a"), F.col("chosen.column"), F.col("chosen.other"), F.col("lines"), F.col("codes")))
-    rows = rows.withColumn("told", outcome(F.col("a"), F.col("page"), F.col("chosen"), F.col("found"), F.col("least"), F.col("most")))
+    rows = labelled(placed, {f.key: f.anchor for f in defined}, preferred)
+    bound = lambda name: F.coalesce(*[F.when(F.col("field") == f.key, F.lit(getattr(f, name)).cast("bigint")) for f in fields])
+    rows = rows.withColumns({"chosen": select_column(F.col("columns"), preferred), "least": bound("min_value"), "most": bound("max_value")})
+    rows = rows.withColumn("told", outcome(F.col("a"), F.col("page"), F.col("chosen"), F.struct("candidates", "clusters"), F.col("least"), F.col("most")))
     place = [F.col("page"), F.col("a.tier"), F.col("a.ord")]
     # The first success wins and discards the errors before it; else all errors count, in order, with the last anchor and column seen.
     agg = rows.groupBy("doc_id", "field").agg(
@@ -109,7 +203,7 @@ def read_fields(features: DataFrame, documents: DataFrame, pages: DataFrame, fie
     for f in fields:
         key = F.when(F.col("field") == f.key, F.lit(f.anchor)).otherwise(key)
     undefined = F.col("field").isin([f.key for f in fields if f not in defined])
-    absent = F.when(undefined & F.col("paged").isNotNull(), message("anchor_definition_missing", "Anchor definition is not available", anchor_key=key)).when(F.col("paged").isNull(), message("no_pages", "OCR result does not contain any pages")).otherwise(message("anchor_not_found", "Anchor text was not located in the OCR output", anchor_key=key))
+    absent = F.when(undefined & F.col("paged").isNotNull(), message("anchor_definition_missing", MESSAGES["anchor_definition_missing"], anchor_key=key)).when(F.col("paged").isNull(), message("no_pages", MESSAGES["no_pages"])).otherwise(message("anchor_not_found", MESSAGES["anchor_not_found"], anchor_key=key))
     fields_of = {
         "value": F.lit(None), "raw_text": F.lit(None), "normalized_text": F.lit(None), "page_number": F.col("last.page"), "anchor_text": F.col("last.text"), "anchor_bbox": F.col("last.box"),
         "column_label": F.col("last_column.label"), "column_bbox": F.col("last_column.box"), "errors": F.coalesce("errors", F.array(absent).cast(NO_MESSAGES)), "warnings": none,
@@ -125,15 +219,15 @@ def success(result: Column) -> Column:
 def loss_above_capital(capital: Column, loss: Column) -> Column:
     """The derived field: what capital lies below zero; without it the loss row; else the errors of both."""
     negative = F.when(capital["value"] < 0, -capital["value"]).otherwise(F.lit(0).cast("bigint"))
-    by_formula = message("diagnostic_value_source", "Value derived from capital AOP 0401 using the prescribed formula", source=F.lit("capital_formula"), aop_code=F.lit("0401"), capital_value=capital["value"], computed_value=negative)
+    by_formula = message("diagnostic_value_source", MESSAGES["capital_formula"], source=F.lit("capital_formula"), aop_code=F.lit("0401"), capital_value=capital["value"], computed_value=negative)
     codes = F.concat(F.lit("['"), F.array_join(F.transform(capital["errors"], lambda m: m["code"]), "', '"), F.lit("']"))
-    missed = message("capital_extraction_failed", "Capital based derivation failed; using direct loss row", attempted_source=F.lit("capital_formula"), aop_code=F.lit("0401"), errors=codes)
-    direct = message("diagnostic_value_source", "Value read directly from the loss row (AOP 0401)", source=F.lit("direct_row"), aop_code=F.lit("0401"), computed_value=loss["value"])
+    missed = message("capital_extraction_failed", MESSAGES["capital_extraction_failed"], attempted_source=F.lit("capital_formula"), aop_code=F.lit("0401"), errors=codes)
+    direct = message("diagnostic_value_source", MESSAGES["direct_row"], source=F.lit("direct_row"), aop_code=F.lit("0401"), computed_value=loss["value"])
     from_row = F.concat(loss["warnings"], F.when(F.size(capital["errors"]) > 0, F.array(missed)).otherwise(F.array().cast(NO_MESSAGES)), capital["warnings"], F.array(direct))
     formula = capital.withField("value", negative).withField("warnings", F.concat(capital["warnings"], F.array(by_formula)))
     row = loss.withField("warnings", from_row)
     nulls = [F.lit(None).alias(n) for n in ("value", "raw_text", "normalized_text", "page_number", "anchor_text", "anchor_bbox", "column_label", "column_bbox")]
-    untold = message("value_not_found", "Neither the capital formula nor the direct loss row produced a value", source_attempts=F.lit("['capital_formula', 'direct_row']"), aop_code=F.lit("0401"))
+    untold = message("value_not_found", MESSAGES["neither_source"], source_attempts=F.lit("['capital_formula', 'direct_row']"), aop_code=F.lit("0401"))
     every = F.concat(capital["errors"], loss["errors"])
     neither = F.struct(*nulls, F.when(F.size(every) > 0, every).otherwise(F.array(untold)).alias("errors"), F.concat(capital["warnings"], loss["warnings"]).alias("warnings")).cast(RESULT)
     return F.when(success(capital), formula.cast(RESULT)).when(success(loss), row.cast(RESULT)).otherwise(neither)
@@ -141,8 +235,7 @@ def loss_above_capital(capital: Column, loss: Column) -> Column:
 
 def extract(words: DataFrame, pages: DataFrame, documents: DataFrame, as_of_year: int, preferred: str = "current") -> DataFrame:
     """doc_id, field (revenue, assets or capital_loss) and result of every document."""
-    features = page_features(words, pages, as_of_year)
-    read = read_fields(features, documents, pages, list(FIELDS.values()), preferred)
+    read = read_fields(page_words(words, pages, as_of_year), documents, pages, list(FIELDS.values()), preferred)
     wide = read.groupBy("doc_id").pivot("field", list(FIELDS)).agg(F.first("result"))
     derived = loss_above_capital(F.col("capital"), F.col("loss_row"))
     results = F.array(*[F.struct(F.lit(n).alias("field"), c.alias("result")) for n, c in (("revenue", F.col("revenue")), ("assets", F.col("assets")), ("capital_loss", derived))])

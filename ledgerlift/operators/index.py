@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.messages import told
 from ..functions.text import document_id, index_id, index_year, period_label
 from ..functions.vocabulary import FORM_PATTERNS, java
 
@@ -86,13 +87,13 @@ def duplicate_notes(entries: DataFrame) -> DataFrame:
 
     held = of_few.unionByName(of_many).where("size(held) > 1")
     paths = F.array_join(F.transform("held", lambda h: h["path"]), ", ")
-    note = F.concat(F.lit("Multiple "), F.upper("form_type"), F.lit(" forms detected for MB "), F.col("mb_key"), F.lit(". Selection is based on period and modification time. Candidates: "), paths)
+    note = told("duplicates", F.upper("form_type"), F.col("mb_key"), paths)
     return held.select(*keys, F.size("held").alias("ord"), note.alias("note"))
 
 
 def index_notes(classified: DataFrame) -> DataFrame:
     """mb_key, notes (ordered): documents of unknown form, then duplicates form by form."""
-    text = F.concat(F.lit("Unable to determine form type for "), F.col("path"), F.lit(" (MB "), F.col("mb_key"), F.lit(")"))
+    text = told("unknown_form", F.col("path"), F.col("mb_key"))
     unknown = classified.where("mb_key is not null and size(forms) = 0").select("mb_key", F.lit("unknown").alias("form_type"), path_key(F.col("path")).alias("p"), text.alias("note"))
     doubles = duplicate_notes(entries_of(classified)).select("mb_key", "form_type", F.array(F.format_string("%010d", "ord")).alias("p"), "note")
     both = unknown.unionByName(doubles)

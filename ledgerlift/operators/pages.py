@@ -1,119 +1,49 @@
-"""Words to pages: one row per page with its lines as arrays, and the vertical bands of its words.
-
-All geometry below a page is done inside arrays by higher-order functions: after the one exchange by document no
-further shuffle is needed until results are joined with other tables.
-"""
+"""Words to lines, bands and pages: typed words are dealt by document, and nothing below a page is shuffled after that."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bind, fold, has_text, lone_digits, numeric_like, strip, token
+from ..functions.text import has_text
+from .flat import bands_of_pages, lots
 
-SLACK_LEAST, SLACK_MOST = 12, 60
+BANDS = "doc_id string, page int, bands array<struct<left:int,top:int,right:int,bottom:int,text:string>>"
 
 
 def typed(words: DataFrame) -> DataFrame:
     """Words with numeric geometry; rows that are no words (level 5), blank, or without readable numbers are dropped."""
     whole = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("0")).try_cast("double").cast("int")
     ids = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("0")).try_cast("int")
-    read = words.where(has_text(F.col("text"))).select(
-        "doc_id", "page", "pos", "text", strip(F.col("text")).alias("clean"), token(F.col("text")).alias("token"), numeric_like(F.col("text")).alias("numeric"),
-        lone_digits(F.col("text")).alias("year"), *[ids(c).alias(c) for c in ("level", "block", "par", "line")], *[whole(c).alias(c) for c in ("left", "top", "width", "height")],
-    )
-    return read.where("level = 5 and block is not null and par is not null and line is not null and left is not null and top is not null and width is not null and height is not null")
-
-
-def each(words: Column, name: str) -> Column:
-    """One field of all structs of an array."""
-    return F.transform(words, lambda w: w[name])
-
-
-def box(words: Column) -> list[Column]:
-    """left, top, right and bottom of an array of words."""
-    ends = (("left", F.array_min), ("top", F.array_min), ("right", F.array_max), ("bottom", F.array_max))
-    return [f(each(words, name)).alias(name) for name, f in ends]
+    read = words.where(has_text(F.col("text"))).select("doc_id", "page", "pos", "text", *[ids(c).alias(c) for c in ("level", "block", "par", "line")], *[whole(c).alias(c) for c in ("left", "top", "width", "height")])
+    placed = read.where("level = 5 and block is not null and par is not null and line is not null and left is not null and top is not null and width is not null and height is not null")
+    return placed.select("doc_id", "page", "pos", "text", "block", "par", "line", "left", "top", (F.col("left") + F.col("width")).alias("right"), (F.col("top") + F.col("height")).alias("bottom"), "height")
 
 
 def lines_of(words: DataFrame) -> DataFrame:
-    """One row per line: doc_id, page, row (place of its first word), block, par, line, words by left edge, text and box; and the text as
-    labels are looked for in it: stripped (plain), in one script (folded), and both in small letters."""
-    word = F.struct("left", "pos", "text", "top", (F.col("left") + F.col("width")).alias("right"), (F.col("top") + F.col("height")).alias("bottom"), "height", "clean", "token", "numeric", "year")
-    grouped = typed(words).groupBy("doc_id", "page", "block", "par", "line").agg(F.min("pos").alias("row"), F.array_sort(F.collect_list(word)).alias("found"))
-    made = F.transform("found", lambda w: F.struct(w["pos"].alias("id"), F.col("row").alias("row"), *[w[c].alias(c) for c in ("text", "left", "top", "right", "bottom", "height", "clean", "token", "numeric", "year")]))
-    lines = grouped.withColumn("words", made).drop("found")
-    lines = lines.select("*", F.array_join(F.transform("words", lambda w: w["text"]), " ").alias("text"), *box(F.col("words")))
-    plain = lines.withColumn("plain", strip(F.col("text"))).withColumn("folded", fold(F.col("plain")))
-    return plain.withColumns({"low": F.lower("plain"), "low_folded": F.lower("folded")})
-
-
-def pages_of(words: DataFrame) -> DataFrame:
-    """One row per page with words: doc_id, page, lines (in order of first appearance)."""
-    line = F.struct("row", "block", "par", "line", "words", "text", "left", "top", "right", "bottom", "plain", "folded", "low", "low_folded")
-    lines = lines_of(words.repartition("doc_id"))
-    return lines.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(line)).alias("lines"))
-
-
-def words_in(lines: Column) -> Column:
-    return F.flatten(F.transform(lines, lambda line: line["words"]))
-
-
-def overlaps(a: Column, b: Column) -> Column:
-    """Whether two spans (left, right) overlap, with a slack of the wider one's width between 12 and 60."""
-    wide = F.greatest(a["right"] - a["left"], b["right"] - b["left"], F.lit(1))
-    slack = F.greatest(F.lit(SLACK_LEAST), F.least(wide, F.lit(SLACK_MOST)))
-    return (a["right"] >= b["left"] - slack) & (b["right"] >= a["left"] - slack)
-
+    """One row per line: doc_id, page, block, par, line, row (place of its first word), text (words by left edge) and box."""
+    word = F.struct("left", "pos", "text")
+    box = [F.min("left").alias("left"), F.min("top").alias("top"), F.max("right").alias("right"), F.max("bottom").alias("bottom")]
+    grouped = typed(words).groupBy("doc_id", "page", "block", "par", "line").agg(F.min("pos").alias("row"), F.array_sort(F.collect_list(word)).alias("words"), *box)
+    return grouped.withColumn("text", F.array_join("words.text", " ")).drop("words")
 
-def band_slots(words: Column) -> Column:
-    """For each word the number of its vertical band: the first band whose grown span it overlaps, or a new one."""
-    start = F.struct(F.array().cast("array<struct<left:int,right:int>>").alias("bands"), F.array().cast("array<int>").alias("slots"))
 
-    def put(acc: Column, w: Column) -> Column:
-        at = F.array_position(F.transform(acc["bands"], lambda b: overlaps(w, b)), True).cast("int")
-        grown = F.transform(acc["bands"], lambda b, i: F.when(i + 1 == at, F.struct(F.least(b["left"], w["left"]).alias("left"), F.greatest(b["right"], w["right"]).alias("right"))).otherwise(b))
-        fresh = F.concat(acc["bands"], F.array(F.struct(w["left"].alias("left"), w["right"].alias("right"))))
-        slot = F.when(at > 0, at).otherwise(F.size(acc["bands"]) + 1)
-        return F.struct(F.when(at > 0, grown).otherwise(fresh).alias("bands"), F.concat(acc["slots"], F.array(slot)).alias("slots"))
+def bands_of(words: DataFrame) -> DataFrame:
+    """One row per page with words: doc_id, page and its vertical bands, by left edge, each with box and text."""
 
-    return F.aggregate(words, start, put, lambda acc: acc["slots"])
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lot in lots(batches):
+            bands = bands_of_pages(lot, np.ones(len(lot.doc_ids), dtype=bool))
+            edges = ("left", "top", "right", "bottom")
+            told = [[dict(zip(edges, b.box, strict=True)) | {"text": b.text} for b in bands[n]] for n in range(len(lot.doc_ids))]
+            kind = pa.list_(pa.struct([(k, pa.int32()) for k in edges] + [("text", pa.string())]))
+            yield pa.RecordBatch.from_arrays([pa.array(lot.doc_ids, pa.string()), pa.array(lot.page_numbers, pa.int32()), pa.array(told, kind)], ["doc_id", "page", "bands"])
 
-
-def band_text(words: Column) -> Column:
-    """Words of a band joined by line: lines by top and left, words by left."""
-    rows = F.array_distinct(F.transform(words, lambda w: w["row"]))
-
-    def line(row: Column) -> Column:
-        own = F.array_sort(F.transform(F.filter(words, lambda w: w["row"] == row), lambda w: F.struct(w["left"], w["id"], w["top"], w["text"])))
-        text = F.array_join(F.transform(own, lambda w: w["text"]), " ")
-        return F.struct(F.array_min(F.transform(own, lambda w: w["top"])).alias("top"), F.array_min(F.transform(own, lambda w: w["left"])).alias("left"), row.alias("row"), text.alias("text"))
-
-    return F.array_join(F.transform(F.array_sort(F.transform(rows, line)), lambda r: r["text"]), "\n")
-
-
-def bands_of(pages: DataFrame) -> DataFrame:
-    """Pages with `bands`, by left edge: box, text, text in one script, the rows of its
-    lines, and of its words with a token, by top and left, the tokens (names) and boxes (spans)."""
-
-    def band(marked: Column, slot: Column) -> Column:
-        return bind(F.array_sort(F.filter(marked, lambda m: m["slot"] == slot)), lambda held: made(F.transform(held, lambda m: m["word"]), slot))
-
-    def made(own: Column, slot: Column) -> Column:
-        tokens = F.filter(own, lambda w: w["token"] != "")
-        spans = F.transform(tokens, lambda w: F.struct(*[w[c].alias(c) for c in ("left", "top", "right", "bottom")]))
-        left, *rest = box(own)
-        band_ = lambda text: F.struct(left, slot.alias("slot"), *rest, text.alias("text"), fold(text).alias("folded"), F.array_distinct(each(own, "row")).alias("rows"), each(tokens, "token").alias("names"), spans.alias("spans"))
-        return bind(strip(band_text(own)), band_)
-
-    def marked(words: Column, slots: Column) -> Column:
-        return F.zip_with(words, slots, lambda w, s: F.struct(s.alias("slot"), w["top"].alias("top"), w["left"].alias("left"), w["row"].alias("row"), w["id"].alias("id"), w.alias("word")))
-
-    def all_bands(words: Column) -> Column:
-        both = bind(band_slots(words), lambda slots: F.struct(F.array_distinct(slots).alias("slots"), marked(words, slots).alias("marked")))
-        return bind(both, lambda b: F.array_sort(F.transform(b["slots"], lambda slot: band(b["marked"], slot))))
-
-    return pages.withColumn("bands", bind(words_in(F.col("lines")), all_bands))
+    return typed(words).repartition("doc_id").sortWithinPartitions("doc_id", "page", "pos").mapInArrow(read, BANDS)
 
 
 def first_lines(pages: DataFrame, n: int = 5) -> DataFrame:
@@ -125,5 +55,3 @@ def first_lines(pages: DataFrame, n: int = 5) -> DataFrame:
 def limited(pages: DataFrame, pages_most: int = 30) -> DataFrame:
     """Pages up to the limit; the filter reaches the scan of a word or page table."""
     return pages.where(F.col("page") <= pages_most)
-
-

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.messages import MESSAGES, told as message
 from ..functions.text import has_text
 from ..schemas import RESULTS
 from .extract import success
@@ -42,8 +43,8 @@ def field_rows(roster: DataFrame, latest: DataFrame, results: DataFrame, overwri
     needed = F.array_compact(F.array(*[F.when(F.lit(overwrite) | ~F.coalesce(has_value(F.col(k)), F.lit(False)), F.struct(F.lit(i).alias("ord"), F.lit(k).alias("field"), F.lit(FORM_OF[k]).alias("form_type"))) for i, k in enumerate(RESULTS)]))
     rows = roster.where("mb <> ''").select("row_index", "mb", roster_key(F.col("mb")).alias("mb_key"), F.explode(needed).alias("n")).select("row_index", "mb", "mb_key", "n.*")
     found = rows.join(latest.select("mb_key", "form_type", "doc_id"), ["mb_key", "form_type"], "left").join(results.select("doc_id", "field", "result"), ["doc_id", "field"], "left")
-    absent = F.array(F.concat(F.lit("No "), F.upper("form_type"), F.lit(" PDF found for MB "), F.col("mb")))
-    unread = F.array(F.concat(F.lit("OCR failed for "), F.col("doc_id")))
+    absent = F.array(message("no_document", F.upper("form_type"), F.col("mb")))
+    unread = F.array(message("ocr_failed", F.col("doc_id")))
     notes = F.when(F.col("doc_id").isNull(), absent).when(F.col("result").isNull(), unread).otherwise(notes_of(F.col("result")))
     value = F.when(F.coalesce(success(F.col("result")), F.lit(False)), F.col("result.value"))
     # Both fields of a form share the note that its document is missing.
@@ -75,7 +76,7 @@ def per_row(roster: DataFrame, fields: DataFrame, index_notes: DataFrame | None
         F.coalesce("missing_bu", F.lit(False)).alias("missing_bu"),
         F.coalesce("missing_bs", F.lit(False)).alias("missing_bs"),
         F.coalesce("missing_fields", none).alias("missing_fields"),
-        F.when(blank, F.array(F.lit("Excel row is missing Матични број"))).otherwise(F.concat(F.coalesce("index_notes", none), F.coalesce("field_notes", none))).alias("notes"),
+        F.when(blank, F.array(F.lit(MESSAGES["no_id"]))).otherwise(F.concat(F.coalesce("index_notes", none), F.coalesce("field_notes", none))).alias("notes"),
     )
 
 
@@ -117,9 +118,9 @@ def write_report(report: DataFrame, path: str) -> None:
 
 def summary(counted: dict) -> str:
     """What a run did, from its counters, as two lines of text."""
-    told = "Processed {rows_total} rows ({rows_with_mb} with Матични број). Updated {rows_with_updates} rows, wrote {values_written} values (skipped {values_skipped} existing).".format(**counted)
+    told = MESSAGES["summary"].format(**counted)
     missing = ", ".join(f"{k}:{counted[f'missing_{k}']}" for k in RESULTS if counted[f"missing_{k}"])
-    return told + (f"\nMissing fields: {missing}" if missing else "")
+    return told + ("\n" + MESSAGES["missing_fields"].format(missing) if missing else "")
 
 
 def counters(rows: DataFrame) -> DataFrame:

@@ -104,7 +104,7 @@ def numeric_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def column_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, words = _statement(spark, sf_dir)
-    banded = pages.bands_of(pages.pages_of(words)).select("doc_id", F.posexplode("bands").alias("band", "b"))
+    banded = pages.bands_of(words).select("doc_id", F.posexplode("bands").alias("band", "b"))
     return banded.select(F.col("doc_id").cast("long").alias("key"), F.col("band").cast("long").alias("band"), F.col("b.left").cast("long").alias("left"), F.col("b.right").cast("long").alias("right"), F.col("b.text").alias("text"))
 
 
@@ -125,7 +125,7 @@ def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _field(docs: DataFrame, words: DataFrame, *fields: str) -> DataFrame:
     paged = st.pages_text(words)
-    return extract.read_fields(extract.page_features(words, paged, st.AS_OF), docs.select("doc_id"), paged, [FIELDS[f] for f in fields])
+    return extract.read_fields(extract.page_words(words, paged, st.AS_OF), docs.select("doc_id"), paged, [FIELDS[f] for f in fields])
 
 
 def _told(results: DataFrame, name: str = "value") -> DataFrame:

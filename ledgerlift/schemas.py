@@ -6,9 +6,6 @@ DOCUMENTS = "doc_id string, path string, text string, average_confidence double,
 ROSTER = "row_index int, raw_value string, mb string, revenue bigint, assets bigint, capital_loss bigint"
 ATTEMPTS = "doc_id string, attempt int, dpi int, confidence double"
 
-#: A word inside a page's arrays. `id` is its place in the page, `row` the place of its line's first word; what is told from its text
-#: alone is told once: stripped, as a token, whether it looks like a number, and the four digits that stand alone in it.
-WORD = "struct<id:int,row:int,text:string,left:int,top:int,right:int,bottom:int,height:int,clean:string,token:string,numeric:boolean,year:string>"
 BOX = "struct<left:int,top:int,right:int,bottom:int>"
 #: A year or row-code column: page, label, box and text of the header.
 COLUMN = "struct<page:int,label:string,left:int,top:int,right:int,bottom:int,text:string>"

@@ -88,8 +88,8 @@ def test_regions_periods_words_and_text(spark):
 
 def test_bands(spark):
     layout = [[(10, "100:а 300:б"), (40, "104:в 310:г"), (70, "600:д")]]
-    found = pages.bands_of(pages.pages_of(spark.createDataFrame(words_of("d", layout), WORDS))).first().bands
-    assert [(b.left, b.right, b.text, b.names) for b in found] == [(100, 156, "а\nв", ["а", "в"]), (300, 362, "б\nг", ["б", "г"]), (600, 652, "д", ["д"])]
+    found = pages.bands_of(spark.createDataFrame(words_of("d", layout), WORDS)).first().bands
+    assert [(b.left, b.right, b.text) for b in found] == [(100, 156, "а\nв"), (300, 362, "б\nг"), (600, 652, "д")]
 
 
 def sheet_files(path) -> str:
@@ -193,6 +193,6 @@ def test_words_stream_in(spark, tmp_path):
     _, _, words = statements(spark)
     words.repartition(3, "doc_id").write.parquet(str(tmp_path / "in"))
     seen = []
-    query = ingest.process(ingest.stream_words(spark, str(tmp_path / "in"), 1), lambda df, n: seen.extend((n, r.doc_id) for r in pages.pages_of(df).collect()), str(tmp_path / "check"))
+    query = ingest.process(ingest.stream_words(spark, str(tmp_path / "in"), 1), lambda df, n: seen.extend((n, r.doc_id) for r in pages.bands_of(df).collect()), str(tmp_path / "check"))
     query.awaitTermination(120)
     assert sorted(d for _, d in seen) == ["bs", "lead", "new", "old"] and len({n for n, _ in seen}) > 1

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlift.functions.vocabulary import FIELDS, Field
-from ledgerlift.operators.extract import extract, page_features, read_fields
+from ledgerlift.operators.extract import extract, page_features, page_words, read_fields
 from ledgerlift.schemas import WORDS
 
 NOW, BEFORE = "610:текуће 672:године", "820:претходне 882:године"
@@ -73,7 +73,7 @@ def results(spark):
     words = spark.createDataFrame([r for name, (pages, v) in every.items() for r in words_of(name, pages, *v)], WORDS)
     pages = words.groupBy("doc_id", "page").agg(F.array_join(F.collect_list("text"), "\n").alias("text"), F.lit(None).cast("double").alias("confidence"))
     docs = spark.createDataFrame([(n,) for n in every], "doc_id string")
-    others = read_fields(page_features(words, pages, 2024), docs, pages, [FIELDS["loss_row"], Field("unknown", "bu", "nowhere")])
+    others = read_fields(page_words(words, pages, 2024), docs, pages, [FIELDS["loss_row"], Field("unknown", "bu", "nowhere")])
     return {(r.doc_id, r.field): r.result for r in extract(words, pages, docs, 2024).unionByName(others).collect()}
 
 
