@@ -239,14 +239,27 @@ def shared_tokens(given: DataFrame) -> DataFrame:
         if size:
             yield out()
 
+    joined = lambda rows, name, kind: np.frombuffer(b"".join(rows.column(name).to_pylist()), dtype=kind)
+
     def meet(key: tuple, rows: pa.Table) -> pa.Table:
-        joined = lambda name, kind: np.frombuffer(b"".join(rows.column(name).to_pylist()), dtype=kind)
         # A class that a lot found to share a token has its hit there already: told rows hit no class again.
-        _, _, _, (c, hits) = compare(joined("t", np.uint64), joined("c", np.int64), joined("told", bool))
-        return pa.table({"c": np.concatenate([c, joined("own", np.int64)]), "hits": np.concatenate([hits, joined("n", np.int64)])})
+        _, _, _, (c, hits) = compare(joined(rows, "t", np.uint64), joined(rows, "c", np.int64), joined(rows, "told", bool))
+        c, hits = np.concatenate([c, joined(rows, "own", np.int64)]), np.concatenate([hits, joined(rows, "n", np.int64)])
+        order = np.argsort(c)
+        c, hits = c[order], hits[order]
+        # The hits of a class come from many parts: they go on packed, by ranges of classes.
+        range_ = c >> np.int64(64 - bits) if bits else np.zeros(len(c), dtype=np.int64)
+        starts = np.flatnonzero(np.diff(range_, prepend=-(1 << 62)))
+        held = [(int(range_[s]), c[s:e].tobytes(), hits[s:e].tobytes()) for s, e in zip(starts, [*starts[1:], len(c)], strict=True)]
+        return pa.table({"range": pa.array([r[0] for r in held], pa.int64()), "c": pa.array([r[1] for r in held], pa.binary()), "hits": pa.array([r[2] for r in held], pa.binary())})
+
+    def total(key: tuple, rows: pa.Table) -> pa.Table:
+        c, at = np.unique(joined(rows, "c", np.int64), return_inverse=True)
+        return pa.table({"c": c, "hits": np.bincount(at, weights=joined(rows, "hits", np.int64), minlength=len(c)).astype(np.int64)})
 
     packed = given.mapInArrow(lots, "part int, t binary, c binary, told binary, own binary, n binary")
-    return packed.groupBy("part").applyInArrow(meet, "c long, hits long").groupBy("c").agg(F.sum("hits").alias("hits"))
+    met = packed.groupBy("part").applyInArrow(meet, "range long, c binary, hits binary")
+    return met.groupBy("range").applyInArrow(total, "c long, hits long")
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
