@@ -12,8 +12,8 @@ spread, where nothing but the bar prunes, it is after about three quarters.
 
 Defined results: vectors that are null or hold null or non-finite components, rows of null vec_id, and vectors with a
 component that does not fit a long after scaling take no part; vectors are compared with those of equal length only;
-repeated rows are candidates of their own; of several query rows of one vec_id the least vector asks, and no row of
-that vec_id answers; scores beyond a long are set to its ends.
+repeated rows are candidates of their own; of several valid query rows of one vec_id the least vector asks, and no row
+of that vec_id answers; scores beyond a long are set to its ends.
 """
 
 from __future__ import annotations
@@ -144,7 +144,9 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
                 found, _ = aggregate(q, qid, x, xid, k, bars.setdefault(qids + bytes([d & 255]), np.full(len(qid), -np.inf)))
                 yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
 
-    asked = vectors.where((F.col("vec_id") % every == 0) & F.col("embedding").isNotNull()).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    # Invalid vectors are dropped before one vector is chosen for each vec_id, so that a valid row asks whatever rows repeat its id.
+    fits = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(F.floor(x.cast("double") * SCALE).cast("double")) < 2.0**63) & (F.abs(x.cast("double")) * SCALE < 2.0**64))
+    asked = vectors.where((F.col("vec_id") % every == 0) & F.col("embedding").isNotNull() & fits).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     count = asked.count()
     blocks = max(1, -(-count // QUERY_BLOCK))
     asked = asked.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
