@@ -4,7 +4,7 @@
    documents that hold it: the IDF covers the whole training corpus.
 2. The classifier is fitted on a bounded sample: PER_LANGUAGE documents of each of the LANGUAGES most frequent
    languages, chosen by a hash of doc_id; whole texts are read, where they lie, and only their n-gram counts (at most
-   SIZE slots of 4 bytes a document) meet in the one task that fits. Training is follow-the-regularised-leader with
+   SLOTS of 6 bytes, shared evenly among the languages) meet in the one task that fits. Training is follow-the-regularised-leader with
    per-coordinate rates and elastic-net penalties (L1 leaves most weights exactly 0), on softmax gradients.
 3. A fifth of the sample is held back from fitting and sets the temperature that minimises its log loss.
 4. All documents are scored in one pass: a feature's value is its relative frequency times its IDF, so a text's scores
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +35,15 @@ ORDERS = 3
 #: Bounds of the sample that the classifier is fitted on.
 LANGUAGES = 200
 PER_LANGUAGE = 400
+#: Most n-gram slots of all sample documents together: 600 MB in the task that fits. Beyond, a language's last documents are left out.
+SLOTS = 100_000_000
 EPOCHS = 4
 #: Follow-the-regularised-leader: rate, its offset, and the elastic net's two penalties.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2e-4, 1e-4
 SCALE = 40.0
 UNKNOWN = "und"
-#: Characters that are hashed at once.
-CHUNK = 2_000_000
+#: Cells of the weight table that are gathered at once: 32 MB.
+CELLS = 8_000_000
 
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -125,8 +127,8 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights [SIZE + 1, classes] (the last row is the bias) fitted to sparse rows of (slots, values)."""
+def ftrl(row: Callable[[int], tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int, epochs: int = EPOCHS) -> np.ndarray:
+    """Weights [SIZE + 1, classes] (the last row is the bias) fitted to sparse rows, each a function's (slots, values) of its number."""
     z, n = np.zeros((SIZE + 1, classes)), np.zeros((SIZE + 1, classes))
 
     def weights(at: np.ndarray) -> np.ndarray:
@@ -135,8 +137,8 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int,
 
     order = np.random.default_rng(0)
     for _ in range(epochs):
-        for i in order.permutation(len(rows)):
-            at, x = rows[i]
+        for i in order.permutation(len(y)):
+            at, x = row(i)
             w = weights(at)
             p = softmax(x @ w)
             p[y[i]] -= 1
@@ -168,11 +170,11 @@ class Model:
     def scores(self, text: str) -> np.ndarray:
         """Calibrated probabilities of the languages, of a text with a letter."""
         total, count = np.zeros(len(self.languages)), 0
-        codes = codes_of(text)
-        for start in range(0, max(1, len(codes) - ORDERS + 1), CHUNK):
-            piece = codes[start : start + CHUNK + ORDERS - 1]
+        codes, chunk = codes_of(text), max(1, CELLS // len(self.languages))
+        for start in range(0, max(1, len(codes) - ORDERS + 1), chunk):
+            piece = codes[start : start + chunk + ORDERS - 1]
             for slots in ngram_slots(piece):
-                own = slots[:CHUNK] if start + CHUNK < len(codes) - ORDERS + 1 else slots
+                own = slots[:chunk] if start + chunk < len(codes) - ORDERS + 1 else slots
                 total += self.table[own].sum(axis=0, dtype=np.float64)
                 count += len(own)
         return softmax(SCALE * total / max(count, 1) + self.bias)
@@ -185,17 +187,34 @@ class Model:
         return self.languages[int(p.argmax())], float(p.max())
 
 
+def within(rows: Iterator[tuple[str, int, bytes, bytes]], languages: int) -> list[tuple[str, int, bytes, bytes]]:
+    """The rows (lang, h, slots, counts), but of each language no more than its share of SLOTS."""
+    held: dict[str, int] = {}
+    out = []
+    for row in rows:
+        size = held.get(row[0], 0) + len(row[2]) // 2
+        if size <= SLOTS // max(languages, 1) or row[0] not in held:
+            held[row[0]] = size
+            out.append(row)
+    return out
+
+
 def fitted(rows: list[tuple[str, int, bytes, bytes]], idf: np.ndarray) -> Model:
-    """The model of sample rows (lang, h, slots, counts); a fifth of them, by h, sets the temperature."""
+    """The model of sample rows (lang, h, slots, counts); a fifth of them, by h, sets the temperature.
+
+    Rows stay packed; each is turned to slots and values when its turn comes."""
+
+    def feature(i: int) -> tuple[np.ndarray, np.ndarray]:
+        at, n = np.frombuffer(rows[i][2], np.uint16).astype(np.int64), np.frombuffer(rows[i][3], np.uint32)
+        return np.append(at, SIZE), np.append(SCALE * idf[at] * n / n.sum(), 1.0)
+
     languages = sorted({r[0] for r in rows})
-    y, held, features = np.array([languages.index(r[0]) for r in rows]), np.array([r[1] % 5 == 0 for r in rows]), []
-    for _, _, slots, counts in rows:
-        at, n = np.frombuffer(slots, np.uint16).astype(np.int64), np.frombuffer(counts, np.uint32)
-        features.append((np.append(at, SIZE), np.append(SCALE * idf[at] * n / n.sum(), 1.0)))
+    y, held = np.array([languages.index(r[0]) for r in rows]), np.array([r[1] % 5 == 0 for r in rows])
     if held.all():
         held[:] = False
-    weights = ftrl([f for f, h in zip(features, held, strict=True) if not h], y[~held], len(languages))
-    logits = np.array([x @ weights[at] for (at, x), h in zip(features, held, strict=True) if h]).reshape(-1, len(languages))
+    used = np.flatnonzero(~held)
+    weights = ftrl(lambda i: feature(used[i]), y[~held], len(languages))
+    logits = np.array([x @ weights[at] for at, x in map(feature, np.flatnonzero(held))]).reshape(-1, len(languages))
     t = temperature(logits, y[held])
     return Model(languages, idf[:, None] * weights[:SIZE] / t, weights[SIZE] / t)
 
@@ -208,10 +227,11 @@ def fit(training: DataFrame) -> Model:
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = ("lang", "h", "slots", "counts")
-        own = [r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in columns), strict=True)]
+        own = within((r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in columns), strict=True)), languages)
         if own:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fitted(own, idf))], pa.binary())], ["model"])
 
+    languages = training.select("lang").distinct().limit(LANGUAGES).count()
     found = sample(training).repartition(1).sortWithinPartitions("h", "lang", "doc_id").mapInArrow(once, "model binary").collect()
     return pickle.loads(found[0]["model"]) if found else Model([], np.zeros((SIZE, 0)), np.zeros(0))
 
