@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlift.llm import bpe, exact_dedup, lang_id, minhash, mixing
-from ledgerlift.llm.common import stored
+from ledgerlift.llm.common import discard, stored
 
 #: Least score of a document's language; texts without a letter have none and go too.
 LEAST_SCORE = 0.5
@@ -58,7 +58,9 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(*held)  # nothing reads the stage before any more
+        held = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,7 +3,7 @@
 Each source gets a target of words: its weight's share of the budget, capped at `most` times its size, the excess
 shared again by weight among the others (water-filling, in closed form over the sorted caps). A source takes all
 its documents floor(target / size) times; what is then missing is filled by Efraimidis-Spirakis sampling without
-replacement: a document of quality weight w has the key u ** (1 / w), u uniform by a hash of its doc_id, and the
+replacement: a document of quality weight w has the key u ** (1 / w), u uniform by a hash of doc_id and text, and the
 largest keys are taken until their words reach the rest of the target.
 
 The order is never sorted as a whole. Keys fall into ranges by -log(key), which is exponential with the rate of the
@@ -12,8 +12,9 @@ quality weight: no range holds a larger part than weight / BUCKETS of the docume
 are taken whole, and only the rows of that one range (at most 1 / 2048 of a source) are sorted.
 
 Defined results: a null text has no words and takes none; null is a source of its own, ranked last; a null or
-unlabelled doc_id has quality weight 1; repeated rows count as documents of their own with equal keys; if no source
-has words, all targets are 0; an empty table gives no rows. Only doc_id, text and source are read.
+unlabelled doc_id has quality weight 1; repeated rows count as documents of their own, with equal keys if their texts
+are equal too (then they are not split over ranges); if no source has words, all targets are 0; an empty table gives no
+rows. Only doc_id, text and source are read. Sources are few: their targets are worked out over all of them in one task, a row each.
 """
 
 from __future__ import annotations
@@ -52,12 +53,13 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
 
 
 def features(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, source, size and the key range of every document; stored, as it is read several times."""
+    """doc_id, source, size and key of every document, and its `row` if it has one; stored, as it is read several times."""
     quality = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("_quality"))
     weight = F.when(F.col("_quality") > 0, GOOD).when(F.col("_quality") <= 0, BAD).otherwise(PLAIN)
-    key = F.pow(unit(F.col("doc_id"), seed=SEED), 1.0 / weight)
-    narrow = docs.select("doc_id", "source", word_count(text_of("text")).alias("size"))
-    return stored(narrow.join(quality, "doc_id", "left").select("doc_id", "source", "size", key.alias("key")), "mix")
+    key = F.pow(F.col("u"), 1.0 / weight)
+    row = ["row"] if "row" in docs.columns else []
+    narrow = docs.select(*row, "doc_id", "source", word_count(text_of("text")).alias("size"), unit(F.col("doc_id"), F.col("text"), seed=SEED).alias("u"))
+    return stored(narrow.join(quality, "doc_id", "left").select(*row, "doc_id", "source", "size", key.alias("key")), "mix")
 
 
 def range_of(key: Column) -> Column:
@@ -69,6 +71,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: tuple = WEIGHTS, share: flo
 
     With `split`, the document at which a source reaches its target gives only the words still missing; without, it is
     taken whole if that brings the source nearer to its target, and else not."""
+    row = ["row"] if "row" in docs.columns else []
     docs = features(docs, labels)
     per_source = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(per_source, weights, share, most).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -86,14 +89,14 @@ def mix(docs: DataFrame, labels: DataFrame, weights: tuple = WEIGHTS, share: flo
     # Without an edge the rest takes the whole source, or nothing.
     edge_at = F.coalesce(F.col("edge"), F.when((F.col("rest") > 0), F.lit((1 << 31) - 1)).otherwise(F.lit(-1)))
     clear = known.where(F.col("range") != edge_at).withColumn("extra", F.when(F.col("range") < edge_at, F.col("size")).otherwise(F.lit(0)))
-    sorted_ = Window.partitionBy("source").orderBy(F.col("key").desc(), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    sorted_ = Window.partitionBy("source").orderBy(F.col("key").desc(), "doc_id", "size", *row).rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("rest") - F.col("start") - F.coalesce(F.sum("size").over(sorted_), F.lit(0))
     last = F.least(F.col("size"), F.greatest(left, F.lit(0)))
     if not split:
         last = F.when((left > 0) & (left * 2 >= F.col("size")), F.col("size")).otherwise(F.lit(0))
     at_edge = known.where(F.col("range") == edge_at).withColumn("extra", last)
     return clear.unionByName(at_edge).select(
-        "doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("extra")).cast("long").alias("taken"), "source", "epochs"
+        *row, "doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("extra")).cast("long").alias("taken"), "source", "epochs"
     )
 
 
@@ -101,11 +104,8 @@ def mixed(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents of the mix: each as many times as the mix takes it whole, with the columns of docs.
 
     A document without words changes no budget; it stays once."""
-    plan = mix(docs.select("doc_id", "text", "source"), labels, split=False, **options)
+    given = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("given")), "mix-docs")
+    plan = mix(given.select("row", "given.doc_id", "given.text", "given.source"), labels, split=False, **options)
     times = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(1)
-    # Rows of one doc_id and size may be repeated; the most that any of them is taken holds for each.
-    plan = plan.groupBy("doc_id", "size", "source").agg(F.max(times).alias("times")).where("times > 0")
-    sized = docs.select(F.struct("*").alias("given"), word_count(text_of("text")).alias("words"))
-    same = F.col("given.doc_id").eqNullSafe(plan["doc_id"]) & (sized["words"] == plan["size"]) & F.col("given.source").eqNullSafe(plan["source"])
-    found = sized.join(plan, same).select("given", F.explode(F.sequence(F.lit(1), "times")).alias("copy"))
-    return found.select("given.*")
+    plan = plan.select("row", times.alias("times")).where("times > 0")
+    return given.join(plan, "row").select("given", F.explode(F.sequence(F.lit(1), "times")).alias("copy")).select("given.*")

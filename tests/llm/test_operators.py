@@ -369,7 +369,7 @@ def test_language_id(spark, docs, none):
 def test_ftrl_step_against_plain_arithmetic():
     """One document, one epoch from nothing: the gradient is that of even chances, and the weights follow from it alone."""
     x, y = np.array([0.5, 2.0, 1.0]), 1
-    got = lang_id.ftrl([(np.array([7, 9, lang_id.SIZE]), x)], np.array([y]), 3, epochs=1)
+    got = lang_id.ftrl(lambda i: (np.array([7, 9, lang_id.SIZE]), x), np.array([y]), 3, epochs=1)
     for slot, value in zip((7, 9, lang_id.SIZE), x, strict=True):
         for c in range(3):
             g = value * (1 / 3 - (c == y))
