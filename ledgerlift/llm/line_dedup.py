@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from ..functions.text import bind
 from .common import discard, stored
 from .minhash import linked, meeting, reachable
-from .shingles import bytes_of, hash_spans, lists, mix, portions, rolled, rolled_short, spans
+from .shingles import bytes_of, hash_spans, lists, mix, portions, rolled, rolled_short, runs, spans
 
 WIDTH, PERCENT = 5, 80
 #: A token is the upper 52 bits of a shingle's hash, so that a line's number fits beside it in 64.
@@ -223,8 +223,7 @@ def shared_tokens(given: DataFrame) -> DataFrame:
             t, c = (np.concatenate(x) for x in zip(*held, strict=True))
             t, c, both, (own, n) = compare(t, c, np.zeros(len(t), dtype=bool))
             part = (t >> np.uint64(TOKEN_BITS - bits)).astype(np.int64)
-            starts = np.flatnonzero(np.diff(part, prepend=-1))
-            rows = [(int(part[s]), t[s:e], c[s:e], both[s:e], own[:0], n[:0]) for s, e in zip(starts, [*starts[1:], len(t)], strict=True)]
+            rows = [(int(part[s]), t[s:e], c[s:e], both[s:e], own[:0], n[:0]) for s, e in runs(part)]
             rows.append((int(own[0] & ((1 << bits) - 1)) if len(own) else 0, t[:0], c[:0], both[:0], own, n))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k].tobytes() for r in rows], pa.binary()) for k in range(1, 6))], ["part", "t", "c", "told", "own", "n"])
 
@@ -249,8 +248,7 @@ def shared_tokens(given: DataFrame) -> DataFrame:
         c, hits = c[order], hits[order]
         # The hits of a class come from many parts: they go on packed, by ranges of classes.
         range_ = c >> np.int64(64 - bits) if bits else np.zeros(len(c), dtype=np.int64)
-        starts = np.flatnonzero(np.diff(range_, prepend=-(1 << 62)))
-        held = [(int(range_[s]), c[s:e].tobytes(), hits[s:e].tobytes()) for s, e in zip(starts, [*starts[1:], len(c)], strict=True)]
+        held = [(int(range_[s]), c[s:e].tobytes(), hits[s:e].tobytes()) for s, e in runs(range_)]
         return pa.table({"range": pa.array([r[0] for r in held], pa.int64()), "c": pa.array([r[1] for r in held], pa.binary()), "hits": pa.array([r[2] for r in held], pa.binary())})
 
     def total(key: tuple, rows: pa.Table) -> pa.Table:

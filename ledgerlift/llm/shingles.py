@@ -120,6 +120,12 @@ def lists(rows: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
+def runs(x: np.ndarray) -> list[tuple[int, int]]:
+    """Start and end of each run of equal numbers; none of an empty array."""
+    starts = np.flatnonzero(x[1:] != x[:-1]) + 1
+    return list(zip([0, *starts.tolist()], [*starts.tolist(), len(x)], strict=True)) if len(x) else []
+
+
 def portions(batch: pa.RecordBatch, text: int, size: int = PORTION) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in slices whose texts (column `text`) have about `size` bytes together; a longer text is one slice, an empty batch none."""
     if not batch.num_rows:

@@ -156,6 +156,16 @@ def test_random_lines(spark):
     assert {r.doc_id: r.removed for r in got} == plain_removed(given)
 
 
+def test_parts_of_tokens_that_no_two_lines_share(spark, monkeypatch):
+    """Tokens dealt to very many parts, most of them without a hit."""
+    monkeypatch.setattr(line_dedup, "COMPARED", 8)
+    given = [(i, "\n".join([f"a{i} b{i} c{i} d{i} e{i} f{i}", "one line that two of the documents have in common"])) for i in range(60)]
+    got = line_dedup.decide(spark.createDataFrame(given, DOCS).repartition(3)).collect()
+    assert {r.doc_id: r.removed for r in got} == plain_removed(given)
+    alone = [(i, f"a{i} b{i} c{i} d{i} e{i} f{i}") for i in range(60)]
+    assert line_dedup.decide(spark.createDataFrame(alone, DOCS)).where("size(removed) > 0").count() == 0
+
+
 def test_log_like_lines_take_time_in_proportion(spark):
     """Lines of 14 words that differ in the first two are linked with nothing, and are not compared pair by pair."""
 
