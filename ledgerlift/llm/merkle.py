@@ -6,7 +6,7 @@ is the hash of up to ARITY consecutive children, so all numbers of children are
 1. Leaves are sorted by ranges and numbered by the ranges' prefix counts.
 2. Sparse forests are summed up. A forest holds unresolved nodes by tree, level and index; the sum of two forests is their
    union, in which every run of siblings that has become complete is replaced by its parent. The sum is associative, so
-   each task first sums up lots of its leaves, and tasks' forests (a few nodes on either edge of their range) are summed by a
+   each task first sums up its leaves, batch by batch, and tasks' forests (a few nodes on either edge of their range) are summed by a
    reduction in rounds of FAN forests, until only roots are left.
    Nodes from level BLOCK on, one in ARITY ** BLOCK, are written on the way.
 3. Proofs: the way from a node of level BLOCK to the root is joined run by run from the written nodes; the rest of a leaf's
@@ -21,19 +21,19 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, stored
+from .shingles import runs
 
 BITS = 3
 ARITY = 1 << BITS
 #: Level from which nodes are written: blocks of 4096 leaves.
 BLOCK = 4
-#: Forests that are summed up in one task, and leaves that a task sums up at a time.
-FAN, LOT = 16, 65_536
+#: Forests that are summed up in one task.
+FAN = 16
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 Node = tuple[str, int, int]
@@ -121,12 +121,11 @@ def resolved(leaves: DataFrame, least: int) -> DataFrame:
         forest, part = Forest(least), -1
         for batch in batches:
             parts = batch.column(4).to_numpy()
-            starts = np.flatnonzero(np.diff(parts, prepend=-1) | (np.arange(len(parts)) % LOT == 0))
-            for start, end in zip(starts, [*starts[1:], len(parts)], strict=True):
+            for start, end in runs(parts):
                 if parts[start] != part:
                     yield pa.RecordBatch.from_arrays(columns_of(forest.resolved() + forest.open(), part), NAMES)
                     forest, part = Forest(least), int(parts[start])
-                tree, index, count, digest = (batch.slice(int(start), int(end - start)).column(c).to_pylist() for c in range(4))
+                tree, index, count, digest = (batch.slice(start, end - start).column(c).to_pylist() for c in range(4))
                 forest.add(zip(tree, [0] * len(tree), index, digest, count, strict=True))
                 yield pa.RecordBatch.from_arrays(columns_of(forest.resolved(), part), NAMES)
         yield pa.RecordBatch.from_arrays(columns_of(forest.open(), part), NAMES)

@@ -71,7 +71,6 @@ def test_against_a_plain_version(spark, monkeypatch):
     assert manifest(given) == want
     # Blocks of 8 leaves and forests of a few leaves: every step over block and task borders is taken.
     monkeypatch.setattr(merkle, "BLOCK", 1)
-    monkeypatch.setattr(merkle, "LOT", 5)
     monkeypatch.setattr(merkle, "FAN", 2)
     assert manifest(given.repartition(9)) == want
 
