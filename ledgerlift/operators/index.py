@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.messages import told
@@ -66,36 +66,56 @@ def latest(entries: DataFrame, preferred: str | None = None) -> DataFrame:
     return entries.groupBy("mb_key", "form_type").agg(F.min_by(F.struct(*[c for c in entries.columns if c not in ("mb_key", "form_type")]), order).alias("row")).select("mb_key", "form_type", "row.*")
 
 
-def duplicate_notes(entries: DataFrame) -> DataFrame:
-    """A note at each registration after the first of an id and form: the candidates so far in order of rank.
+KEYS = ["mb_key", "form_type"]
+
+
+def registrations(entries: DataFrame) -> DataFrame:
+    """One row for each document of a company and form that has several: mb_key, form_type, n, ord, place and path.
+
+    ord is the document's number in the order of paths, place its number in the order of choice. It is listed in the notes
+    from number ord to the last, n, so these rows tell all notes in a size that grows with the documents alone. A path is one document:
+    equal rows count once. Documents are numbered by sorts that spill, and no row holds more than one of them."""
+    item = [(-rank_of(F.col("period"))).alias("rank"), (-F.unix_micros("mtime")).alias("time"), path_key(F.col("path")).alias("order"), "path"]
+    items = entries.select(*KEYS, *item).distinct()
+    sizes = items.groupBy(*KEYS).agg(F.count("*").alias("n")).where("n > 1")
+    of_key = Window.partitionBy(*KEYS)
+    numbers = {"ord": F.row_number().over(of_key.orderBy("order", "rank", "time")), "place": F.row_number().over(of_key.orderBy("rank", "time", "order"))}
+    return items.join(sizes, KEYS).withColumns(numbers).select(*KEYS, "n", "ord", "place", "path")
 
-    mb_key, form_type, ord (path order) and note. A path is one document: equal rows count once. A company with up to FEW documents of a
-    form is one row; the registrations of a larger one are dealt over many tasks. A note itself lists all candidates, as it must."""
-    keys = ["mb_key", "form_type"]
-    item = F.struct((-rank_of(F.col("period"))).alias("rank"), (-F.unix_micros("mtime")).alias("time"), path_key(F.col("path")).alias("order"), F.col("path").alias("path"))
-    items = entries.select(*keys, item.alias("item"))
-    sizes = items.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
-    few = items.join(sizes.where(F.col("n") <= FEW).drop("n"), keys).groupBy(*keys).agg(F.array_sort(F.collect_set("item")).alias("all"))
-    of_few = few.select(*keys, "all", F.explode("all").alias("newcomer")).select(*keys, F.filter("all", lambda i: i["order"] <= F.col("newcomer.order")).alias("held"))
+def notes_of_registrations(found: DataFrame) -> DataFrame:
+    """The notes that registrations tell, as text: mb_key, form_type, ord and note, at each document but a company's first.
 
-    many = items.join(sizes.where(F.col("n") > FEW).select(*keys, F.ceil(F.col("n") / FEW).alias("blocks")), keys)
-    newcomers = many.select(*keys, F.pmod(F.xxhash64("item"), F.col("blocks")).alias("block"), F.col("item").alias("newcomer"))
-    candidates = many.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "item")
-    so_far = newcomers.join(candidates, [*keys, "block"]).where("item.order <= newcomer.order")
-    of_many = so_far.groupBy(*keys, "block", "newcomer").agg(F.array_sort(F.collect_set("item")).alias("held")).select(*keys, "held")
+    The text of a company's last note lists all its documents, so all its notes together are of square size; they should be made for
+    companies that are reported only. Those of a company with up to FEW documents are made in one row, those of a larger one in many tasks."""
+    item = F.struct("place", "ord", "path")
+    listed = lambda all_, last: F.filter(all_, lambda i: i["ord"] <= last)
+    few = found.where(F.col("n") <= FEW).groupBy(*KEYS).agg(F.array_sort(F.collect_list(item)).alias("all"))
+    of_few = few.select(*KEYS, "all", F.explode(F.sequence(F.lit(2), F.size("all"))).alias("ord")).select(*KEYS, "ord", listed(F.col("all"), F.col("ord")).alias("held"))
 
-    held = of_few.unionByName(of_many).where("size(held) > 1")
-    paths = F.array_join(F.transform("held", lambda h: h["path"]), ", ")
-    note = told("duplicates", F.upper("form_type"), F.col("mb_key"), paths)
-    return held.select(*keys, F.size("held").alias("ord"), note.alias("note"))
+    many = found.where(F.col("n") > FEW).withColumn("blocks", F.ceil(F.col("n") / FEW))
+    newcomers = many.where("ord > 1").select(*KEYS, F.pmod("ord", "blocks").alias("block"), F.col("ord").alias("last"))
+    candidates = many.select(*KEYS, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), item.alias("item"))
+    so_far = newcomers.join(candidates, [*KEYS, "block"]).where("item.ord <= last")
+    of_many = so_far.groupBy(*KEYS, "block", "last").agg(F.array_sort(F.collect_list("item")).alias("held")).select(*KEYS, F.col("last").alias("ord"), "held")
+
+    paths = F.array_join("held.path", ", ")
+    return of_few.unionByName(of_many).select(*KEYS, "ord", told("duplicates", F.upper("form_type"), F.col("mb_key"), paths).alias("note"))
+
+
+def duplicate_notes(entries: DataFrame) -> DataFrame:
+    """A note at each registration after the first of an id and form: mb_key, form_type, ord (path order) and note, the candidates so far in order of choice."""
+    return notes_of_registrations(registrations(entries))
 
 
-def index_notes(classified: DataFrame) -> DataFrame:
-    """mb_key, notes (ordered): documents of unknown form, then duplicates form by form."""
+def index_notes(classified: DataFrame, companies: DataFrame | None = None) -> DataFrame:
+    """mb_key, notes (ordered): documents of unknown form, then duplicates form by form; of `companies` (mb_key) alone if they are given."""
+    known = classified.where("mb_key is not null")
+    if companies is not None:
+        known = known.join(companies.select("mb_key").distinct(), "mb_key", "left_semi")
     text = told("unknown_form", F.col("path"), F.col("mb_key"))
-    unknown = classified.where("mb_key is not null and size(forms) = 0").select("mb_key", F.lit("unknown").alias("form_type"), path_key(F.col("path")).alias("p"), text.alias("note"))
-    doubles = duplicate_notes(entries_of(classified)).select("mb_key", "form_type", F.array(F.format_string("%010d", "ord")).alias("p"), "note")
+    unknown = known.where("size(forms) = 0").select("mb_key", F.lit("unknown").alias("form_type"), path_key(F.col("path")).alias("p"), text.alias("note"))
+    doubles = duplicate_notes(entries_of(known)).select("mb_key", "form_type", F.array(F.format_string("%010d", "ord")).alias("p"), "note")
     both = unknown.unionByName(doubles)
     ordered = F.array_sort(F.collect_list(F.struct("form_type", "p", "note")))
     return both.groupBy("mb_key").agg(F.transform(ordered, lambda n: n["note"]).alias("notes"))

@@ -97,6 +97,18 @@ SQL = {
                'Multiple ' || upper(b.form_type) || ' forms detected for MB ' || b.mb || '. Selection is based on period and modification time. Candidates: '
                || string_agg(a.path, ', ' ORDER BY CASE WHEN a.year >= 2000 THEN a.year ELSE 0 END DESC, a.mtime DESC, a.ord) AS note
         FROM k b JOIN k a ON a.mb = b.mb AND a.form_type = b.form_type AND a.ord <= b.ord WHERE b.ord > 1 GROUP BY b.mb, b.form_type, b.ord""",
+    "registrations": f"""
+        WITH {ORDERS}, {ENTRIES}, k AS (SELECT *, row_number() OVER (PARTITION BY mb, form_type ORDER BY path) AS ord, count(*) OVER (PARTITION BY mb, form_type) AS all_ FROM l)
+        SELECT mb::VARCHAR AS mb_key, form_type, all_ AS n, ord, n AS place, path FROM k WHERE all_ > 1""",
+    "rejected_amounts": f"""
+        WITH {ORDERS}, spoilt AS (
+          SELECT key, amount, CASE key % 8 WHEN 0 THEN amount || ',5' WHEN 1 THEN 'n/a' WHEN 2 THEN amount || 'x4' WHEN 3 THEN amount || ',5x' WHEN 4 THEN '9' || repeat('0', 20) || amount
+                        WHEN 5 THEN NULL WHEN 6 THEN '-' || amount ELSE amount || '00000000' END AS raw FROM s)
+        SELECT key, raw, CASE WHEN key % 8 = 7 AND amount <= 99999 THEN amount * 100000000 END AS value,
+               CASE key % 8 WHEN 0 THEN 'Non-integer value encountered: ''' || raw || '''' WHEN 1 THEN 'No digits detected in ''n/a''' WHEN 2 THEN 'Invalid integer component in ''' || raw || ''''
+                        WHEN 3 THEN 'Invalid decimal component in ''' || raw || '''' WHEN 4 THEN 'Value out of range: ''' || raw || '''' WHEN 5 THEN 'No value supplied'
+                        WHEN 6 THEN 'Value -' || amount || ' is below the permitted minimum of 0'
+                        ELSE CASE WHEN amount > 99999 THEN 'Value ' || amount || '00000000 exceeds the permitted maximum of 9999900000000' END END AS error FROM spoilt""",
     "lines_from_words": f"""
         WITH {ORDERS}, p AS (SELECT *, (amount + 1)::VARCHAR AS before, CASE WHEN key % 6 = 2 THEN length(spaced) - length(replace(spaced, ' ', '')) ELSE 0 END AS gaps FROM s)
         SELECT key, 1::BIGINT AS line, 'Текућа година Претходна година' AS text, 440::BIGINT AS box_left, 40::BIGINT AS box_top, 836::BIGINT AS box_right, 60::BIGINT AS box_bottom FROM p

@@ -44,7 +44,7 @@ def run(roster: DataFrame, documents: DataFrame, pages: DataFrame, words: DataFr
     only = lambda df: df.join(needed, "doc_id", "left_semi")
     results = once(extract(only(words), only(pages), needed, config.as_of_year, config.year_preference), "results")
     fields = field_rows(roster, newest, results, config.overwrite_nonempty)
-    rows = once(per_row(roster, fields, index_notes(classified), config.overwrite_nonempty), "rows")
+    rows = once(per_row(roster, fields, index_notes(classified, roster.select(F.col("mb").alias("mb_key"))), config.overwrite_nonempty), "rows")
     return Run(upsert(rows, config.overwrite_nonempty, config.clear_on_overwrite), exceptions(rows), counters(rows), results)
 
 

@@ -18,6 +18,15 @@ def parse_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.withColumn("p", numeric.parse(F.col("raw"))).select("key", "raw", F.col("p.value").alias("value"), F.col("p.normalized").alias("normalized"), F.col("p.error").alias("error"))
 
 
+def rejected_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts spoilt in seven ways, one by key, between bounds: what is told of each."""
+    amount, key = F.col("amount").cast("string"), F.col("key") % 8
+    spoilt = [F.concat(amount, F.lit(",5")), F.lit("n/a"), F.concat(amount, F.lit("x4")), F.concat(amount, F.lit(",5x")), F.concat(F.lit("9" + "0" * 20), amount), F.lit(None).cast("string"), F.concat(F.lit("-"), amount), F.concat(amount, F.lit("0" * 8))]
+    o = orders(spark, sf_dir).select("key", F.get(F.array(*spoilt), key.cast("int")).alias("raw"))
+    p = o.withColumn("p", numeric.parse(F.col("raw"), min_value=0, max_value=9_999_900_000_000))
+    return p.select("key", "raw", F.col("p.value").alias("value"), F.col("p.error").alias("error"))
+
+
 def fold_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", F.concat_ws(" ", "c_name", "c_mktsegment").alias("t"))
     return c.select("c_custkey", text.fold(F.col("t")).alias("folded"), text.token(F.col("t")).alias("token"))
@@ -72,6 +81,12 @@ def duplicate_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.duplicate_notes(_entries(spark, sf_dir)).select("mb_key", "form_type", F.col("ord").cast("long").alias("ord"), "note")
 
 
+def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes as intervals: each document of a company with several, the notes that list it, and its place in them."""
+    found = index.registrations(_entries(spark, sf_dir))
+    return found.select("mb_key", "form_type", *[F.col(c).cast("long").alias(c) for c in ("n", "ord", "place")], "path")
+
+
 def _statement(spark: SparkSession, sf_dir: str, where: str = "true") -> tuple[DataFrame, DataFrame]:
     docs = orders(spark, sf_dir).where(where)
     return docs, st.statement_words(docs)
@@ -177,7 +192,7 @@ def _run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     words = st.statement_words(needed)
     results = extract.extract(words, st.pages_text(words), needed.select("doc_id"), st.AS_OF)
     roster = st.roster(spark, sf_dir)
-    return roster, report.per_row(roster, report.field_rows(roster, newest, results, False), index.index_notes(classified))
+    return roster, report.per_row(roster, report.field_rows(roster, newest, results, False), index.index_notes(classified, roster.select(F.col("mb").alias("mb_key"))))
 
 
 def upsert_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,7 +249,7 @@ def cache_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        parse_amounts, fold_tokens, norm_headers, norm_ids, detect_ids, detect_years, detect_forms, latest_document, roster_join, missing_documents, duplicate_notes, lines_from_words,
+        parse_amounts, rejected_amounts, fold_tokens, norm_headers, norm_ids, detect_ids, detect_years, detect_forms, latest_document, roster_join, missing_documents, duplicate_notes, registrations, lines_from_words,
         page_confidence, doc_confidence, numeric_clusters, column_bands, year_columns, carry_forward, extract_revenue, extract_assets, extract_capital_loss, fallback_column, aop_fallback,
         multiline_anchor, upsert_results, exceptions_report, run_stats, content_hash_dedup, retry_best_of, parse_tsv, page_limit, first_lines, cache_merge,
     )

@@ -183,6 +183,17 @@ def test_duplicate_notes_of_a_company_with_many_documents(spark, monkeypatch, fe
     assert got == want
 
 
+def test_registrations_grow_with_the_documents_alone(spark):
+    """100,000 documents of one company: a row each, numbered in both orders."""
+    entries = spark.range(0, 100_000, 1, 4).selectExpr("'10000001' AS mb_key", "'bu' AS form_type", "concat('d/', lpad(id, 6, '0')) AS path", "struct(cast(null as string) as label, cast(2000 + id % 7 as int) as year) AS period", "timestamp_seconds(id % 1000) AS mtime")
+    found = index.registrations(entries)
+    told = found.agg(F.count("*"), F.sum("ord"), F.sum("place"), F.min("n"), F.max("n"), F.countDistinct("place")).first()
+    assert tuple(told) == (100_000, 5_000_050_000, 5_000_050_000, 100_000, 100_000, 100_000)
+    first = found.where("place = 1").first()
+    number = int(first.path[2:])
+    assert first.ord == number + 1 and (number % 7, number % 1000) == (6, 999)
+
+
 def test_detectors_can_be_replaced(spark):
     docs = spark.createDataFrame([("p", "no. 77 profit", None)], "path string, text string, mtime timestamp")
     own = index.classify(docs, id_of=lambda t: F.regexp_extract(t, r"no\. (\d+)", 1), forms=lambda t: F.array(F.when(t.contains("profit"), "bu"))).first()
