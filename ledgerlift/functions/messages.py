@@ -29,7 +29,7 @@ MESSAGES = {
     "duplicates": "Multiple {} forms detected for MB {}. Selection is based on period and modification time. Candidates: {}",
     "unknown_form": "Unable to determine form type for {} (MB {})",
     "no_document": "No {} PDF found for MB {}",
-    "ocr_failed": "OCR failed for {}",
+    "ocr_failed": "OCR failed for {}: {}",
     "no_id": "Excel row is missing Матични број",
     "summary": "Processed {rows_total} rows ({rows_with_mb} with Матични број). Updated {rows_with_updates} rows, wrote {values_written} values (skipped {values_skipped} existing).",
     "missing_fields": "Missing fields: {}",

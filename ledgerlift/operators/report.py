@@ -38,13 +38,16 @@ def notes_of(result: Column) -> Column:
     return F.concat(told("ERROR", result["errors"]), told("WARNING", result["warnings"]))
 
 
-def field_rows(roster: DataFrame, latest: DataFrame, results: DataFrame, overwrite: bool) -> DataFrame:
-    """One row per roster row with an id and needed field: value (accepted ones only), notes and missing."""
+def field_rows(roster: DataFrame, latest: DataFrame, results: DataFrame, overwrite: bool, failures: DataFrame | None = None) -> DataFrame:
+    """One row per roster row with an id and needed field: value (accepted ones only), notes and missing.
+
+    A document without results has failed; failures (doc_id, error) may tell why."""
     needed = F.array_compact(F.array(*[F.when(F.lit(overwrite) | ~F.coalesce(has_value(F.col(k)), F.lit(False)), F.struct(F.lit(i).alias("ord"), F.lit(k).alias("field"), F.lit(FORM_OF[k]).alias("form_type"))) for i, k in enumerate(RESULTS)]))
     rows = roster.where("mb <> ''").select("row_index", "mb", roster_key(F.col("mb")).alias("mb_key"), F.explode(needed).alias("n")).select("row_index", "mb", "mb_key", "n.*")
-    found = rows.join(latest.select("mb_key", "form_type", "doc_id"), ["mb_key", "form_type"], "left").join(results.select("doc_id", "field", "result"), ["doc_id", "field"], "left")
+    found = rows.join(latest.select("mb_key", "form_type", "doc_id", "path"), ["mb_key", "form_type"], "left").join(results.select("doc_id", "field", "result"), ["doc_id", "field"], "left")
+    found = found.join(failures.select("doc_id", "error"), "doc_id", "left") if failures is not None else found.withColumn("error", F.lit(None).cast("string"))
     absent = F.array(message("no_document", F.upper("form_type"), F.col("mb")))
-    unread = F.array(message("ocr_failed", F.col("doc_id")))
+    unread = F.array(message("ocr_failed", F.coalesce("path", "doc_id"), F.coalesce("error", F.lit("no result"))))
     notes = F.when(F.col("doc_id").isNull(), absent).when(F.col("result").isNull(), unread).otherwise(notes_of(F.col("result")))
     value = F.when(F.coalesce(success(F.col("result")), F.lit(False)), F.col("result.value"))
     # Both fields of a form share the note that its document is missing.

@@ -24,8 +24,9 @@ class Run(NamedTuple):
     results: DataFrame
 
 
-def run(roster: DataFrame, documents: DataFrame, pages: DataFrame, words: DataFrame, config: Config = Config(), work: str | None = None) -> Run:
-    """documents: doc_id, path, mtime; pages: doc_id, page, text; words as in schemas.WORDS.
+def run(roster: DataFrame, documents: DataFrame, pages: DataFrame, words: DataFrame, config: Config = Config(), work: str | None = None, failures: DataFrame | None = None) -> Run:
+    """documents: doc_id, path, mtime; pages: doc_id, page, text; words as in schemas.WORDS; failures: doc_id, error of files that
+    could not be read, whose notes tell so (documents of which no text is known are in no company's index).
 
     Only documents that some roster row needs are extracted: the index is cut to the roster's ids first. With `work`, a
     folder that all executors share, the results and the rows are written there once, and all that is asked for reads them."""
@@ -42,8 +43,9 @@ def run(roster: DataFrame, documents: DataFrame, pages: DataFrame, words: DataFr
     newest = latest(entries_of(classified), config.year_preference)
     needed = newest.join(_keys(roster), "mb_key", "left_semi").select("doc_id").distinct()
     only = lambda df: df.join(needed, "doc_id", "left_semi")
-    results = once(extract(only(words), only(pages), needed, config.as_of_year, config.year_preference), "results")
-    fields = field_rows(roster, newest, results, config.overwrite_nonempty)
+    readable = needed if failures is None else needed.join(failures, "doc_id", "left_anti")
+    results = once(extract(only(words), only(pages), readable, config.as_of_year, config.year_preference), "results")
+    fields = field_rows(roster, newest, results, config.overwrite_nonempty, failures)
     rows = once(per_row(roster, fields, index_notes(classified, roster.select(F.col("mb").alias("mb_key"))), config.overwrite_nonempty), "rows")
     return Run(upsert(rows, config.overwrite_nonempty, config.clear_on_overwrite), exceptions(rows), counters(rows), results)
 

@@ -60,6 +60,42 @@ def test_files_are_scanned_read_retried_and_cached(spark, tmp_path):
     assert again.count() == 4 and none.count() == 0
 
 
+def test_no_page_beyond_the_limit_is_made_and_no_bytes_are_moved(spark, tmp_path):
+    """A counting stub tells the pages that it makes; ranges of pages are read apart; the plan deals ids and paths alone."""
+    (tmp_path / "in").mkdir()
+    for name in ("a", "b", "broken"):
+        (tmp_path / "in" / f"{name} č.pdf").write_text(name)
+    log = str(tmp_path / "made")
+    os.makedirs(log)
+
+    def counting(content: bytes, settings: ocr.Settings):
+        name = content.decode()
+        for page in range(settings.first_page, 100):
+            with open(f"{log}/{name}-{page}-{settings.first_page}", "w"):
+                pass
+            if name == "broken" and page == 6:
+                raise ValueError("torn")
+            yield page, f"{name} {page}", "", 1.0, settings.dpi, []
+
+    narrow = files.fingerprinted(files.scan_files(spark, str(tmp_path / "in"))).select("doc_id", "path")
+    read = ocr.read_pages(narrow, counting, ocr.Settings(page_limit=7, pages_each=3))
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and not any("content" in line for line in plan.splitlines() if "Exchange" in line)
+    found = read.collect()
+    assert sorted(r.page for r in found if r.text and r.text.startswith("a ")) == list(range(1, 8))
+    assert sorted(os.listdir(log)) == sorted([f"{n}-{p}-{(p - 1) // 3 * 3 + 1}" for n in ("a", "b", "broken") for p in range(1, 8)])
+    cache, failures = ocr.read_documents(narrow, spark.createDataFrame([], CACHE), counting, ocr.Settings(page_limit=7, pages_each=3), str(tmp_path / "work"))
+    assert cache.count() == 2 and [r.error for r in failures.collect()] == ["ValueError: torn"]
+
+
+def test_failures_reach_the_report(spark, tmp_path):
+    rows = spark.createDataFrame([(2, "12345678", "12345678", None, None, None)], "row_index long, raw_value string, mb string, revenue long, assets long, capital_loss long")
+    failures = spark.createDataFrame([("new", "ValueError: torn")], "doc_id string, error string")
+    done = run(rows, *statements(spark), config=config.Config(as_of_year=2021), failures=failures)
+    notes = done.report.first().notes
+    assert "OCR failed for in/new.pdf: ValueError: torn" in notes and done.roster.first().revenue is None and done.roster.first().assets == 333
+
+
 def test_settings_and_config(tmp_path):
     s = ocr.Settings(dpi="-5", page_limit="abc", confidence_threshold="0", dpi_retry="400")
     assert (s.dpi, s.page_limit, s.confidence_threshold, s.dpi_retry, s.at(400).dpi, s.at(400).dpi_retry) == (300, 30, None, [400], 400, [])
