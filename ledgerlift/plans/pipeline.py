@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.confidence import document_text
@@ -13,6 +13,10 @@ from ..operators.index import classify, entries_of, index_notes, latest
 from ..operators.pages import limited
 from ..operators.report import counters, exceptions, field_rows, per_row, upsert
 from ..sources.config import Config
+from ..sources.files import CACHE, fingerprinted, from_payload, scan_files
+from ..sources.ocr import Reader, Settings, read_lacking
+from ..sources.state import KeyedTable
+from ..sources.tsv import words as words_of_rows
 
 
 class Run(NamedTuple):
@@ -50,6 +54,33 @@ def run(roster: DataFrame, documents: DataFrame, pages: DataFrame, words: DataFr
     return Run(upsert(rows, config.overwrite_nonempty, config.clear_on_overwrite), exceptions(rows), counters(rows), results)
 
 
+class Tables(NamedTuple):
+    """What a run reads, and the files that could not be read."""
+
+    documents: DataFrame
+    pages: DataFrame
+    words: DataFrame
+    failures: DataFrame
+
+
+def read_files(spark: SparkSession, directory: str, reader: Reader, config: Config, work: str, pattern: str = "*.pdf") -> Tables:
+    """The tables of all files below a directory, read by a plug-in or taken from the cache below `work`, to which only what it lacked is added."""
+    listing = fingerprinted(scan_files(spark, directory, pattern)).select("doc_id", "path", F.col("modificationTime").alias("mtime"))
+    listing.write.mode("overwrite").parquet(f"{work}/listing")
+    listing = spark.read.schema(listing.schema).parquet(f"{work}/listing")
+    cache = KeyedTable(spark, f"{work}/cache", CACHE, ["key"])
+    keys = listing.select(F.col("doc_id").alias("key"))
+    settings = Settings(**(config.options | {"page_limit": config.page_limit}))
+    fresh, failures = read_lacking(listing, cache.newest(keys), reader, settings, f"{work}/reading")
+    cache.put(fresh, cache.next_batch())
+    read = cache.newest(keys).select(F.col("key").alias("doc_id"), from_payload(F.col("payload")).alias("d"))
+    pages = read.select("doc_id", F.explode("d.pages").alias("p"))
+    words = pages.select("doc_id", F.col("p.page_number").alias("page"), F.posexplode("p.tsv").alias("pos", "row"))
+    # Of files of equal content the last one tells path and time.
+    documents = listing.groupBy("doc_id").agg(F.max(F.struct("mtime", "path")).alias("f")).select("doc_id", "f.path", "f.mtime")
+    return Tables(documents, pages.select("doc_id", F.col("p.page_number").alias("page"), F.col("p.text").alias("text")), words_of_rows(words), failures)
+
+
 def _keys(roster: DataFrame) -> DataFrame:
     from ..operators.index import roster_key
 

@@ -10,6 +10,8 @@ PAYLOAD = (
     "struct<text:string,text_source:string,average_confidence:double,pages:array<struct<page_number:int,text:string,"
     "tsv:array<map<string,string>>,confidence:double,dpi:int,preprocessing_pipeline:array<string>>>>"
 )
+#: The cache of read documents.
+CACHE = "key string, path string, payload string, created_at timestamp"
 
 
 def scan_files(spark: SparkSession, directory: str, pattern: str = "*.pdf") -> DataFrame:

@@ -108,7 +108,15 @@ def read_pages(files: DataFrame, reader: Reader, settings: Settings, fetch: Call
 def read_documents(
     files: DataFrame, cache: DataFrame, reader: Reader, settings: Settings, work: str, layer: DataFrame | None = None, fetch: Callable[[str], bytes] = open_bytes
 ) -> tuple[DataFrame, DataFrame]:
-    """The cache (key, path, payload, created_at) with all files (doc_id, path) that it lacked, and the failures (doc_id, error).
+    """The cache (key, path, payload, created_at) with all files (doc_id, path) that it lacked, and the failures (doc_id, error)."""
+    fresh, failures = read_lacking(files, cache, reader, settings, work, layer, fetch)
+    return cached.merged(cache, fresh), failures
+
+
+def read_lacking(
+    files: DataFrame, cache: DataFrame, reader: Reader, settings: Settings, work: str, layer: DataFrame | None = None, fetch: Callable[[str], bytes] = open_bytes
+) -> tuple[DataFrame, DataFrame]:
+    """Of the files (doc_id, path) that the cache (by key) lacks: rows for it (key, path, payload, created_at), and the failures (doc_id, error).
 
     Files are read at the first resolution, and those whose confidence stays below the threshold again at the next ones;
     the best attempt stands, with the files' own text (layer: doc_id, page, text) where there is some. Every attempt is
@@ -143,7 +151,7 @@ def read_documents(
     failed = failures[0]
     for more in failures[1:]:
         failed = failed.unionByName(more)
-    return cached.merged(cache, fresh), failed.groupBy("doc_id").agg(F.min("error").alias("error"))
+    return fresh, failed.groupBy("doc_id").agg(F.min("error").alias("error"))
 
 
 def with_text_layer(pages: DataFrame, layer: DataFrame) -> DataFrame:

@@ -35,6 +35,11 @@ class KeyedTable:
             return self.spark.createDataFrame([], stored)
         return self.spark.read.schema(stored).parquet(self.path)
 
+    def next_batch(self) -> int:
+        """A number for a batch that comes after all that are there; told from the names of partitions."""
+        last = self._all().agg(F.max("_batch")).first()[0]
+        return 0 if last is None else last // 2 + 1
+
     def put(self, rows: DataFrame, batch: int) -> None:
         """Write a batch's rows; of rows with equal keys in it one must stand."""
         named = rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema], self._bucket(), F.lit(2 * batch + 1).cast("long").alias("_batch"))

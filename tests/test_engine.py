@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 
 import pytest
@@ -194,6 +195,38 @@ def test_command_line(spark, tmp_path, capsys):
     assert main([*argv[:3], str(tmp_path / "old.xls"), *argv[4:]], spark) == 2
 
 
+def tsv_reader(content: bytes, settings: ocr.Settings):
+    """A stub: a file holds its pages as JSON, text and word table."""
+    for number, (said, tsv) in enumerate(json.loads(content), 1):
+        yield number, said, tsv, 90.0, settings.dpi, []
+
+
+def test_files_to_roster_in_one_command(spark, tmp_path, capsys):
+    """The command reads files that it has not read yet, and gives what the run over tables of the same documents gives."""
+    from .test_incremental import HEADER
+
+    (tmp_path / "in").mkdir()
+    docs, texts, words = statements(spark)
+    said, rows = {r.doc_id: r.text for r in texts.collect()}, words.collect()
+    for doc in said:
+        tsv = HEADER + "".join("\t".join(map(str, (r.level, r.page, r.block, r.par, r.line, r.word, r.left, r.top, r.width, r.height, r.conf, r.text))) + "\n" for r in rows if r.doc_id == doc)
+        (tmp_path / "in" / f"{doc}.pdf").write_text(json.dumps([[said[doc], tsv]]))
+        os.utime(tmp_path / "in" / f"{doc}.pdf", (1_640_995_200, 1_640_995_200))
+    (tmp_path / "in" / "torn.pdf").write_text("no json")
+    (tmp_path / "c.json").write_text('{"as_of_year": 2021, "reader": "tests.test_engine:tsv_reader"}')
+    argv = ["--config", str(tmp_path / "c.json"), "--roster", sheet_files(tmp_path / "r.csv"), "--files", str(tmp_path / "in"), "--output", str(tmp_path / "out.csv"), "--report", str(tmp_path / "report"), "--work", str(tmp_path / "work")]
+    for again in (False, True):
+        assert main(argv, spark) == 0
+        told = capsys.readouterr().out.splitlines()
+        assert told[0] == "Processed 4 rows (3 with Матични број). Updated 1 rows, wrote 3 values (skipped 1 existing)."
+        first = next(r for r in spark.read.csv(str(tmp_path / "out.csv"), header=True, sep=";").collect() if r["Назив"] == "A")
+        assert [first[h] for h in RESULTS.values()] == ["222", "333", "70"]
+        read = spark.read.parquet(str(tmp_path / "work/reading/todo")).count()
+        assert read == (1 if again else 5)  # the torn file alone is tried again
+    (tmp_path / "c.json").write_text('{"as_of_year": 2021}')
+    assert main(argv, spark) == 2
+
+
 @pytest.mark.parametrize(("overwrite", "clear", "want"), [(False, False, (1, 333, 70)), (True, False, (222, 333, 70)), (True, True, (222, 333, 70))])
 def test_overwriting(spark, tmp_path, overwrite, clear, want):
     rows = spark.createDataFrame([(2, "12345678", "12345678", 1, None, None), (3, "87654321", "87654321", 5, 6, None)], "row_index long, raw_value string, mb string, revenue long, assets long, capital_loss long")
