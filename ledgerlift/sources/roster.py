@@ -1,7 +1,10 @@
-"""The roster of companies and its results: CSV or Parquet, and workbooks where openpyxl can be imported."""
+"""The roster of companies and its results: CSV (as spreadsheet programs write it, with quoted line breaks and doubled quotes) or Parquet, and workbooks where openpyxl can be imported."""
 
 from __future__ import annotations
 
+import csv
+import io
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -50,6 +53,41 @@ def numbered(raw: DataFrame) -> DataFrame:
     return placed.join(blocks, ["_path", "_start"]).select(row, *[F.col(f"`{c}`") for c in raw.columns])
 
 
+def quoted_records(lines: DataFrame) -> DataFrame:
+    """_path, record (from 1 in each file) and text of the records of CSV files, read as lines (value, with `_metadata`).
+
+    A line begins a record if the quotes before it in its file are even in number. Files stay split into blocks: quotes and records
+    are summed up by block, prefix sums over blocks (one row each) tell how a block begins, and only a block's lines are put in order
+    together. Empty lines between records are none."""
+    placed = lines.select("value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    placed = placed.withColumn("_quotes", F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))))
+    block, inside = ["_path", "_start"], Window.partitionBy("_path", "_start").orderBy("_id")
+    along = Window.partitionBy("_path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+
+    def with_sums(rows: DataFrame, value: str, out: str) -> DataFrame:
+        """rows with `out`: the sum of a value over the lines before in the file."""
+        sums = rows.groupBy(*block).agg(F.sum(value).alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(along), F.lit(0))).drop("_sum")
+        here = F.coalesce(F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return rows.withColumn("_here", here).join(sums, block).withColumn(out, F.col("_before") + F.col("_here")).drop("_before", "_here")
+
+    parted = with_sums(placed, "_quotes", "_open").withColumn("_free", F.col("_open") % 2 == 0).where("not _free or value <> ''")
+    told = with_sums(parted.withColumn("_begins", F.col("_free").cast("int")), "_begins", "_done")
+    ordered = F.array_sort(F.collect_list(F.struct("_start", "_id", "value")))
+    return told.groupBy("_path", (F.col("_done") + F.col("_begins")).alias("record")).agg(F.array_join(F.transform(ordered, lambda x: x["value"]), "\n").alias("text"))
+
+
+def from_records(spark: SparkSession, records: DataFrame) -> DataFrame:
+    """The rows of quoted_records as columns under the first file's headers, and `_row`; every file has a header."""
+    first = records.where("record = 1").orderBy("_path").first()
+    headers = next(csv.reader(io.StringIO(first.text.removeprefix("\ufeff")), delimiter=";")) if first else []
+    names = [h or f"_c{i}" for i, h in enumerate(headers)]
+    before = Window.orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)
+    files = records.groupBy("_path").agg((F.max("record") - 1).alias("_n")).select("_path", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    quoted = lambda name: "`" + name.replace("`", "``") + "`"
+    read = F.from_csv("text", ", ".join(f"{quoted(n)} string" for n in names) or "_c0 string", {"sep": ";", "quote": '"', "escape": '"'})
+    return records.where("record > 1").join(F.broadcast(files), "_path").select((F.col("_before") + F.col("record")).alias("_row"), read.alias("r")).select("_row", "r.*")
+
+
 def from_table(raw: DataFrame, row_index: str = "_row") -> DataFrame:
     """row_index, raw_value, mb and the results of any table with a column of company ids and one of row numbers."""
     held = result_columns(raw)
@@ -65,6 +103,11 @@ def sheet(spark: SparkSession, path: str) -> DataFrame:
     if path.endswith(".xlsx"):
         spark.dataSource.register(WorkbookSource)
         return spark.read.format("roster_workbook").load(path)
+    if not path.endswith(".parquet"):
+        lines = spark.read.text(path)
+        # Without a quote in it every line is a record.
+        if not lines.where(F.col("value").contains('"')).isEmpty():
+            return from_records(spark, quoted_records(lines))
     raw = spark.read.parquet(path) if path.endswith(".parquet") else spark.read.csv(path, header=True, sep=";")
     return raw if "_row" in raw.columns else numbered(raw)
 
@@ -88,7 +131,7 @@ def write(table: DataFrame, path: str) -> None:
     if path.endswith(".parquet"):
         ordered.write.mode("overwrite").parquet(path)
     else:
-        ordered.drop("_row").write.mode("overwrite").csv(path, header=True, sep=";")
+        ordered.drop("_row").write.mode("overwrite").csv(path, header=True, sep=";", escape='"')
 
 
 class WorkbookReader(DataSourceReader):

@@ -159,6 +159,37 @@ def test_rosters_keep_their_rows_and_columns(spark, tmp_path):
         roster.id_column(["Назив"])
 
 
+def test_rosters_with_quoted_line_breaks(spark, tmp_path):
+    """Rows are the sheet's rows, whatever is quoted in them and however the file is cut into blocks; written, they can be read again."""
+    import csv
+
+    os.makedirs(tmp_path / "r.csv")
+    sheet = {}
+    for part, count in (("part-1.csv", 400), ("part-2.csv", 30)):
+        with open(tmp_path / "r.csv" / part, "w", encoding="utf-8", newline="") as f:
+            writer = csv.writer(f, delimiter=";", lineterminator="\n")
+            writer.writerow(["Назив", "Матични број", 'Опис "у\nдва реда"'])
+            for i in range(count):
+                name = [f"A{i}", f'"quoted" {i}', f"two\nlines {i}", f'a;b\n\n"c"\n{i}', "plain"][i % 5]
+                row = [name, str(10_000_000 + len(sheet)), f"x{i}\n" * (i % 3) + "y" * (i % 90)]
+                sheet[len(sheet) + 2] = tuple(c or None for c in row)
+                writer.writerow(row)
+                if i % 50 == 7:
+                    f.write("\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        assert spark.read.text(str(tmp_path / "r.csv")).rdd.getNumPartitions() > 8
+        raw = roster.sheet(spark, str(tmp_path / "r.csv"))
+        assert raw.columns == ["_row", "Назив", "Матични број", 'Опис "у\nдва реда"']
+        got = {r[0]: tuple(r[1:]) for r in raw.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sheet
+    roster.write(raw, str(tmp_path / "again.csv"))
+    again = {r[1]: tuple(r[1:]) for r in roster.sheet(spark, str(tmp_path / "again.csv")).select("_row", "Матични број", "Назив", 'Опис "у\nдва реда"').collect()}
+    assert again == {v[1]: (v[1], v[0], v[2]) for v in sheet.values()}
+
+
 def statements(spark) -> tuple:
     """Documents of two companies: an old and a new income statement, one balance sheet."""
     layouts = {
