@@ -56,6 +56,9 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     roster.write(roster.filled(sheet, done.roster), given.output)
     write_report(done.report, given.report)
     print(summary(done.counters.first().asDict()))
+    done.unclassified.write.mode("overwrite").csv(f"{given.work}/unclassified", header=True)
+    if unknown := done.unclassified.count():
+        print(f"No company is told in {unknown} files, listed in {given.work}/unclassified", file=sys.stderr)
     return 0
 
 

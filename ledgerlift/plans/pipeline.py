@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.confidence import document_text
 from ..operators.extract import extract
-from ..operators.index import classify, entries_of, index_notes, latest
+from ..operators.index import classify, entries_of, index_notes, latest, unclassified
 from ..operators.pages import limited
 from ..operators.report import counters, exceptions, field_rows, per_row, upsert
 from ..sources.config import Config
@@ -26,6 +26,8 @@ class Run(NamedTuple):
     report: DataFrame
     counters: DataFrame
     results: DataFrame
+    #: Paths of documents of which no company is told.
+    unclassified: DataFrame | None = None
 
 
 def run(roster: DataFrame, documents: DataFrame, pages: DataFrame, words: DataFrame, config: Config = Config(), work: str | None = None, failures: DataFrame | None = None) -> Run:
@@ -51,7 +53,7 @@ def run(roster: DataFrame, documents: DataFrame, pages: DataFrame, words: DataFr
     results = once(extract(only(words), only(pages), readable, config.as_of_year, config.year_preference), "results")
     fields = field_rows(roster, newest, results, config.overwrite_nonempty, failures)
     rows = once(per_row(roster, fields, index_notes(classified, roster.select(F.col("mb").alias("mb_key"))), config.overwrite_nonempty), "rows")
-    return Run(upsert(rows, config.overwrite_nonempty, config.clear_on_overwrite), exceptions(rows), counters(rows), results)
+    return Run(upsert(rows, config.overwrite_nonempty, config.clear_on_overwrite), exceptions(rows), counters(rows), results, unclassified(classified))
 
 
 class Tables(NamedTuple):

@@ -252,6 +252,8 @@ def test_files_to_roster_in_one_command(spark, tmp_path, capsys):
         assert told[0] == "Processed 4 rows (3 with Матични број). Updated 1 rows, wrote 3 values (skipped 1 existing)."
         first = next(r for r in spark.read.csv(str(tmp_path / "out.csv"), header=True, sep=";").collect() if r["Назив"] == "A")
         assert [first[h] for h in RESULTS.values()] == ["222", "333", "70"]
+        listed = [r.path for r in spark.read.csv(str(tmp_path / "work/unclassified"), header=True).collect()]
+        assert len(listed) == 1 and listed[0].endswith("torn.pdf")
         read = spark.read.parquet(str(tmp_path / "work/reading/todo")).count()
         assert read == (1 if again else 5)  # the torn file alone is tried again
     (tmp_path / "c.json").write_text('{"as_of_year": 2021}')
