@@ -77,12 +77,21 @@ def period_label(c: Column) -> Column:
     return found
 
 
+#: A run of digits that is an id.
+ID = r"(?<![0-9])([0-9]{8,9})(?![0-9])"
+
+
 def document_id(text: Column) -> Column:
     """The first run of 8 or 9 digits, as an index id; null if there is none."""
-    found = F.regexp_extract(F.coalesce(text, F.lit("")), r"(?<![0-9])([0-9]{8,9})(?![0-9])", 1)
+    found = F.regexp_extract(F.coalesce(text, F.lit("")), ID, 1)
     return F.when(found != "", index_id(found))
 
 
+def without_ids(text: Column) -> Column:
+    """A text with a space for each run of 8 or 9 digits."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), ID, " ")
+
+
 def index_year(text: Column) -> Column:
     """The largest number 20dd in a text, wherever it stands; null if there is none."""
     years = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(20[0-9]{2})"), F.lit(1))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.messages import told
-from ..functions.text import document_id, index_id, index_year, period_label
+from ..functions.text import document_id, index_id, index_year, period_label, without_ids
 from ..functions.vocabulary import FORM_PATTERNS, java
 
 PERIOD = "struct<label:string,year:int>"
@@ -22,8 +22,8 @@ def forms_of(text: Column) -> Column:
 
 
 def year_alone(text: Column) -> Column:
-    """A period of which the year alone is told."""
-    return F.struct(F.lit(None).cast("string").alias("label"), index_year(text).alias("year"))
+    """A period of which the year alone is told; the digits of a company's id tell none."""
+    return F.struct(F.lit(None).cast("string").alias("label"), index_year(without_ids(text)).alias("year"))
 
 
 Detector = Callable[[Column], Column]
