@@ -26,6 +26,10 @@ PARTS = tuple(p for pattern in YEAR_PATTERNS.values() for p in parts(pattern))
 CODE_TOKENS = frozenset(CODE_COLUMN_TOKENS) | frozenset(c for t in CODE_COLUMN_TOKENS for c in t)
 
 
+#: Earlier years are none of a document's: a number that equals one is an amount like any other.
+LEAST_YEAR = 2000
+
+
 class YearColumn(NamedTuple):
     """A year or row-code column, in the order of schemas.COLUMN."""
 
@@ -58,24 +62,29 @@ def run_at(tokens: list[str], wanted: list[str]) -> int | None:
     return next((i for i in range(len(tokens) - len(wanted) + 1) if tokens[i : i + len(wanted)] == wanted), None)
 
 
+def dates_of(year: int) -> dict[str, str]:
+    """The numbers that head the columns of a document's year: none if that year, told by no document, is before all that count."""
+    return {"current": str(year), "previous": str(year - 1)} if year >= LEAST_YEAR else {}
+
+
 def year_column(label: str, page: int, year: int, bands: list[Band], lot: Lot, numbers: list[tuple[int, str]]) -> YearColumn | None:
     """The column of one label on a page: its header in words, or the year's number, whichever is higher.
 
     bands are those that can hold a header, numbers the page's words with four lone digits, and the text of their lines."""
-    number = str(year if label == "current" else year - 1)
+    number = dates_of(year).get(label)
     left, top, right, bottom = (lot.held[c] for c in ("left", "top", "right", "bottom"))
     by_tokens = []
     for band in bands:
         named = [w for w in band.in_order if lot.tokens[w]]
         names = [lot.tokens[w] for w in named]
-        for wanted in [*SPELT[label], [number]]:
+        for wanted in [*SPELT[label], *([[number]] if number else [])]:
             at = run_at(names, wanted)
             if at is not None:
                 own = named[at : at + len(wanted)]
                 by_tokens.append(YearColumn(page, label, min(left[w] for w in own), min(top[w] for w in own), max(right[w] for w in own), max(bottom[w] for w in own), band.text))
                 break
     header = topmost(by_tokens) or topmost(YearColumn(page, label, *b.box, b.text) for b in bands if PATTERNS[label].search(b.text))
-    in_lines = [YearColumn(page, label, left[w], top[w], right[w], bottom[w], text) for w, text in numbers if lot.year_digits[w] == number]
+    in_lines = [YearColumn(page, label, left[w], top[w], right[w], bottom[w], text) for w, text in numbers if number and lot.year_digits[w] == number]
     return topmost([header, *in_lines] if header else in_lines)
 
 

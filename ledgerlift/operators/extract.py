@@ -20,7 +20,7 @@ from ..functions.vocabulary import FIELDS, ROW_PATTERNS, Field
 from ..schemas import BOX, COLUMN, MESSAGE
 from .anchors import Page, anchors_of
 from .clusters import locate
-from .columns import Carried, chosen_of, code_column, heads_a_column, reference_years, select_column, year_column
+from .columns import Carried, chosen_of, code_column, dates_of, heads_a_column, reference_years, select_column, year_column
 from .flat import NUMERIC, Band, Lot, bands_of_pages, fold, lone_digits, lots, token
 from .labels import Labels, labels_of
 from .pages import typed
@@ -73,7 +73,7 @@ def pages_of_lot(lot: Lot, carried: Carried, labels: Labels) -> Iterator[tuple[i
     wanted = np.maximum.reduceat(lot.heads, lot.page_start[:-1])
     dates = []
     for page, year in enumerate(lot.years):
-        dates.append({str(year), str(year - 1)})
+        dates.append(set(dates_of(year).values()))
         wanted[page] = wanted[page] or any([possible for _, possible in told[page_line[page] : page_line[page + 1]]]) or not dates[-1].isdisjoint(lot.tokens[starts[page] : starts[page + 1]])
     bands, heads, line_of = bands_of_pages(lot, wanted), lot.heads.tolist(), lot.line.tolist()
     for page, (doc_id, number, year) in enumerate(zip(lot.doc_ids, lot.page_numbers, lot.years, strict=True)):

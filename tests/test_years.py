@@ -28,3 +28,10 @@ def test_ids_tell_no_year(spark, tmp_path):
     day = datetime.datetime
     orders = [(1, 2058, "F", 50000.0, day(1999, 5, 1)), (2, 2058, "F", 60000.0, day(2001, 5, 1)), (3, 202099, "P", 70000.0, day(1998, 5, 1)), (4, 7, "O", 70000.0, day(2000, 5, 1))]
     assert len(against_sql(spark, tmp_path, "latest_document", orders)) == 4
+
+
+def test_numbers_before_2000_head_no_column(spark, tmp_path):
+    """Without a year from 2000 on in a document, an amount that equals the fixture's year is no header."""
+    day = datetime.datetime(1999, 5, 1)
+    orders = [(k, 7, "F", float(amount), day) for k, amount in enumerate((1989, 1990, 1991, 1999, 2000, 2001, 9999, 10000))]
+    against_sql(spark, tmp_path, "fallback_column", orders)
