@@ -40,12 +40,14 @@ class Page:
     def anchor(self, tier: int, order: int, words: list[int], fallback: bool) -> Anchor:
         held = self.lot.held
         text = " ".join(self.lot.word_texts[w] for w in words).strip()
-        box = min(held["left"][w] for w in words), min(held["top"][w] for w in words), max(held["right"][w] for w in words), max(held["bottom"][w] for w in words)
+        left, top, right, bottom = ([held[c][w] for w in words] for c in ("left", "top", "right", "bottom"))
+        box = min(left), min(top), max(right), max(bottom)
         return Anchor(tier, order, words, text, *box, fallback)
 
     def by_place(self, words: list[int]) -> list[int]:
         """Words by top and left; ties keep their order."""
-        return sorted(words, key=lambda w: (self.lot.held["top"][w], self.lot.held["left"][w]))
+        top, left = self.lot.held["top"], self.lot.held["left"]
+        return [w for _, _, _, w in sorted([(top[w], left[w], i, w) for i, w in enumerate(words)])]
 
 
 def in_lines(page: Page, key: str) -> list[tuple[int, Anchor]]:
@@ -60,9 +62,10 @@ def in_bands(page: Page, used: list[int], key: str, labels: Labels) -> list[Anch
     if not any(key in possible for _, possible in page.told):
         return found
     taken = set(used)
-    lines = {page.lot.held["row"][page.words(line)[0]]: line for line in reversed(range(page.first, page.end))}
+    partial, row, starts = page.lot.partial, page.lot.held["row"], page.lot.starts
+    lines = {row[starts[line]]: line for line in reversed(range(page.first, page.end))}
     for band in page.bands:
-        if not any([page.lot.partial[w] for w in band.words]):
+        if not any([partial[w] for w in band.words]) or any([row[w] in taken for w in band.words]):
             continue
         if band.text and taken.isdisjoint(band.rows) and labels.patterns[key].search(fold(band.text)):
             taken.update(band.rows)

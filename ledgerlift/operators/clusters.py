@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import numeric_like, strip
 from .anchors import Anchor, Page
 from .columns import YearColumn, bounds, center
+from .flat import as_batch, whole
+from .flat import cluster_rows as islands
+from .pages import arrow, rows_of
 
 MARGIN = 8
 CODE_MARGIN = 3
@@ -42,7 +47,7 @@ def clusters_of(page: Page, words: list[int]) -> list[Cluster]:
             groups.append([])
         groups[-1].append(w)
         before = w
-    return [Cluster(" ".join(clean[w] for w in g), min(left[w] for w in g), max(right[w] for w in g)) for g in groups]
+    return [Cluster(" ".join([clean[w] for w in g]), min([left[w] for w in g]), max([right[w] for w in g])) for g in groups]
 
 
 def locate(page: Page, anchor: Anchor, chosen: YearColumn | None, other: YearColumn | None, codes: YearColumn | None) -> tuple[list[str], list[str]]:
@@ -53,8 +58,9 @@ def locate(page: Page, anchor: Anchor, chosen: YearColumn | None, other: YearCol
     threshold = anchor_right - 5
     if anchor.fallback and codes:
         threshold = min(threshold, codes.right + MARGIN)
-    own = {held["id"][w] for w in anchor.words}
-    every = anchor.words + [w for w in page.near(anchor.top, anchor.bottom) if right[w] >= threshold and held["id"][w] not in own]
+    ids = held["id"]
+    own = {ids[w] for w in anchor.words}
+    every = anchor.words + [w for w in page.near(anchor.top, anchor.bottom) if right[w] >= threshold and ids[w] not in own]
     found = []
     if chosen:
         least, most = bounds(chosen, other, anchor_right, anchor.right)
@@ -102,3 +108,17 @@ def cluster_rows(words: DataFrame) -> DataFrame:
     word = F.struct("top", "left", "pos", strip(F.col("text")).alias("text"))
     grouped = numbered.groupBy("doc_id", "page", "island").agg(F.array_sort(F.collect_list(word)).alias("words"), F.min("left").alias("left"), F.max("right").alias("right"))
     return grouped.select("doc_id", "page", F.col("island").cast("int").alias("cluster"), F.array_join("words.text", " ").alias("text"), "left", "right")
+
+
+CLUSTERS = "doc_id string, page int, cluster int, text string, left int, right int"
+
+
+def whole_clusters(documents: DataFrame) -> DataFrame:
+    """What cluster_rows tells, of documents that come whole."""
+    schema = arrow(CLUSTERS)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, lot, _ in whole(batches, every=True):
+            yield as_batch(lot, islands(lot), schema)
+
+    return rows_of(documents).mapInArrow(read, CLUSTERS)

@@ -39,7 +39,7 @@ class YearColumn(NamedTuple):
     top: int
     right: int
     bottom: int
-    text: str
+    text: str | None
 
 
 def heads_a_column(text: str, its_token: str) -> bool:
@@ -67,21 +67,22 @@ def dates_of(year: int) -> dict[str, str]:
     return {"current": str(year), "previous": str(year - 1)} if year >= LEAST_YEAR else {}
 
 
-def year_column(label: str, page: int, year: int, bands: list[Band], lot: Lot, numbers: list[tuple[int, str]]) -> YearColumn | None:
+def year_column(label: str, page: int, year: int, bands: list[Band], lot: Lot, numbers: list[tuple[int, str]], texts: bool = True) -> YearColumn | None:
     """The column of one label on a page: its header in words, or the year's number, whichever is higher.
 
-    bands are those that can hold a header, numbers the page's words with four lone digits, and the text of their lines."""
+    bands are those that can hold a header, numbers the page's words with four lone digits, and the text of their lines. The text of
+    a header's band is told if `texts`."""
     number = dates_of(year).get(label)
     left, top, right, bottom = (lot.held[c] for c in ("left", "top", "right", "bottom"))
     by_tokens = []
+    spelt = [*SPELT[label], [number]] if number else SPELT[label]
     for band in bands:
-        named = [w for w in band.in_order if lot.tokens[w]]
-        names = [lot.tokens[w] for w in named]
-        for wanted in [*SPELT[label], *([[number]] if number else [])]:
+        named, names = band.named
+        for wanted in spelt:
             at = run_at(names, wanted)
             if at is not None:
                 own = named[at : at + len(wanted)]
-                by_tokens.append(YearColumn(page, label, min(left[w] for w in own), min(top[w] for w in own), max(right[w] for w in own), max(bottom[w] for w in own), band.text))
+                by_tokens.append(YearColumn(page, label, min([left[w] for w in own]), min([top[w] for w in own]), max([right[w] for w in own]), max([bottom[w] for w in own]), band.text if texts else None))
                 break
     header = topmost(by_tokens) or topmost(YearColumn(page, label, *b.box, b.text) for b in bands if PATTERNS[label].search(b.text))
     in_lines = [YearColumn(page, label, left[w], top[w], right[w], bottom[w], text) for w, text in numbers if number and lot.year_digits[w] == number]
@@ -92,7 +93,7 @@ def code_column(page: int, bands: list[Band], lot: Lot) -> YearColumn | None:
     """The column of row codes: a band with its header's token, or its three letters one below the other."""
 
     def holds(band: Band) -> bool:
-        names = [t for t in [lot.tokens[w] for w in band.in_order] if t]
+        _, names = band.named
         stacked = ["".join(names[i : i + 3]) for i in range(len(names)) if len(names[i]) == 1 and all([len(t) == 1 for t in names[i : i + 3]])]
         return not frozenset(CODE_COLUMN_TOKENS).isdisjoint([*names, *stacked])
 

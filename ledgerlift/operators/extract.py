@@ -15,15 +15,15 @@ from pyspark.sql import functions as F
 
 from ..functions.messages import MESSAGES
 from ..functions.numeric import parse_with
-from ..functions.text import bind
+from ..functions.text import bind, standalone_years
 from ..functions.vocabulary import FIELDS, ROW_PATTERNS, Field
 from ..schemas import BOX, COLUMN, MESSAGE
 from .anchors import Page, anchors_of
 from .clusters import locate
 from .columns import Carried, chosen_of, code_column, dates_of, heads_a_column, reference_years, select_column, year_column
-from .flat import NUMERIC, Band, Lot, bands_of_pages, fold, lone_digits, lots, token
+from .flat import NUMERIC, Band, Lot, bands_of_pages, fold, lone_digits, lots, token, whole
 from .labels import Labels, labels_of
-from .pages import typed
+from .pages import arrow, rows_of, typed
 
 NO_MESSAGES = f"array<{MESSAGE}>"
 #: What is told of a document and a field.
@@ -34,7 +34,9 @@ RESULT = (
 YEAR_COLUMNS = f"struct<current:{COLUMN},previous:{COLUMN}>"
 #: Columns that hold on a page, and what stands next to a label on it.
 FEATURES = f"doc_id string, page int, columns {YEAR_COLUMNS}, codes {COLUMN}"
-FOUND = f"doc_id string, page int, columns {YEAR_COLUMNS}, field string, a struct<tier:int,ord:int,text:string,left:int,top:int,right:int,bottom:int>, candidates array<string>, clusters array<string>"
+ANCHOR = "struct<tier:int,ord:int,text:string,left:int,top:int,right:int,bottom:int>"
+NEXT_TO = f"array<struct<page:int,columns:{YEAR_COLUMNS},a:{ANCHOR},candidates:array<string>,clusters:array<string>>>"
+FOUND = f"doc_id string, page int, columns {YEAR_COLUMNS}, field string, a {ANCHOR}, candidates array<string>, clusters array<string>"
 
 
 def message(code: str, text: Column | str, **context: Column) -> Column:
@@ -57,7 +59,7 @@ def prepared(lot: Lot, labels: Labels) -> tuple[list[tuple[set[str], set[str]]],
     """What is told from the texts of a lot's words and lines: labels of each line, and the lines' text. Labels are looked for once."""
     lot.clean, lot.numeric, lot.year_digits = lot.told(str.strip), lot.told(lambda t: bool(NUMERIC.search(t))), lot.told(lone_digits)
     tokens = [token(t) for t in lot.texts]
-    lot.tokens = [tokens[c] for c in lot.code.tolist()]
+    lot.tokens = lot.each(tokens)
     lot.partial = lot.told(lambda t: bool(labels.part.search(fold(t).lower())))
     lot.heads = np.fromiter(map(heads_a_column, lot.texts, tokens), bool, len(tokens))[lot.code]
     lot.starts = lot.line_start.tolist()
@@ -66,21 +68,27 @@ def prepared(lot: Lot, labels: Labels) -> tuple[list[tuple[set[str], set[str]]],
     return [labels.found(line, fold(line)) for line in lines], lines
 
 
-def pages_of_lot(lot: Lot, carried: Carried, labels: Labels) -> Iterator[tuple[int, Page, dict | None, tuple | None]]:
-    """(number, page, columns, codes) of each page of a lot; pages without a word of any header or label have no need of bands."""
+def pages_of_lot(lot: Lot, carried: Carried, labels: Labels, texts: bool = True) -> Iterator[tuple[int, Page, dict | None, tuple | None]]:
+    """(number, page, columns, codes) of each page of a lot; pages without a word of any header or label have no need of bands, nor
+    has any one of bands that hold none. Texts of columns are told if `texts`."""
     told, lines = prepared(lot, labels)
-    starts, page_line = lot.page_start.tolist(), lot.page_line.tolist()
+    starts, page_line, tokens = lot.page_start.tolist(), lot.page_line.tolist(), lot.tokens
     wanted = np.maximum.reduceat(lot.heads, lot.page_start[:-1])
+    telling = lot.heads | np.fromiter(lot.partial, bool, len(lot.partial))
     dates = []
     for page, year in enumerate(lot.years):
-        dates.append(set(dates_of(year).values()))
-        wanted[page] = wanted[page] or any([possible for _, possible in told[page_line[page] : page_line[page + 1]]]) or not dates[-1].isdisjoint(lot.tokens[starts[page] : starts[page + 1]])
-    bands, heads, line_of = bands_of_pages(lot, wanted), lot.heads.tolist(), lot.line.tolist()
+        dates.append(frozenset(dates_of(year).values()))
+        if dates[-1] and not dates[-1].isdisjoint(tokens[starts[page] : starts[page + 1]]):
+            wanted[page] = True
+            telling[[w for w in range(starts[page], starts[page + 1]) if tokens[w] in dates[-1]]] = True
+        elif not wanted[page]:
+            wanted[page] = any([possible for _, possible in told[page_line[page] : page_line[page + 1]]])
+    bands, heads, line_of = bands_of_pages(lot, wanted, telling), lot.heads.tolist(), lot.line.tolist()
     for page, (doc_id, number, year) in enumerate(zip(lot.doc_ids, lot.page_numbers, lot.years, strict=True)):
         own: list[Band] = bands.get(page, [])
-        headed = [b for b in own if any([heads[w] or lot.tokens[w] in dates[page] for w in b.words])]
-        dated = [(w, lines[line_of[w]]) for w in range(starts[page], starts[page + 1]) if lot.year_digits[w] in dates[page]]
-        columns = {label: year_column(label, number, year, headed, lot, dated) for label in ("current", "previous")}
+        headed = [b for b in own if any([heads[w] or tokens[w] in dates[page] for w in b.words])]
+        dated = [(w, lines[line_of[w]]) for w in range(starts[page], starts[page + 1]) if lot.year_digits[w] in dates[page]] if dates[page] else []
+        columns = {label: year_column(label, number, year, headed, lot, dated, texts) for label in ("current", "previous")}
         on_page, codes = carried.on(doc_id, columns, code_column(number, headed, lot))
         yield page, Page(lot, page, own, told[page_line[page] : page_line[page + 1]]), on_page, codes
 
@@ -89,13 +97,6 @@ def as_rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-def arrow(ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(ddl))
-
-
 def page_features(words: DataFrame, pages: DataFrame, as_of_year: int) -> DataFrame:
     """doc_id, page, columns and codes of every page with words: the columns that hold on it, its own ones or carried forward."""
     schema = arrow(FEATURES)
@@ -108,6 +109,108 @@ def page_features(words: DataFrame, pages: DataFrame, as_of_year: int) -> DataFr
     return page_words(words, pages, as_of_year).mapInArrow(read, FEATURES)
 
 
+def dated(documents: DataFrame, as_of_year: int) -> DataFrame:
+    """rows_of with the year of each document, as reference_years tells it."""
+    years = standalone_years(F.array_join("pages.text", "\n"))
+    return rows_of(documents, (F.size("pages") > 0).alias("paged"), F.coalesce(F.array_max(years), F.lit(as_of_year)).alias("year"))
+
+
+def structs(values: list[tuple | None], kind: pa.StructType) -> pa.StructArray:
+    """Tuples as structs; what is itself a struct is a tuple too."""
+    none = (None,) * kind.num_fields
+    columns = list(zip(*[none if v is None else v for v in values], strict=True)) or [()] * kind.num_fields
+    arrays = [structs(c, f.type) if pa.types.is_struct(f.type) else pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)]
+    return pa.StructArray.from_arrays(arrays, fields=list(kind), mask=pa.array([v is None for v in values], pa.bool_()))
+
+
+def pair(columns: dict | None) -> tuple | None:
+    return columns and (columns["current"], columns["previous"])
+
+
+def whole_features(documents: DataFrame, as_of_year: int) -> DataFrame:
+    """What page_features tells, of documents that come whole."""
+    schema = arrow(FEATURES)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried, labels = Carried(), labels_of(())
+        for _, lot, _ in whole(batches):
+            told = [(pair(columns), codes) for _, _, columns, codes in pages_of_lot(lot, carried, labels)]
+            ids = [pa.array(lot.doc_ids, pa.string()), pa.array(lot.page_numbers, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*ids, *[structs([t[i] for t in told], schema.field(2 + i).type) for i in (0, 1)]], schema=schema)
+
+    return dated(documents, as_of_year).mapInArrow(read, FEATURES)
+
+
+def whole_labelled(documents: DataFrame, anchors: dict[str, str], as_of_year: int, preferred: str) -> DataFrame:
+    """doc_id, paged (whether it has pages) and for each field (by name, with its anchor) what labelled tells but the texts of columns, of documents that come whole."""
+    ddl = "doc_id string, paged boolean" + "".join(f", {field} {NEXT_TO}" for field in anchors)
+    schema, keys = arrow(ddl), tuple(sorted(set(anchors.values())))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried, labels = Carried(), labels_of(keys)
+        for rows, lot, row_of in whole(batches, empty=True):
+            found: dict[str, list[tuple]] = {field: [] for field in anchors}
+            counts = {field: np.zeros(rows.num_rows, dtype=np.int32) for field in anchors}
+            for n, page, columns, codes in pages_of_lot(lot, carried, labels, False) if lot else ():
+                chosen, other = chosen_of(columns, preferred)
+                for field, key in anchors.items():
+                    for a in anchors_of(page, key, labels):
+                        told = a.tier, a.ord, a.text, a.left, a.top, a.right, a.bottom
+                        found[field].append((lot.page_numbers[n], pair(columns), told, *locate(page, a, chosen, other, codes)))
+                        counts[field][row_of[n]] += 1
+            lists = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts[f])), pa.int32()), structs(found[f], schema.field(f).type.value_type), type=schema.field(f).type) for f in anchors]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("paged"), *lists], schema=schema)
+
+    return dated(documents, as_of_year).mapInArrow(read, ddl)
+
+
+def whole_results(documents: DataFrame, fields: list[Field], as_of_year: int, preferred: str = "current") -> DataFrame:
+    """doc_id and a column for each field (by name) with its result: what read_fields tells, of documents that come whole.
+
+    All that is told of a document stands in its row, in order of pages and anchors, so rows meet nowhere."""
+    none = F.array().cast(NO_MESSAGES)
+    defined = {f.key: f.anchor for f in fields if f.anchor in ROW_PATTERNS}
+    rows = whole_labelled(documents, defined, as_of_year, preferred)
+
+    def told(field: Field) -> Column:
+        least, most = (F.lit(v).cast("bigint") for v in (field.min_value, field.max_value))
+
+        def one(f: Column) -> Column:
+            seen = lambda chosen: F.struct(f["page"].alias("page"), f["a"]["text"].alias("text"), box_of(f["a"]).alias("box"), chosen["column"].alias("column"), outcome(f["a"], f["page"], chosen, f, least, most).alias("told"))
+            return bind(select_column(f["columns"], preferred), seen)
+
+        return F.transform(field.key, one)
+
+    def result(field: Field) -> Column:
+        last = lambda c: F.get(c, F.size(c) - 1)
+        found = F.col(field.key) if field.key in defined else F.lit(None)
+        absent = message("anchor_not_found", MESSAGES["anchor_not_found"], anchor_key=F.lit(field.anchor)) if field.key in defined else message("anchor_definition_missing", MESSAGES["anchor_definition_missing"], anchor_key=F.lit(field.anchor))
+        absent = F.array(F.when(~F.col("paged"), message("no_pages", MESSAGES["no_pages"])).otherwise(absent)).cast(NO_MESSAGES)
+        nulls = dict.fromkeys(("value", "raw_text", "normalized_text", "page_number", "anchor_text", "anchor_bbox", "column_label", "column_bbox"), F.lit(None))
+        failed = lambda **known: F.struct(*[v.alias(k) for k, v in (nulls | known | {"warnings": none}).items() if k != "errors" and k != "warnings"], known["errors"].alias("errors"), none.alias("warnings")).cast(RESULT)
+        if field.key not in defined:
+            return failed(errors=absent).alias(field.key)
+        end, column = last(found), last(F.filter(found, lambda t: t["column"].isNotNull()))["column"]
+        errors = F.flatten(F.transform(found, lambda t: t["told"]["errors"]))
+        seen = failed(page_number=end["page"], anchor_text=end["text"], anchor_bbox=end["box"], column_label=column["label"], column_bbox=box_of(column), errors=F.when(F.size(found) > 0, errors).otherwise(absent))
+        # The first success wins and discards the errors before it; else all errors count, in order, with the last anchor and column seen.
+        best = F.get(F.filter(found, lambda t: t["told"]["success"].isNotNull()), 0)["told"]["success"]
+        return F.coalesce(best, seen).alias(field.key)
+
+    return rows.withColumns({f.key: told(f) for f in fields if f.key in defined}).select("doc_id", *[result(f) for f in fields])
+
+
+def in_rows(wide: DataFrame, results: dict[str, Column]) -> DataFrame:
+    """doc_id, field and result: a row for each."""
+    listed = F.array(*[F.struct(F.lit(n).alias("field"), c.alias("result")) for n, c in results.items()])
+    return wide.select("doc_id", F.explode(listed).alias("r")).select("doc_id", "r.field", "r.result")
+
+
+def whole_fields(documents: DataFrame, fields: list[Field], as_of_year: int, preferred: str = "current") -> DataFrame:
+    """doc_id, field and result of every document and field."""
+    return in_rows(whole_results(documents, fields, as_of_year, preferred), {f.key: F.col(f.key) for f in fields})
+
+
 def dict_of(row: tuple | None) -> dict | None:
     return None if row is None else row._asdict()
 
@@ -237,6 +340,13 @@ def extract(words: DataFrame, pages: DataFrame, documents: DataFrame, as_of_year
     """doc_id, field (revenue, assets or capital_loss) and result of every document."""
     read = read_fields(page_words(words, pages, as_of_year), documents, pages, list(FIELDS.values()), preferred)
     wide = read.groupBy("doc_id").pivot("field", list(FIELDS)).agg(F.first("result"))
-    derived = loss_above_capital(F.col("capital"), F.col("loss_row"))
-    results = F.array(*[F.struct(F.lit(n).alias("field"), c.alias("result")) for n, c in (("revenue", F.col("revenue")), ("assets", F.col("assets")), ("capital_loss", derived))])
-    return wide.select("doc_id", F.explode(results).alias("r")).select("doc_id", "r.field", "r.result")
+    return three(wide)
+
+
+def three(wide: DataFrame) -> DataFrame:
+    return in_rows(wide, {"revenue": F.col("revenue"), "assets": F.col("assets"), "capital_loss": loss_above_capital(F.col("capital"), F.col("loss_row"))})
+
+
+def whole_extract(documents: DataFrame, as_of_year: int, preferred: str = "current") -> DataFrame:
+    """What extract tells, of documents that come whole."""
+    return three(whole_results(documents, list(FIELDS.values()), as_of_year, preferred))

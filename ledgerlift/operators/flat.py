@@ -6,6 +6,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from functools import cached_property
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,8 @@ import pyarrow.compute as pc
 
 from ..functions.text import CYRILLIC, LATIN
 
+#: Blanks as functions.text knows them.
+BLANK = re.compile(r"[\s\u001C-\u001F]*")
 #: Words of a lot; a page is never cut.
 LOT = 100_000
 SLACK_LEAST, SLACK_MOST = 12, 60
@@ -39,22 +42,34 @@ def lone_digits(text: str) -> str:
     return found.group(1) if found else ""
 
 
+class Pages(NamedTuple):
+    """The pages of a lot: page (from 0) of each word, and id, number and year of each page."""
+
+    of_words: np.ndarray
+    doc_ids: list[str]
+    numbers: list[int]
+    years: list[int | None]
+
+
+def pages_of_words(words: pa.Table) -> Pages:
+    same = lambda name: pc.equal(words.column(name).slice(1), words.column(name).slice(0, words.num_rows - 1)).combine_chunks()
+    new = np.ones(words.num_rows, dtype=bool)
+    new[1:] = ~pc.and_(same("doc_id"), same("page")).to_numpy(zero_copy_only=False)
+    first = pa.array(np.flatnonzero(new))
+    taken = lambda name: words.column(name).take(first).to_pylist()
+    return Pages(np.cumsum(new) - 1, taken("doc_id"), taken("page"), taken("year") if "year" in words.column_names else [None] * len(first))
+
+
 class Lot:
     """Words of whole pages, by page, line (in order of first appearance) and left edge; and the lines.
 
     Arrays over words: page (number in the lot), line (number in the lot), row (place of the line's first word), id, left, top, right,
     bottom, height, code (number of the text). `texts` has each different text once; what is told from a text is told once."""
 
-    def __init__(self, words: pa.Table):
+    def __init__(self, words: pa.Table, pages: Pages | None = None):
+        """words: by page; pages tells which page each word is of, if the words do not."""
+        page, self.doc_ids, self.page_numbers, self.years = pages or pages_of_words(words)
         column = lambda name: words.column(name).to_numpy()
-        same = lambda name: pc.equal(words.column(name).slice(1), words.column(name).slice(0, words.num_rows - 1)).combine_chunks()
-        new = np.ones(words.num_rows, dtype=bool)
-        new[1:] = ~pc.and_(same("doc_id"), same("page")).to_numpy(zero_copy_only=False)
-        first = np.flatnonzero(new)
-        page = np.cumsum(new) - 1
-        self.doc_ids = words.column("doc_id").take(pa.array(first)).to_pylist()
-        self.page_numbers = words.column("page").take(pa.array(first)).to_pylist()
-        self.years = words.column("year").take(pa.array(first)).to_pylist() if "year" in words.column_names else [None] * len(first)
         # Lines, and words in each by left edge.
         block, par, line, left, pos = (column(c) for c in ("block", "par", "line", "left", "pos"))
         order = np.lexsort((pos, left, line, par, block, page))
@@ -70,6 +85,7 @@ class Lot:
         by_line = np.argsort(rank[segment], kind="stable")
         order, self.line, self.row = order[by_line], rank[segment][by_line], row[segment][by_line]
         self.page, self.id = page[order], pos[order]
+        self.place = {"block": block[order], "par": par[order], "line": line[order]}
         self.left, self.top, self.right, self.bottom, self.height = (column(c)[order].astype(np.int64) for c in ("left", "top", "right", "bottom", "height"))
         coded = words.column("text").combine_chunks().dictionary_encode()
         coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
@@ -77,16 +93,29 @@ class Lot:
         self.code = coded.indices.to_numpy()[order]
         self.line_start = np.append(np.flatnonzero(np.diff(self.line, prepend=-1)), len(order))
         line_page = self.page[self.line_start[:-1]]
-        self.page_line = np.searchsorted(line_page, np.arange(len(first) + 1))
+        self.page_line = np.searchsorted(line_page, np.arange(len(self.doc_ids) + 1))
         self.page_start = np.append(np.flatnonzero(np.diff(self.page, prepend=-1)), len(order))
-        #: The same as lists, for what is looked at word by word.
-        self.held = {c: getattr(self, c).tolist() for c in ("row", "id", "left", "top", "right", "bottom", "height")}
-        self.word_texts = self.told(str)
+
+    @cached_property
+    def held(self) -> dict[str, list[int]]:
+        """The arrays as lists, for what is looked at word by word."""
+        return {c: getattr(self, c).tolist() for c in ("row", "id", "left", "top", "right", "bottom", "height")}
+
+    @cached_property
+    def word_texts(self) -> list[str]:
+        return self.told(str)
 
     def told(self, f: Callable[[str], object]) -> list:
         """f of every word's text."""
-        each = [f(t) for t in self.texts]
-        return [each[c] for c in self.code.tolist()]
+        return self.each([f(t) for t in self.texts])
+
+    def each(self, values: list) -> list:
+        """Of values of the texts, the value of every word's text."""
+        return [values[c] for c in self.codes]
+
+    @cached_property
+    def codes(self) -> list[int]:
+        return self.code.tolist()
 
     def line_boxes(self) -> tuple[list[int], list[int]]:
         """Top and bottom of each line."""
@@ -147,7 +176,14 @@ class Band:
     def in_order(self) -> list[int]:
         """Its words by top and left."""
         top, left, row, place = (self.lot.held[c] for c in ("top", "left", "row", "id"))
-        return sorted(self.words, key=lambda w: (top[w], left[w], row[w], place[w]))
+        return [w for *_, w in sorted([(top[w], left[w], row[w], place[w], w) for w in self.words])]
+
+    @cached_property
+    def named(self) -> tuple[list[int], list[str]]:
+        """Its words with a token, in order, and their tokens."""
+        tokens = self.lot.tokens
+        named = [w for w in self.in_order if tokens[w]]
+        return named, [tokens[w] for w in named]
 
     @property
     def rows(self) -> list[int]:
@@ -155,14 +191,24 @@ class Band:
         return list(dict.fromkeys([self.lot.held["row"][w] for w in self.in_order]))
 
 
-def bands_of_pages(lot: Lot, wanted: np.ndarray) -> dict[int, list[Band]]:
-    """The bands of the wanted pages (booleans), by left edge."""
-    slots, out = lot.slots().tolist(), {}
+def bands_of_pages(lot: Lot, wanted: np.ndarray, telling: np.ndarray | None = None) -> dict[int, list[Band]]:
+    """The bands of the wanted pages (booleans), by left edge; if `telling` (of each word), of them those with such a word alone."""
+    slots, out = lot.slots(), {}
+    if telling is not None:
+        by_band = lot.page * (int(slots.max(initial=0)) + 1) + slots
+        held = np.zeros(int(by_band.max(initial=0)) + 1, dtype=bool)
+        held[by_band[telling]] = True
+        telling = held[by_band].tolist()
+    slots, starts = slots.tolist(), lot.page_start.tolist()
     for page in np.flatnonzero(wanted).tolist():
-        held: dict[int, list[int]] = {}
-        for w in range(lot.page_start[page], lot.page_start[page + 1]):
-            held.setdefault(slots[w], []).append(w)
-        out[page] = sorted((Band(lot, slot, words) for slot, words in held.items()), key=lambda b: (b.left, b.slot))
+        own: dict[int, list[int]] = {}
+        for w in range(starts[page], starts[page + 1]):
+            if telling is None or telling[w]:
+                if (slot := slots[w]) in own:
+                    own[slot].append(w)
+                else:
+                    own[slot] = [w]
+        out[page] = sorted([Band(lot, slot, words) for slot, words in own.items()], key=lambda b: (b.left, b.slot))
     return out
 
 
@@ -184,3 +230,108 @@ def lots(batches: Iterator[pa.RecordBatch], size: int = LOT) -> Iterator[Lot]:
             held, total = words.slice(cut).to_batches(), words.num_rows - cut
     if total:
         yield Lot(pa.Table.from_batches(held))
+
+
+def whole(batches: Iterator[pa.RecordBatch], size: int = LOT, every: bool = False, empty: bool = False) -> Iterator[tuple[pa.RecordBatch, Lot | None, np.ndarray]]:
+    """Lots of documents that come whole, one in a row (pages.rows_of): the rows, their lot (of all pages with words) and each page's row.
+
+    Rows are kept together as long as they have `size` words. Words are kept as pages.typed does, or `every` one. Rows
+    without any word are left out, or if `empty` come without a lot."""
+    for batch in batches:
+        words_to = np.append(0, np.cumsum(pc.list_value_length(batch.column("words").values).fill_null(0).to_numpy()))[batch.column("words").offsets.to_numpy()]
+        start = 0
+        while start < batch.num_rows:
+            end = max(int(np.searchsorted(words_to, words_to[start] + size, side="right")) - 1, start + 1)
+            rows = batch.slice(start, end - start)
+            lot, row_of = lot_of_rows(rows, every)
+            if lot or empty:
+                yield rows, lot, row_of
+            start = end
+
+
+def lot_of_rows(rows: pa.RecordBatch, every: bool) -> tuple[Lot | None, np.ndarray]:
+    pages, row = rows.column("words").flatten(), pc.list_parent_indices(rows.column("words")).to_numpy()
+    each, page, of_page = pages.flatten(), pc.list_parent_indices(pages).to_numpy(), pc.list_value_length(pages).fill_null(0).to_numpy()
+    held = dict(zip([f.name for f in each.type], each.flatten(), strict=True))
+    held["pos"] = pa.array(np.arange(len(page)) - np.repeat(np.cumsum(of_page) - of_page, of_page))
+    if not every:
+        texts = held["text"].dictionary_encode()
+        words = pa.array([t is not None and not BLANK.fullmatch(t) for t in texts.dictionary.to_pylist()], pa.bool_()).take(texts.indices)
+        kept = pc.and_(words, pc.equal(held["level"], 5)).fill_null(False)
+        if not pc.all(kept).as_py():
+            held, page = {k: v.filter(kept) for k, v in held.items()}, page[kept.to_numpy(zero_copy_only=False)]
+    if not len(page):
+        return None, page
+    number = lambda name: held[name].fill_null(0).to_numpy(zero_copy_only=False)
+    placed = {c: number(c) for c in ("pos", "block", "par", "line", "left", "top", "height")}
+    table = pa.table({"text": held["text"].fill_null("")} | placed | {"right": placed["left"] + number("width"), "bottom": placed["top"] + placed["height"]})
+    starts = np.diff(page, prepend=-1) != 0
+    on = pa.array(page[starts])
+    of = pa.array(row[page[starts]])
+    years = rows.column("year").take(of).to_pylist() if "year" in rows.schema.names else [None] * len(of)
+    told = Pages(np.cumsum(starts) - 1, rows.column("doc_id").take(of).to_pylist(), rows.column("page").flatten().take(on).to_pylist(), years)
+    return Lot(table, told), row[page[starts]]
+
+
+def joined(texts: pa.Array, starts: np.ndarray, between: str) -> pa.Array:
+    """Runs of texts, each from a start to the next, as one text."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), texts), between)
+
+
+def band_rows(lot: Lot) -> tuple[np.ndarray, pa.StructArray]:
+    """The bands of all pages at once, as bands_of_pages tells them: each page's first one (and the end), and box and text of each."""
+    slot = lot.slots()
+    by_slot = np.lexsort((lot.line, slot, lot.page))
+    page, slot, line = (a[by_slot] for a in (lot.page, slot, lot.line))
+    new_band = (np.diff(page, prepend=-1) != 0) | (np.diff(slot, prepend=-1) != 0)
+    new_line = new_band | (np.diff(line, prepend=-1) != 0)
+    lines, bands = np.flatnonzero(new_line), np.flatnonzero(new_band)
+    line_of, band_of = np.cumsum(new_line) - 1, np.cumsum(new_band) - 1
+    left, top, right, bottom = (a[by_slot] for a in (lot.left, lot.top, lot.right, lot.bottom))
+    band_left, line_top = np.minimum.reduceat(left, bands), np.minimum.reduceat(top, lines)
+    # Bands by left edge, their lines by top and left, words by left.
+    order = np.lexsort((line_of, lot.row[by_slot], left[lines][line_of], line_top[line_of], band_of, band_left[band_of], page))
+    line_start = np.append(np.flatnonzero(np.diff(line_of[order], prepend=-1)), len(order))
+    by_band = band_of[order]
+    band_start = np.flatnonzero(np.diff(by_band, prepend=-1))
+    told = by_band[band_start]
+    texts = joined(pa.array(lot.texts, pa.string()).take(pa.array(lot.code[by_slot][order])), line_start, " ")
+    texts = [t.strip() for t in joined(texts, np.searchsorted(line_start, np.append(band_start, len(order))), "\n").to_pylist()]
+    box = [band_left, np.minimum.reduceat(top, bands), np.maximum.reduceat(right, bands), np.maximum.reduceat(bottom, bands)]
+    rows = pa.StructArray.from_arrays([*[pa.array(b[told], pa.int32()) for b in box], pa.array(texts, pa.string())], ["left", "top", "right", "bottom", "text"])
+    return np.searchsorted(page[bands][told], np.arange(len(lot.doc_ids) + 1)), rows
+
+
+def line_rows(lot: Lot) -> dict[str, np.ndarray | pa.Array]:
+    """The lines of all pages, by page and first word: page (in the lot), block, par, line, row, text and box."""
+    begin = lot.line_start[:-1]
+    least, most = (lambda a: np.minimum.reduceat(a, begin)), (lambda a: np.maximum.reduceat(a, begin))
+    texts = joined(pa.array(lot.texts, pa.string()).take(pa.array(lot.code)), lot.line_start, " ")
+    return {"at": lot.page[begin], **{k: v[begin] for k, v in lot.place.items()}, "row": lot.row[begin], "text": texts, "left": least(lot.left), "top": least(lot.top), "right": most(lot.right), "bottom": most(lot.bottom)}
+
+
+def cluster_rows(lot: Lot) -> dict[str, np.ndarray | pa.Array]:
+    """The numeric clusters of all pages: page (in the lot), cluster (from 1), text, left and right.
+
+    A number-like word starts a new one after another kind of word, a wide gap, or in another row."""
+    order = np.lexsort((lot.id, lot.left, lot.top, lot.page))
+    page, left, right, top, height = (a[order] for a in (lot.page, lot.left, lot.right, lot.top, lot.height))
+    numeric = np.fromiter([bool(NUMERIC.search(t)) for t in lot.texts], bool, len(lot.texts))[lot.code[order]]
+    high = np.maximum(height[1:], height[:-1])
+    apart = (left[1:] - right[:-1] > np.maximum(15, np.floor(np.maximum(high, 1) * 1.5).astype(np.int64))) | (np.abs(np.diff(top)) > high)
+    new = numeric.copy()
+    new[1:] &= ~numeric[:-1] | (np.diff(page) != 0) | apart
+    at = np.flatnonzero(numeric)
+    start = np.flatnonzero(new[at])
+    clean = pa.array([t.strip() for t in lot.texts], pa.string()).take(pa.array(lot.code[order][at]))
+    on = page[at][start]
+    number = np.arange(len(start)) - np.searchsorted(on, on) + 1
+    low, far = (np.minimum.reduceat(left[at], start), np.maximum.reduceat(right[at], start)) if len(start) else (start, start)
+    return {"at": on, "cluster": number, "text": joined(clean, np.append(start, len(at)), " "), "left": low, "right": far}
+
+
+def as_batch(lot: Lot, rows: dict[str, np.ndarray | pa.Array], schema: pa.Schema) -> pa.RecordBatch:
+    """Rows of the pages of a lot, with id and number of their page."""
+    at = pa.array(rows["at"])
+    told = rows | {"doc_id": pa.array(lot.doc_ids, pa.string()).take(at), "page": pa.array(lot.page_numbers, pa.int32()).take(at)}
+    return pa.RecordBatch.from_arrays([told[f.name].cast(f.type) if isinstance(told[f.name], pa.Array) else pa.array(told[f.name], f.type) for f in schema], schema=schema)

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import has_text
-from .flat import bands_of_pages, lots
+from .flat import Lot, as_batch, band_rows, line_rows, lots, whole
 
+LINES = "doc_id string, page int, block int, par int, line int, row int, left int, top int, right int, bottom int, text string"
 BANDS = "doc_id string, page int, bands array<struct<left:int,top:int,right:int,bottom:int,text:string>>"
 
 
@@ -32,20 +32,54 @@ def lines_of(words: DataFrame) -> DataFrame:
     return grouped.withColumn("text", F.array_join("words.text", " ")).drop("words")
 
 
+def rows_of(documents: DataFrame, *more: Column) -> DataFrame:
+    """Documents that come whole, as an OCR plug-in reads them (doc_id, pages in order, each with page and words in order), for tasks that
+    look at pages as flat arrays: a document is in one row, so nothing is shuffled or sorted, and a task holds a lot of rows at a time."""
+    return documents.select("doc_id", *more, F.col("pages.page").alias("page"), F.col("pages.words").alias("words"))
+
+
+def arrow(ddl: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+def whole_lines(documents: DataFrame) -> DataFrame:
+    """What lines_of tells, of documents that come whole."""
+    schema = arrow(LINES)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, lot, _ in whole(batches):
+            yield as_batch(lot, line_rows(lot), schema)
+
+    return rows_of(documents).mapInArrow(read, LINES)
+
+
+def banded(lot: Lot) -> pa.RecordBatch:
+    starts, bands = band_rows(lot)
+    return pa.RecordBatch.from_arrays([pa.array(lot.doc_ids, pa.string()), pa.array(lot.page_numbers, pa.int32()), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), bands)], ["doc_id", "page", "bands"])
+
+
 def bands_of(words: DataFrame) -> DataFrame:
     """One row per page with words: doc_id, page and its vertical bands, by left edge, each with box and text."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lot in lots(batches):
-            bands = bands_of_pages(lot, np.ones(len(lot.doc_ids), dtype=bool))
-            edges = ("left", "top", "right", "bottom")
-            told = [[dict(zip(edges, b.box, strict=True)) | {"text": b.text} for b in bands[n]] for n in range(len(lot.doc_ids))]
-            kind = pa.list_(pa.struct([(k, pa.int32()) for k in edges] + [("text", pa.string())]))
-            yield pa.RecordBatch.from_arrays([pa.array(lot.doc_ids, pa.string()), pa.array(lot.page_numbers, pa.int32()), pa.array(told, kind)], ["doc_id", "page", "bands"])
+        yield from map(banded, lots(batches))
 
     return typed(words).repartition("doc_id").sortWithinPartitions("doc_id", "page", "pos").mapInArrow(read, BANDS)
 
 
+def whole_bands(documents: DataFrame) -> DataFrame:
+    """The same of documents that come whole."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, lot, _ in whole(batches):
+            yield banded(lot)
+
+    return rows_of(documents).mapInArrow(read, BANDS)
+
+
 def first_lines(pages: DataFrame, n: int = 5) -> DataFrame:
     """doc_id, page, ord and text of the first n lines of each page's text."""
     lines = F.slice(F.split(F.coalesce("text", F.lit("")), "\r\n|\r|\n"), 1, n)

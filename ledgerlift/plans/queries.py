@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numeric, text
@@ -87,20 +87,17 @@ def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("mb_key", "form_type", *[F.col(c).cast("long").alias(c) for c in ("n", "ord", "place")], "path")
 
 
-def _statement(spark: SparkSession, sf_dir: str, where: str = "true") -> tuple[DataFrame, DataFrame]:
-    docs = orders(spark, sf_dir).where(where)
-    return docs, st.statement_words(docs)
+def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return st.statements(orders(spark, sf_dir))
 
 
 def lines_from_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, words = _statement(spark, sf_dir)
-    lines = pages.lines_of(words.repartition("doc_id"))
+    lines = pages.whole_lines(_statements(spark, sf_dir))
     return lines.select(F.col("doc_id").cast("long").alias("key"), F.col("line").cast("long").alias("line"), "text", *[F.col(c).cast("long").alias(f"box_{c}") for c in ("left", "top", "right", "bottom")])
 
 
 def page_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, words = _statement(spark, sf_dir)
-    found = confidence.page_confidence(words)
+    found = confidence.page_confidence(st.words_of(_statements(spark, sf_dir)))
     return found.select(F.col("doc_id").cast("long").alias("key"), "page", F.round("confidence", 6).alias("confidence"))
 
 
@@ -112,20 +109,17 @@ def doc_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numeric_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, words = _statement(spark, sf_dir)
-    found = clusters.cluster_rows(words.repartition("doc_id"))
+    found = clusters.whole_clusters(_statements(spark, sf_dir))
     return found.select(F.col("doc_id").cast("long").alias("key"), F.col("cluster").cast("long").alias("cluster"), "text", F.col("left").cast("long").alias("left"), F.col("right").cast("long").alias("right"))
 
 
 def column_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, words = _statement(spark, sf_dir)
-    banded = pages.bands_of(words).select("doc_id", F.posexplode("bands").alias("band", "b"))
+    banded = pages.whole_bands(_statements(spark, sf_dir)).select("doc_id", F.posexplode("bands").alias("band", "b"))
     return banded.select(F.col("doc_id").cast("long").alias("key"), F.col("band").cast("long").alias("band"), F.col("b.left").cast("long").alias("left"), F.col("b.right").cast("long").alias("right"), F.col("b.text").alias("text"))
 
 
 def year_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, words = _statement(spark, sf_dir)
-    found = extract.page_features(words, st.pages_text(words), st.AS_OF)
+    found = extract.whole_features(_statements(spark, sf_dir), st.AS_OF)
     return found.select(F.col("doc_id").cast("long").alias("key"), *[F.col(f"columns.{c}.{e}").cast("long").alias(f"{c}_{e}") for c in ("current", "previous") for e in ("left", "right", "top")])
 
 
@@ -133,54 +127,51 @@ def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three pages, headers on the first and, for even keys, on the third."""
     docs = orders(spark, sf_dir)
     late = F.when(F.col("key") % 2 == 0, "Текућа година").otherwise("ништа овде")
-    words = st.words_of(docs, [st.headers()], [st.line(1, 40, (st.LABEL, "само текст"))], [st.line(1, 80, (st.CURRENT + 8, late))])
-    found = extract.page_features(words, st.pages_text(words), st.AS_OF)
+    whole = st.documents_of(docs, [st.headers()], [st.line(1, 40, (st.LABEL, "само текст"))], [st.line(1, 80, (st.CURRENT + 8, late))])
+    found = extract.whole_features(whole, st.AS_OF)
     return found.select(F.col("doc_id").cast("long").alias("key"), F.col("page").cast("long").alias("page"), F.col("columns.current.left").cast("long").alias("current_left"), F.col("columns.current.page").cast("long").alias("from_page"), F.col("columns.previous").isNull().alias("no_previous"))
 
 
-def _field(docs: DataFrame, words: DataFrame, *fields: str) -> DataFrame:
-    paged = st.pages_text(words)
-    return extract.read_fields(extract.page_words(words, paged, st.AS_OF), docs.select("doc_id"), paged, [FIELDS[f] for f in fields])
+def _field(whole: DataFrame, *fields: str) -> DataFrame:
+    return extract.whole_fields(whole, [FIELDS[f] for f in fields], st.AS_OF)
 
 
-def _told(results: DataFrame, name: str = "value") -> DataFrame:
-    return results.select(F.col("doc_id").cast("long").alias("key"), F.col("result.value").alias(name), F.col("result.raw_text").alias("raw_text"), F.col("result.column_label").alias("column_label"), F.size("result.errors").cast("long").alias("n_errors"))
+def _told(results: DataFrame, **more: Column) -> DataFrame:
+    told = [F.col(f"result.{c}").alias(c) for c in ("value", "raw_text", "column_label")]
+    return results.select(F.col("doc_id").cast("long").alias("key"), *told, F.size("result.errors").cast("long").alias("n_errors"), *[c.alias(k) for k, c in more.items()])
 
 
 def extract_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _told(_field(*_statement(spark, sf_dir), "revenue"))
+    return _told(_field(_statements(spark, sf_dir), "revenue"))
 
 
 def extract_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _told(_field(*_statement(spark, sf_dir), "assets"))
+    return _told(_field(_statements(spark, sf_dir), "assets"))
 
 
 def extract_capital_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, words = _statement(spark, sf_dir)
-    wide = _field(docs, words, "capital", "loss_row").groupBy("doc_id").pivot("field", ["capital", "loss_row"]).agg(F.first("result"))
-    found = wide.select("doc_id", extract.loss_above_capital(F.col("capital"), F.col("loss_row")).alias("result"))
+    found = extract.whole_results(_statements(spark, sf_dir), [FIELDS["capital"], FIELDS["loss_row"]], st.AS_OF).select("doc_id", extract.loss_above_capital(F.col("capital"), F.col("loss_row")).alias("result"))
     return found.select(F.col("doc_id").cast("long").alias("key"), F.col("result.value").alias("value"), F.size("result.warnings").cast("long").alias("n_warnings"), F.get("result.warnings", 0)["context"]["source"].alias("source"))
 
 
 def fallback_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = orders(spark, sf_dir)
     amount = F.col("amount").cast("string")
-    words = st.words_of(docs, [st.headers(current=False), st.line(2, 100, (st.LABEL, "Пословни приходи"), (st.PREVIOUS, amount))])
-    found = _field(docs, words, "revenue")
-    return _told(found).join(found.select(F.col("doc_id").cast("long").alias("key"), F.get("result.warnings", 0)["code"].alias("warning")), "key")
+    whole = st.documents_of(docs, [st.headers(current=False), st.line(2, 100, (st.LABEL, "Пословни приходи"), (st.PREVIOUS, amount))])
+    return _told(_field(whole, "revenue"), warning=F.get("result.warnings", 0)["code"])
 
 
 def aop_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = orders(spark, sf_dir)
-    words = st.words_of(docs, [st.line(1, 40, (st.CODE, "АОП"), (st.CURRENT, "Текућа година")), st.line(2, 160, (st.CODE, "1001"), (st.CURRENT, F.col("amount").cast("string")))])
-    return _told(_field(docs, words, "revenue"))
+    whole = st.documents_of(docs, [st.line(1, 40, (st.CODE, "АОП"), (st.CURRENT, "Текућа година")), st.line(2, 160, (st.CODE, "1001"), (st.CURRENT, F.col("amount").cast("string")))])
+    return _told(_field(whole, "revenue"))
 
 
 def multiline_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = orders(spark, sf_dir)
     label = [st.line(i, 80 + 40 * i, (st.LABEL + 2 * i, w)) for i, w in enumerate(("Губитак", "изнад", "висине"), 2)]
     last = st.line(5, 280, (st.LABEL, "капитала"), (st.CURRENT, F.col("amount").cast("string")))
-    return _told(_field(docs, st.words_of(docs, [st.headers(previous=False), *label, last]), "loss_row"))
+    return _told(_field(st.documents_of(docs, [st.headers(previous=False), *label, last]), "loss_row"))
 
 
 def _run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -189,8 +180,7 @@ def _run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     classified = index.classify(st.documents(docs))
     newest = index.latest(index.entries_of(classified))
     needed = docs.join(newest.select("doc_id").distinct(), "doc_id", "left_semi")
-    words = st.statement_words(needed)
-    results = extract.extract(words, st.pages_text(words), needed.select("doc_id"), st.AS_OF)
+    results = extract.whole_extract(st.statements(needed), st.AS_OF)
     roster = st.roster(spark, sf_dir)
     return roster, report.per_row(roster, report.field_rows(roster, newest, results, False), index.index_notes(classified, roster.select(F.col("mb").alias("mb_key"))))
 
