@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+from .columns import PARTIAL
 from .flat import Band, Lot, fold
 from .labels import Labels
 
@@ -62,10 +63,10 @@ def in_bands(page: Page, used: list[int], key: str, labels: Labels) -> list[Anch
     if not any(key in possible for _, possible in page.told):
         return found
     taken = set(used)
-    partial, row, starts = page.lot.partial, page.lot.held["row"], page.lot.starts
+    row, starts = page.lot.held["row"], page.lot.starts
     lines = {row[starts[line]]: line for line in reversed(range(page.first, page.end))}
     for band in page.bands:
-        if not any([partial[w] for w in band.words]) or any([row[w] in taken for w in band.words]):
+        if not band.kinds & PARTIAL or any([row[w] in taken for w in band.words]):
             continue
         if band.text and taken.isdisjoint(band.rows) and labels.patterns[key].search(fold(band.text)):
             taken.update(band.rows)

@@ -23,7 +23,12 @@ SPELT = {label: [[t for t in map(token, v.split()) if t] for v in YEAR_SYNONYMS[
 #: Tokens without which no header stands on a page: beginnings of spellings, parts of patterns; of the code column the name and its letters.
 FIRST_TOKENS = frozenset(v[0] for spelt in SPELT.values() for v in spelt)
 PARTS = tuple(p for pattern in YEAR_PATTERNS.values() for p in parts(pattern))
-CODE_TOKENS = frozenset(CODE_COLUMN_TOKENS) | frozenset(c for t in CODE_COLUMN_TOKENS for c in t)
+CODE_NAMES = frozenset(CODE_COLUMN_TOKENS)
+CODE_TOKENS = CODE_NAMES | frozenset(c for t in CODE_COLUMN_TOKENS for c in t)
+#: What a word can be of, as bits: any header; the first of a year's header in words, by label; the row codes' header; a row's label.
+HEADS, CODES, PARTIAL = 1, 2, 4
+FIRST = {"current": 8, "previous": 16}
+FIRST_OF = {t: sum(FIRST[label] for label in LABELS if any(v[0] == t for v in SPELT[label])) for t in FIRST_TOKENS}
 
 
 #: Earlier years are none of a document's: a number that equals one is an amount like any other.
@@ -55,6 +60,11 @@ def topmost(found: Iterable[YearColumn]) -> YearColumn | None:
     return min(found, key=lambda c: c.top, default=None)
 
 
+def kind_of(text: str, its_token: str) -> int:
+    """What a word of this text can be of, but for row labels."""
+    return HEADS * heads_a_column(text, its_token) | CODES * (its_token in CODE_TOKENS) | FIRST_OF.get(its_token, 0)
+
+
 def run_at(tokens: list[str], wanted: list[str]) -> int | None:
     """Place of the first run of tokens equal to wanted."""
     if wanted[0] not in tokens:
@@ -77,6 +87,8 @@ def year_column(label: str, page: int, year: int, bands: list[Band], lot: Lot, n
     by_tokens = []
     spelt = [*SPELT[label], [number]] if number else SPELT[label]
     for band in bands:
+        if not band.kinds & FIRST[label]:
+            continue
         named, names = band.named
         for wanted in spelt:
             at = run_at(names, wanted)
@@ -95,9 +107,13 @@ def code_column(page: int, bands: list[Band], lot: Lot) -> YearColumn | None:
     def holds(band: Band) -> bool:
         _, names = band.named
         stacked = ["".join(names[i : i + 3]) for i in range(len(names)) if len(names[i]) == 1 and all([len(t) == 1 for t in names[i : i + 3]])]
-        return not frozenset(CODE_COLUMN_TOKENS).isdisjoint([*names, *stacked])
+        return not CODE_NAMES.isdisjoint([*names, *stacked])
+
+    def may_hold(band: Band) -> bool:
+        own = [lot.tokens[w] for w in band.words]
+        return not CODE_NAMES.isdisjoint(own) or sum([len(t) == 1 for t in own]) >= 3
 
-    return topmost(YearColumn(page, "aop", *b.box, b.text) for b in bands if holds(b))
+    return topmost([YearColumn(page, "aop", *b.box, b.text) for b in bands if b.kinds & CODES and may_hold(b) and holds(b)])
 
 
 class Carried:

@@ -20,7 +20,7 @@ from ..functions.vocabulary import FIELDS, ROW_PATTERNS, Field
 from ..schemas import BOX, COLUMN, MESSAGE
 from .anchors import Page, anchors_of
 from .clusters import locate
-from .columns import Carried, chosen_of, code_column, dates_of, heads_a_column, reference_years, select_column, year_column
+from .columns import FIRST, HEADS, PARTIAL, Carried, chosen_of, code_column, dates_of, kind_of, reference_years, select_column, year_column
 from .flat import NUMERIC, Band, Lot, bands_of_pages, fold, lone_digits, lots, token, whole
 from .labels import Labels, labels_of
 from .pages import arrow, rows_of, typed
@@ -60,8 +60,7 @@ def prepared(lot: Lot, labels: Labels) -> tuple[list[tuple[set[str], set[str]]],
     lot.clean, lot.numeric, lot.year_digits = lot.told(str.strip), lot.told(lambda t: bool(NUMERIC.search(t))), lot.told(lone_digits)
     tokens = [token(t) for t in lot.texts]
     lot.tokens = lot.each(tokens)
-    lot.partial = lot.told(lambda t: bool(labels.part.search(fold(t).lower())))
-    lot.heads = np.fromiter(map(heads_a_column, lot.texts, tokens), bool, len(tokens))[lot.code]
+    lot.kinds = np.fromiter([kind_of(t, k) | (PARTIAL if labels.part.search(fold(t).lower()) else 0) for t, k in zip(lot.texts, tokens, strict=True)], np.int64, len(tokens))[lot.code]
     lot.starts = lot.line_start.tolist()
     lot.line_top, lot.line_bottom = lot.line_boxes()
     lines = [" ".join(lot.word_texts[a:b]).strip() for a, b in zip(lot.starts, lot.starts[1:], strict=False)]
@@ -73,20 +72,21 @@ def pages_of_lot(lot: Lot, carried: Carried, labels: Labels, texts: bool = True)
     has any one of bands that hold none. Texts of columns are told if `texts`."""
     told, lines = prepared(lot, labels)
     starts, page_line, tokens = lot.page_start.tolist(), lot.page_line.tolist(), lot.tokens
-    wanted = np.maximum.reduceat(lot.heads, lot.page_start[:-1])
-    telling = lot.heads | np.fromiter(lot.partial, bool, len(lot.partial))
+    wanted = (np.bitwise_or.reduceat(lot.kinds, lot.page_start[:-1]) & HEADS) > 0
     dates = []
     for page, year in enumerate(lot.years):
-        dates.append(frozenset(dates_of(year).values()))
-        if dates[-1] and not dates[-1].isdisjoint(tokens[starts[page] : starts[page + 1]]):
+        dates.append({number: label for label, number in dates_of(year).items()})
+        if dates[-1] and not dates[-1].keys().isdisjoint(tokens[starts[page] : starts[page + 1]]):
             wanted[page] = True
-            telling[[w for w in range(starts[page], starts[page + 1]) if tokens[w] in dates[-1]]] = True
+            for w in range(starts[page], starts[page + 1]):
+                if tokens[w] in dates[-1]:
+                    lot.kinds[w] |= HEADS | FIRST[dates[-1][tokens[w]]]
         elif not wanted[page]:
             wanted[page] = any([possible for _, possible in told[page_line[page] : page_line[page + 1]]])
-    bands, heads, line_of = bands_of_pages(lot, wanted, telling), lot.heads.tolist(), lot.line.tolist()
+    bands, line_of = bands_of_pages(lot, wanted, lot.kinds), lot.line.tolist()
     for page, (doc_id, number, year) in enumerate(zip(lot.doc_ids, lot.page_numbers, lot.years, strict=True)):
         own: list[Band] = bands.get(page, [])
-        headed = [b for b in own if any([heads[w] or tokens[w] in dates[page] for w in b.words])]
+        headed = [b for b in own if b.kinds & HEADS]
         dated = [(w, lines[line_of[w]]) for w in range(starts[page], starts[page + 1]) if lot.year_digits[w] in dates[page]] if dates[page] else []
         columns = {label: year_column(label, number, year, headed, lot, dated, texts) for label in ("current", "previous")}
         on_page, codes = carried.on(doc_id, columns, code_column(number, headed, lot))

@@ -3,6 +3,7 @@ bands are found for all pages of a lot at once."""
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable, Iterator
 from functools import cached_property
@@ -153,8 +154,9 @@ class Lot:
 class Band:
     """A vertical band of a page: number, left edge and words (by line, then left edge); what else is asked of few bands is told when it is."""
 
-    def __init__(self, lot: Lot, slot: int, words: list[int]):
-        self.lot, self.slot, self.words = lot, slot, words
+    def __init__(self, lot: Lot, slot: int, words: list[int], kinds: int = 0):
+        """kinds: bits of what its words can be of."""
+        self.lot, self.slot, self.words, self.kinds = lot, slot, words, kinds
         self.left = min([lot.held["left"][w] for w in words])
 
     @cached_property
@@ -191,24 +193,23 @@ class Band:
         return list(dict.fromkeys([self.lot.held["row"][w] for w in self.in_order]))
 
 
-def bands_of_pages(lot: Lot, wanted: np.ndarray, telling: np.ndarray | None = None) -> dict[int, list[Band]]:
-    """The bands of the wanted pages (booleans), by left edge; if `telling` (of each word), of them those with such a word alone."""
+def bands_of_pages(lot: Lot, wanted: np.ndarray, kinds: np.ndarray | None = None) -> dict[int, list[Band]]:
+    """The bands of the wanted pages (booleans), by left edge; with `kinds` (bits, of each word) those with any such word alone."""
     slots, out = lot.slots(), {}
-    if telling is not None:
-        by_band = lot.page * (int(slots.max(initial=0)) + 1) + slots
-        held = np.zeros(int(by_band.max(initial=0)) + 1, dtype=bool)
-        held[by_band[telling]] = True
-        telling = held[by_band].tolist()
-    slots, starts = slots.tolist(), lot.page_start.tolist()
+    by_band = lot.page * (int(slots.max(initial=0)) + 1) + slots
+    of_band = np.zeros(int(by_band.max(initial=0)) + 1, dtype=np.int64)
+    if kinds is not None:
+        np.bitwise_or.at(of_band, by_band, kinds)
+    told, slots, starts = of_band[by_band].tolist(), slots.tolist(), lot.page_start.tolist()
     for page in np.flatnonzero(wanted).tolist():
         own: dict[int, list[int]] = {}
         for w in range(starts[page], starts[page + 1]):
-            if telling is None or telling[w]:
+            if told[w] or kinds is None:
                 if (slot := slots[w]) in own:
                     own[slot].append(w)
                 else:
                     own[slot] = [w]
-        out[page] = sorted([Band(lot, slot, words) for slot, words in own.items()], key=lambda b: (b.left, b.slot))
+        out[page] = sorted([Band(lot, slot, words, told[words[0]]) for slot, words in own.items()], key=lambda b: (b.left, b.slot))
     return out
 
 
@@ -243,9 +244,11 @@ def whole(batches: Iterator[pa.RecordBatch], size: int = LOT, every: bool = Fals
         while start < batch.num_rows:
             end = max(int(np.searchsorted(words_to, words_to[start] + size, side="right")) - 1, start + 1)
             rows = batch.slice(start, end - start)
+            gc.disable()  # what is made of a lot has no cycles, and is much
             lot, row_of = lot_of_rows(rows, every)
             if lot or empty:
                 yield rows, lot, row_of
+            gc.enable()
             start = end
 
 
