@@ -174,15 +174,16 @@ def multiline_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _told(_field(st.documents_of(docs, [st.headers(previous=False), *label, last]), "loss_row"))
 
 
-def _run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Roster and one row per roster row of a whole run, over the latest documents of all orders."""
+def _run(spark: SparkSession, sf_dir: str, noted: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Roster and one row per roster row of a whole run, over the latest documents of all orders; with the index's notes if `noted`."""
     docs = orders(spark, sf_dir)
     classified = index.classify(st.documents(docs))
     newest = index.latest(index.entries_of(classified))
     needed = docs.join(newest.select("doc_id").distinct(), "doc_id", "left_semi")
     results = extract.whole_extract(st.statements(needed), st.AS_OF)
     roster = st.roster(spark, sf_dir)
-    return roster, report.per_row(roster, report.field_rows(roster, newest, results, False), index.index_notes(classified, roster.select(F.col("mb").alias("mb_key"))))
+    notes = index.index_notes(classified, roster.select(F.col("mb").alias("mb_key"))) if noted else None
+    return roster, report.per_row(roster, report.field_rows(roster, newest, results, False), notes)
 
 
 def upsert_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +191,7 @@ def upsert_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exceptions_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.exceptions(_run(spark, sf_dir)[1])
+    return report.exceptions(_run(spark, sf_dir, noted=True)[1])
 
 
 def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
