@@ -24,6 +24,7 @@ class Cluster(NamedTuple):
     text: str
     left: int
     right: int
+    words: list[int]
 
 
 def formula_like(text: str) -> bool:
@@ -47,11 +48,17 @@ def clusters_of(page: Page, words: list[int]) -> list[Cluster]:
             groups.append([])
         groups[-1].append(w)
         before = w
-    return [Cluster(" ".join([clean[w] for w in g]), min([left[w] for w in g]), max([right[w] for w in g])) for g in groups]
+    return [Cluster(" ".join([clean[w] for w in g]), min([left[w] for w in g]), max([right[w] for w in g]), g) for g in groups]
 
 
 def locate(page: Page, anchor: Anchor, chosen: YearColumn | None, other: YearColumn | None, codes: YearColumn | None) -> tuple[list[str], list[str]]:
     """Texts of the numbers next to an anchor: candidates in order of preference, and all clusters."""
+    kept, found = located(page, anchor, chosen, other, codes)
+    return [c.text for c in kept], [c.text for c in found]
+
+
+def located(page: Page, anchor: Anchor, chosen: YearColumn | None, other: YearColumn | None, codes: YearColumn | None) -> tuple[list[Cluster], list[Cluster]]:
+    """The clusters that locate tells the texts of."""
     held, numeric = page.lot.held, page.lot.numeric
     left, right = held["left"], held["right"]
     anchor_right = max((right[w] for w in anchor.words if not numeric[w]), default=anchor.right)
@@ -68,11 +75,11 @@ def locate(page: Page, anchor: Anchor, chosen: YearColumn | None, other: YearCol
         inside = lambda w: right[w] >= least and left[w] <= most and (least <= (left[w] + right[w]) / 2.0 <= most or left[w] >= least and right[w] <= most)
         found = clusters_of(page, [w for w in every if inside(w)])
     found = found or clusters_of(page, every)
-    return candidates(found, anchor, threshold, chosen, codes), [c.text for c in found]
+    return candidates(found, anchor, threshold, chosen, codes), found
 
 
-def candidates(found: list[Cluster], anchor: Anchor, threshold: int, chosen: YearColumn | None, codes: YearColumn | None) -> list[str]:
-    """Texts of clusters: those right of the label and outside of the row codes, if there are any, nearest to the column first."""
+def candidates(found: list[Cluster], anchor: Anchor, threshold: int, chosen: YearColumn | None, codes: YearColumn | None) -> list[Cluster]:
+    """Clusters right of the label and outside of the row codes, if there are any, nearest to the column first."""
 
     def off_codes(clusters: list[Cluster]) -> list[Cluster]:
         return [c for c in clusters if not codes or center(c) < codes.left - CODE_MARGIN or center(c) > codes.right + CODE_MARGIN]
@@ -85,7 +92,7 @@ def candidates(found: list[Cluster], anchor: Anchor, threshold: int, chosen: Yea
             return formula_like(c.text), abs(center(c) - center(chosen)), abs(c.left - center(chosen)), c.left
         return formula_like(c.text), c.left < anchor.right, abs(c.left - anchor.right), c.left
 
-    return [c.text for c in sorted(freed, key=key)]
+    return sorted(freed, key=key)
 
 
 def breaks(before: Column, word: Column) -> Column:

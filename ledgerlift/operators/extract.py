@@ -6,6 +6,7 @@ for each label that stands on a page. All after that, from the parsing of number
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +19,10 @@ from ..functions.numeric import parse_with
 from ..functions.text import bind, standalone_years
 from ..functions.vocabulary import FIELDS, ROW_PATTERNS, Field
 from ..schemas import BOX, COLUMN, MESSAGE
-from .anchors import Page, anchors_of
-from .clusters import locate
-from .columns import FIRST, HEADS, PARTIAL, Carried, chosen_of, code_column, dates_of, kind_of, reference_years, select_column, year_column
-from .flat import NUMERIC, Band, Lot, bands_of_pages, fold, lone_digits, lots, token, whole
+from .anchors import Anchor, Page, anchors_of
+from .clusters import locate, located
+from .columns import FIRST, HEADS, LEAST_YEAR, PARTIAL, Carried, chosen_of, code_column, dates_of, kind_of, reference_years, select_column, year_column
+from .flat import NUMERIC, Alike, Band, Lot, bands_of_pages, fold, joined, lone_digits, lots, runs_of, token, whole, whole_alike
 from .labels import Labels, labels_of
 from .pages import arrow, rows_of, typed
 
@@ -141,6 +142,44 @@ def whole_features(documents: DataFrame, as_of_year: int) -> DataFrame:
     return dated(documents, as_of_year).mapInArrow(read, FEATURES)
 
 
+class Next(NamedTuple):
+    """An anchor on a page of a standing row (numbered among those), and words of its text, of candidates and of all clusters, by their places in the row."""
+
+    row: int
+    page: int
+    columns: tuple | None
+    anchor: Anchor
+    words: list[list[int]]
+    candidates: list[list[int]]
+    clusters: list[list[int]]
+
+
+def next_to(like: Alike, strip: pa.Array, found: list[Next], kind: pa.ListType) -> pa.ListArray:
+    """NEXT_TO of each row: what is found in the row that stands for it, with its own words. strip: like.texts, stripped."""
+    struct, number = kind.value_type, lambda values: np.fromiter(values, np.int64)
+    count = np.bincount(number(f.row for f in found), minlength=len(like.standing))
+    of_row = count[like.of]
+    entry, first = runs_of((np.cumsum(count) - count)[like.of], of_row), np.repeat(like.first[:-1], of_row)
+
+    def texts(groups: list[list[list[int]]], values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """Of each group of runs of words: where it starts (and the end), and the text of each run."""
+        runs = [run for group in groups for run in group]
+        held, size, words = number(map(len, groups)), number(map(len, runs)), number(w for run in runs for w in run)
+        own = runs_of((np.cumsum(held) - held)[entry], held[entry])
+        at = words[runs_of((np.cumsum(size) - size)[own], size[own])] + np.repeat(np.repeat(first, held[entry]), size[own])
+        return np.append(0, np.cumsum(held[entry])), joined(values.take(pa.array(like.code[at])), np.append(0, np.cumsum(size[own])), " ")
+
+    taken = lambda values, type_: pa.array(values, type_).take(pa.array(entry))
+    lists = lambda groups: pa.ListArray.from_arrays(pa.array((told := texts(groups, strip))[0], pa.int32()), told[1])
+    spelt = texts([f.words for f in found], like.texts)[1]
+    spelt = pa.array([t.strip() for t in spelt.to_pylist()], pa.string())
+    anchor = struct.field("a").type
+    places = [spelt if f.name == "text" else taken([getattr(n.anchor, f.name) for n in found], f.type) for f in anchor]
+    columns = structs([f.columns for f in found], struct.field("columns").type).take(pa.array(entry))
+    told = [taken([f.page for f in found], pa.int32()), columns, pa.StructArray.from_arrays(places, fields=list(anchor)), lists([f.candidates for f in found]), lists([f.clusters for f in found])]
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(of_row)), pa.int32()), pa.StructArray.from_arrays(told, fields=list(struct)), type=kind)
+
+
 def whole_labelled(documents: DataFrame, anchors: dict[str, str], as_of_year: int, preferred: str) -> DataFrame:
     """doc_id, paged (whether it has pages) and for each field (by name, with its anchor) what labelled tells but the texts of columns, of documents that come whole."""
     ddl = "doc_id string, paged boolean" + "".join(f", {field} {NEXT_TO}" for field in anchors)
@@ -148,17 +187,18 @@ def whole_labelled(documents: DataFrame, anchors: dict[str, str], as_of_year: in
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried, labels = Carried(), labels_of(keys)
-        for rows, lot, row_of in whole(batches, empty=True):
-            found: dict[str, list[tuple]] = {field: [] for field in anchors}
-            counts = {field: np.zeros(rows.num_rows, dtype=np.int32) for field in anchors}
+        for rows, like, lot, row_of in whole_alike(batches, labels.digits, LEAST_YEAR):
+            found: dict[str, list[Next]] = {field: [] for field in anchors}
             for n, page, columns, codes in pages_of_lot(lot, carried, labels, False) if lot else ():
                 chosen, other = chosen_of(columns, preferred)
+                ids, before, row = lot.held["id"], int(lot.before[n]), int(row_of[n])
                 for field, key in anchors.items():
                     for a in anchors_of(page, key, labels):
-                        told = a.tier, a.ord, a.text, a.left, a.top, a.right, a.bottom
-                        found[field].append((lot.page_numbers[n], pair(columns), told, *locate(page, a, chosen, other, codes)))
-                        counts[field][row_of[n]] += 1
-            lists = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts[f])), pa.int32()), structs(found[f], schema.field(f).type.value_type), type=schema.field(f).type) for f in anchors]
+                        words, *clusters = [a.words], *([c.words for c in held] for held in located(page, a, chosen, other, codes))
+                        placed = [[[before + ids[w] for w in own] for own in held] for held in (words, *clusters)]
+                        found[field].append(Next(row, lot.page_numbers[n], pair(columns), a, *placed))
+            strip = pa.array([t.strip() for t in like.texts.to_pylist()], pa.string())
+            lists = [next_to(like, strip, found[f], schema.field(f).type) for f in anchors]
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("paged"), *lists], schema=schema)
 
     return dated(documents, as_of_year).mapInArrow(read, ddl)
@@ -168,12 +208,31 @@ def whole_results(documents: DataFrame, fields: list[Field], as_of_year: int, pr
     """doc_id and a column for each field (by name) with its result: what read_fields tells, of documents that come whole.
 
     All that is told of a document stands in its row, in order of pages and anchors, so rows meet nowhere."""
+    rows = whole_labelled(documents, defined_of(fields), as_of_year, preferred)
+    return rows.select("doc_id", *[c.alias(k) for k, c in results_of(fields, preferred).items()])
+
+
+def whole_loss(documents: DataFrame, fields: list[Field], as_of_year: int, preferred: str = "current") -> DataFrame:
+    """whole_results, and capital_loss instead of capital and its row: the row is read only where capital tells nothing."""
+    rows = whole_labelled(documents, defined_of(fields), as_of_year, preferred)
+    results = results_of(fields, preferred)
+    row = results.pop("loss_row")
+    held = rows.select("doc_id", "paged", "loss_row", *[c.alias(k) for k, c in results.items()])
+    return held.select("doc_id", *[k for k in results if k != "capital"], loss_above_capital(F.col("capital"), row).alias("capital_loss"))
+
+
+def defined_of(fields: list[Field]) -> dict[str, str]:
+    return {f.key: f.anchor for f in fields if f.anchor in ROW_PATTERNS}
+
+
+def results_of(fields: list[Field], preferred: str) -> dict[str, Column]:
+    """The result of each field (by name), of rows of whole_labelled."""
     none = F.array().cast(NO_MESSAGES)
-    defined = {f.key: f.anchor for f in fields if f.anchor in ROW_PATTERNS}
-    rows = whole_labelled(documents, defined, as_of_year, preferred)
+    defined = defined_of(fields)
+    bounds_of = lambda field: [F.lit(v).cast("bigint") for v in (field.min_value, field.max_value)]
 
     def told(field: Field) -> Column:
-        least, most = (F.lit(v).cast("bigint") for v in (field.min_value, field.max_value))
+        least, most = bounds_of(field)
 
         def one(f: Column) -> Column:
             seen = lambda chosen: F.struct(f["page"].alias("page"), f["a"]["text"].alias("text"), box_of(f["a"]).alias("box"), chosen["column"].alias("column"), outcome(f["a"], f["page"], chosen, f, least, most).alias("told"))
@@ -182,22 +241,30 @@ def whole_results(documents: DataFrame, fields: list[Field], as_of_year: int, pr
         return F.transform(field.key, one)
 
     def result(field: Field) -> Column:
+        """Mostly the first candidate of the first anchor is a number; all others are read only where it is not."""
+        if field.key not in defined:
+            return whole(field, F.lit(None))
+        first = F.get(field.key, 0)
+        raw = F.get(first["candidates"], 0)
+        at_once = lambda parsed: bind(select_column(first["columns"], preferred), lambda chosen: success_of(first["a"], first["page"], chosen, parsed, raw))
+        return bind(parse_with(raw, *bounds_of(field)), lambda p: F.when(p["error"].isNull(), at_once(p)).otherwise(bind(told(field), lambda found: whole(field, found))))
+
+    def whole(field: Field, found: Column) -> Column:
         last = lambda c: F.get(c, F.size(c) - 1)
-        found = F.col(field.key) if field.key in defined else F.lit(None)
         absent = message("anchor_not_found", MESSAGES["anchor_not_found"], anchor_key=F.lit(field.anchor)) if field.key in defined else message("anchor_definition_missing", MESSAGES["anchor_definition_missing"], anchor_key=F.lit(field.anchor))
         absent = F.array(F.when(~F.col("paged"), message("no_pages", MESSAGES["no_pages"])).otherwise(absent)).cast(NO_MESSAGES)
         nulls = dict.fromkeys(("value", "raw_text", "normalized_text", "page_number", "anchor_text", "anchor_bbox", "column_label", "column_bbox"), F.lit(None))
         failed = lambda **known: F.struct(*[v.alias(k) for k, v in (nulls | known | {"warnings": none}).items() if k != "errors" and k != "warnings"], known["errors"].alias("errors"), none.alias("warnings")).cast(RESULT)
         if field.key not in defined:
-            return failed(errors=absent).alias(field.key)
+            return failed(errors=absent)
         end, column = last(found), last(F.filter(found, lambda t: t["column"].isNotNull()))["column"]
         errors = F.flatten(F.transform(found, lambda t: t["told"]["errors"]))
         seen = failed(page_number=end["page"], anchor_text=end["text"], anchor_bbox=end["box"], column_label=column["label"], column_bbox=box_of(column), errors=F.when(F.size(found) > 0, errors).otherwise(absent))
         # The first success wins and discards the errors before it; else all errors count, in order, with the last anchor and column seen.
         best = F.get(F.filter(found, lambda t: t["told"]["success"].isNotNull()), 0)["told"]["success"]
-        return F.coalesce(best, seen).alias(field.key)
+        return F.coalesce(best, seen)
 
-    return rows.withColumns({f.key: told(f) for f in fields if f.key in defined}).select("doc_id", *[result(f) for f in fields])
+    return {f.key: result(f) for f in fields}
 
 
 def in_rows(wide: DataFrame, results: dict[str, Column]) -> DataFrame:
@@ -238,6 +305,16 @@ def labelled(placed: DataFrame, anchors: dict[str, str], preferred: str) -> Data
     return placed.mapInArrow(read, FOUND)
 
 
+def success_of(a: Column, page: Column, chosen: Column, parsed: Column, raw: Column) -> Column:
+    none = F.array().cast(NO_MESSAGES)
+    column, warning = chosen["column"], chosen["warning"]
+    fields = {
+        "value": parsed["value"], "raw_text": raw, "normalized_text": parsed["normalized"], "page_number": page, "anchor_text": a["text"], "anchor_bbox": box_of(a),
+        "column_label": column["label"], "column_bbox": box_of(column), "errors": none, "warnings": F.when(warning.isNotNull(), F.array(warning)).otherwise(none),
+    }
+    return F.struct(*[v.alias(k) for k, v in fields.items()]).cast(RESULT)
+
+
 def outcome(a: Column, page: Column, chosen: Column, found: Column, least: Column, most: Column) -> Column:
     """What an anchor gives: struct(success or null, errors) in the order in which candidates are tried."""
     none = F.array().cast(NO_MESSAGES)
@@ -245,11 +322,7 @@ def outcome(a: Column, page: Column, chosen: Column, found: Column, least: Colum
     warned = F.when(warning.isNotNull(), F.array(warning)).otherwise(none)
 
     def success(parsed: Column, raw: Column) -> Column:
-        fields = {
-            "value": parsed["value"], "raw_text": raw, "normalized_text": parsed["normalized"], "page_number": page, "anchor_text": a["text"], "anchor_bbox": box_of(a),
-            "column_label": column["label"], "column_bbox": box_of(column), "errors": none, "warnings": warned,
-        }
-        return F.struct(*[v.alias(k) for k, v in fields.items()]).cast(RESULT)
+        return success_of(a, page, chosen, parsed, raw)
 
     def failure(error: Column, raw: Column) -> Column:
         return message("value_normalization_failed", error, page=page, raw_text=raw, anchor_text=a["text"])
@@ -320,20 +393,27 @@ def success(result: Column) -> Column:
 
 
 def loss_above_capital(capital: Column, loss: Column) -> Column:
-    """The derived field: what capital lies below zero; without it the loss row; else the errors of both."""
+    """The derived field: what capital lies below zero; without it the loss row (else not computed); else the errors of both."""
+    return F.when(success(capital), capital_below(capital)).otherwise(bind(loss, lambda row: row_for_capital(capital, row)))
+
+
+def capital_below(capital: Column) -> Column:
     negative = F.when(capital["value"] < 0, -capital["value"]).otherwise(F.lit(0).cast("bigint"))
     by_formula = message("diagnostic_value_source", MESSAGES["capital_formula"], source=F.lit("capital_formula"), aop_code=F.lit("0401"), capital_value=capital["value"], computed_value=negative)
+    return capital.withField("value", negative).withField("warnings", F.concat(capital["warnings"], F.array(by_formula))).cast(RESULT)
+
+
+def row_for_capital(capital: Column, loss: Column) -> Column:
     codes = F.concat(F.lit("['"), F.array_join(F.transform(capital["errors"], lambda m: m["code"]), "', '"), F.lit("']"))
     missed = message("capital_extraction_failed", MESSAGES["capital_extraction_failed"], attempted_source=F.lit("capital_formula"), aop_code=F.lit("0401"), errors=codes)
     direct = message("diagnostic_value_source", MESSAGES["direct_row"], source=F.lit("direct_row"), aop_code=F.lit("0401"), computed_value=loss["value"])
     from_row = F.concat(loss["warnings"], F.when(F.size(capital["errors"]) > 0, F.array(missed)).otherwise(F.array().cast(NO_MESSAGES)), capital["warnings"], F.array(direct))
-    formula = capital.withField("value", negative).withField("warnings", F.concat(capital["warnings"], F.array(by_formula)))
     row = loss.withField("warnings", from_row)
     nulls = [F.lit(None).alias(n) for n in ("value", "raw_text", "normalized_text", "page_number", "anchor_text", "anchor_bbox", "column_label", "column_bbox")]
     untold = message("value_not_found", MESSAGES["neither_source"], source_attempts=F.lit("['capital_formula', 'direct_row']"), aop_code=F.lit("0401"))
     every = F.concat(capital["errors"], loss["errors"])
     neither = F.struct(*nulls, F.when(F.size(every) > 0, every).otherwise(F.array(untold)).alias("errors"), F.concat(capital["warnings"], loss["warnings"]).alias("warnings")).cast(RESULT)
-    return F.when(success(capital), formula.cast(RESULT)).when(success(loss), row.cast(RESULT)).otherwise(neither)
+    return F.when(success(loss), row.cast(RESULT)).otherwise(neither)
 
 
 def extract(words: DataFrame, pages: DataFrame, documents: DataFrame, as_of_year: int, preferred: str = "current") -> DataFrame:
@@ -349,4 +429,5 @@ def three(wide: DataFrame) -> DataFrame:
 
 def whole_extract(documents: DataFrame, as_of_year: int, preferred: str = "current") -> DataFrame:
     """What extract tells, of documents that come whole."""
-    return three(whole_results(documents, list(FIELDS.values()), as_of_year, preferred))
+    wide = whole_loss(documents, list(FIELDS.values()), as_of_year, preferred)
+    return in_rows(wide, {f: F.col(f) for f in ("revenue", "assets", "capital_loss")})
