@@ -150,7 +150,7 @@ def extract_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extract_capital_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extract.whole_results(_statements(spark, sf_dir), [FIELDS["capital"], FIELDS["loss_row"]], st.AS_OF).select("doc_id", extract.loss_above_capital(F.col("capital"), F.col("loss_row")).alias("result"))
+    found = extract.whole_loss(_statements(spark, sf_dir), [FIELDS["capital"], FIELDS["loss_row"]], st.AS_OF).withColumnRenamed("capital_loss", "result")
     return found.select(F.col("doc_id").cast("long").alias("key"), F.col("result.value").alias("value"), F.size("result.warnings").cast("long").alias("n_warnings"), F.get("result.warnings", 0)["context"]["source"].alias("source"))
 
 

@@ -13,6 +13,7 @@ from ledgerlift.operators import extract, flat
 from ledgerlift.operators.columns import LEAST_YEAR
 from ledgerlift.operators.labels import labels_of
 from ledgerlift.plans import statements as st
+from ledgerlift.plans.queries import QUERIES
 
 from .test_queries import SF
 from .test_whole import WHOLE, same
@@ -86,3 +87,13 @@ def test_columns_are_carried_within_an_id_only(spark):
     found = extract.whole_results(documents, [FIELDS["revenue"]], 1990).select("doc_id", "revenue.value", "revenue.column_label").collect()
     assert [(r.value, r.column_label) for r in found] == [(None, None), (5, "current")] + [(5, None)] * 5
 
+
+
+def test_the_loss_row_waits(spark, repeated):
+    """capital_loss from both fields, without the row's result being computed for every document."""
+    whole, _, _ = repeated
+    fields = [FIELDS["capital"], FIELDS["loss_row"]]
+    told = extract.whole_loss(whole, fields, 1990)
+    both = extract.whole_results(whole, fields, 1990).cache()
+    same(told, both.select("doc_id", extract.loss_above_capital(F.col("capital"), F.col("loss_row")).alias("capital_loss")))
+    assert both.where("capital.value is null").count() and "AS loss_row" not in QUERIES["extract_capital_loss"](spark, SF)._jdf.queryExecution().executedPlan().toString()
